@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, sharding
+from . import decontaminate, exact_dedup, langid, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_language_id": langid.op4_language_id,
+    "op5_packing": packing.op5_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
