@@ -15,6 +15,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,17 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def only_labelled(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is 'und': null texts and texts without a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def predicted(texts: pd.Series) -> pd.Series:
+        return pd.Series([x[0] for x in label_all(shared.value, [t if isinstance(t, str) else None for t in texts])], dtype=object)
+
+    return docs.where(predicted(F.col(text)) != "und")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(F.col("doc_id"))))

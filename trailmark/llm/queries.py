@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, packing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, langid, packing, pii, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_simhash": simhash.op3_simhash,
     "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_warc": warc.op7_warc,
+    "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
+    "op7_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

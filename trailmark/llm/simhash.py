@@ -11,6 +11,7 @@ all pairs of a group; the forests' components are the groups.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -127,3 +128,118 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+def wide_fingerprint(text: bytes | None, words: int, lanes: int) -> bytes:
+    """``lanes`` fingerprints of the same shingles, each of another mixing of their XXH64."""
+    from xxhash import xxh64_intdigest as h
+
+    parts = (text or b"").lower().split()
+    if not parts:
+        return bytes(8 * lanes)
+    n = max(1, len(parts) - words + 1)
+    joined, lengths = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(lengths)
+    last = (ends[min(words, len(parts)) - 1 :] - 1)[:n].tolist()
+    hashes = np.fromiter([h(joined[a:b], SEED) for a, b in zip((ends - lengths)[:n].tolist(), last)], np.uint64, n)
+    ones = np.zeros(64 * lanes, np.int64)
+    odd = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for k in range(0, n, 1 << 13):
+        x = hashes[k : k + (1 << 13), None] * odd
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+
+
+def radii(similarity: float, lanes: int) -> tuple[int, int]:
+    """Differing bits to allow in the first lane and in all, for shingle sets of that Jaccard similarity.
+
+    A bit differs with the probability of the angle between the sets over a half turn. All lanes allow
+    0.8 standard deviations more than the mean, the first, which only picks candidates, 3.5.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = lambda n: math.sqrt(p * (1 - p) * n)
+    return math.ceil(64 * p + 3.5 * spread(64)), round(64 * lanes * p + 0.8 * spread(64 * lanes))
+
+
+def wide_forest(own: np.ndarray, others: np.ndarray, first: int, radius: int) -> list[tuple[int, int]]:
+    """As ``forest``, for rows of several lanes: all lanes are compared where the first is near."""
+    every = np.concatenate([own, others])
+    lane0, parent, out = np.ascontiguousarray(every[:, 0]), np.arange(len(every)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return int(x)
+
+    step = max(1, (1 << 18) // len(every))
+    for k in range(0, len(own), step):
+        i, j = np.nonzero(np.bitwise_count(lane0[k : k + step][: len(own) - k, None] ^ lane0[None, :]) <= first)
+        i += k
+        i, j = i[i < j], j[i < j]
+        close = np.bitwise_count(every[i] ^ every[j]).sum(axis=1) <= radius
+        i, j = i[close], j[close]
+        while len(i):  # the links left join different trees
+            a, b = root(int(i[0])), root(int(j[0]))
+            if a != b:
+                out.append((a, b))
+                parent[max(a, b)] = min(a, b)
+            p = parent
+            while True:
+                q = p[p]
+                if (q == p).all():
+                    break
+                p = q
+            parent = p
+            left = parent[i] != parent[j]
+            i, j = i[left], j[left]
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, tile: int = 32_768) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, component_id, by similarity of word shingle sets.
+
+    Like ``near_groups``, with fingerprints of ``lanes`` x 64 bits, wide enough to tell a Jaccard similarity
+    of ``similarity`` from lower ones by bits alone. Tiles are bands of the first lane's population
+    count; tile pairs further apart than the radius are skipped, all others compared exactly.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, words, lanes) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    first, radius = radii(similarity, lanes)
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary"))
+    low = F.conv(F.hex(F.reverse(F.substring("fp", 1, 8))), 16, -10).cast("long")
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    band = max(1, first // 2)
+    fps = cut(fps.withColumn("node", F.monotonically_increasing_id()).withColumn("band", F.floor(F.bit_count(low) / band)))
+    # At most 65 bands, each of as many tiles as its fingerprints fill.
+    sizes = fps.groupBy("band").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    tiled = attach(fps.select("node", "fp", "band"), sizes, ["band"], "inner").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
+    tiles = sizes.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    left, right = tiles.select(F.col("band").alias("b1"), F.col("tile").alias("t1")), tiles.select(F.col("band").alias("b2"), F.col("tile").alias("t2"))
+    pairs = left.withColumn("b2", F.explode(F.sequence(F.col("b1"), F.col("b1") + F.floor(F.lit((first + band - 1) / band))))).join(right, "b2").where("b1 < b2 or t1 <= t2")
+    packed = cut(tiled.groupBy("band", "tile").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps")))
+    one = pairs.withColumnsRenamed({"b1": "band", "t1": "tile"}).join(packed, ["band", "tile"]).select(F.struct(F.col("band").alias("b1"), F.col("tile").alias("t1"), "b2", "t2").alias("pair"), F.lit(True).alias("own"), "nodes", "fps")
+    two = pairs.where("b1 < b2 or t1 < t2").withColumnsRenamed({"b2": "band", "t2": "tile"}).join(packed, ["band", "tile"]).select(F.struct("b1", "t1", F.col("band").alias("b2"), F.col("tile").alias("t2")).alias("pair"), F.lit(False).alias("own"), "nodes", "fps")
+
+    def compare(group: pa.Table) -> pa.Table:
+        parts = {True: [np.empty((0, lanes), np.uint64)], False: [np.empty((0, lanes), np.uint64)]}
+        nodes: dict[bool, list] = {True: [], False: []}
+        for mine, node, fp in zip(group.column("own").to_pylist(), group.column("nodes"), group.column("fps")):
+            nodes[mine].append(node.values.to_numpy(zero_copy_only=False))
+            parts[mine].append(np.frombuffer(b"".join(fp.as_py()), np.uint64).reshape(-1, lanes))
+        every = np.concatenate([*nodes[True], *nodes[False]])
+        found = np.array(wide_forest(np.concatenate(parts[True]), np.concatenate(parts[False]), first, radius), np.int64).reshape(-1, 2)
+        return pa.table({"u": every[found[:, 0]], "v": every[found[:, 1]]})
+
+    found = one.unionByName(two).groupBy("pair").applyInArrow(compare, "u bigint, v bigint")
+    groups = components(found).withColumnsRenamed({"component": "group"})
+    member = attach(fps.select("node", "fp", "least"), groups, ["node"]).withColumn("group", F.coalesce("group", "node"))
+    least = member.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = attach(member.select("fp", "group"), least, ["group"], "inner").select("fp", "component_id")
+    return attach(rows, named, ["fp"], "inner").select("doc_id", "component_id")
