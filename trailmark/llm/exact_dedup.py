@@ -39,7 +39,7 @@ def chunk_collisions(chunks: DataFrame) -> DataFrame:
 
     Copies of a chunk are folded on the map side, so a chunk moves at most once from each task.
     """
-    distinct = chunks.select(F.inline("__chunks")).distinct()
+    distinct = chunks.select(F.inline_outer("__chunks")).distinct()  # outer: no filter is inferred, which would repeat the cutting
     shared = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     return distinct.join(shared.select("h"), "h").select("h", "chunk")
 
