@@ -65,19 +65,21 @@ def recipes(docs: DataFrame, text: str = "text", mean_words: int = 64, max_words
     return attach(keyed.drop("__chunks"), known, ["__row"]).drop("__row")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **cuts: int) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None, **cuts: int) -> DataFrame:
     """One row for each row of ``docs``: its id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Texts are equal when they are identical after white space runs become one
     space. The smallest id stays (null ids last); of repeated rows with one id a single row is kept. An
-    empty table gives an empty result. Other columns of ``docs`` are ignored.
+    empty table gives an empty result. Other columns of ``docs`` are ignored, but that a unique column
+    named by ``row`` is carried along, to tell repeated rows apart.
     """
-    made = recipes(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", **cuts).drop("text")
-    rows = cut(made.withColumn("row", F.monotonically_increasing_id()))
+    given = [F.col(row).alias("row")] if row else []
+    made = recipes(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *given), "text", **cuts).drop("text")
+    rows = cut(made if row else made.withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     groups = rows.groupBy("recipe").agg(first, F.count("*").alias("group_size"))
     joined = attach(rows, groups, ["recipe"], "inner")
-    return joined.select(F.col("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    return joined.select(F.col("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", *["row"] * bool(row))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
