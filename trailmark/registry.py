@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import queries
+
+QUERIES = queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL
