@@ -1,0 +1,245 @@
+"""SimHash, language ID, packing, toxicity, WARC, PII and substring dedup on small inputs."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from trailmark.llm import langid, packing, pii, simhash, substring_dedup, toxicity, warc
+
+
+def brute_fingerprint(t, k=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    grams = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def closure(ids, near):
+    low = dict(zip(ids, ids))
+    while True:
+        new = {i: min(low[j] for j in near[i]) for i in ids}
+        if new == low:
+            return low
+        low = new
+
+
+def test_near_groups(docs, rows, none):
+    fp = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    for radius, tile in ((3, 4096), (3, 4), (12, 8)):
+        near = {i: [j for j in fp if (fp[i] ^ fp[j]).bit_count() <= radius] for i in fp}
+        want = closure(sorted(fp), near)
+        got = simhash.near_groups(docs, radius=radius, tile=tile).collect()
+        assert len(got) == len(rows)
+        assert all((int(g.fingerprint, 16), g.component_id) == (fp[g.doc_id], want[g.doc_id]) for g in got)
+    assert simhash.near_groups(none).count() == 0
+
+
+def test_similar_groups(spark, none):
+    r = random.Random(3)
+    texts, base = [], [[f"w{r.randrange(5000)}" for _ in range(300)] for _ in range(12)]
+    for b in base:
+        near, far = list(b), list(b)
+        for k in r.sample(range(300), 4):
+            near[k] = "edit"
+        for k in r.sample(range(300), 90):
+            far[k] = f"e{k}"
+        texts += [b, near, far]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {g.doc_id: g.component_id for g in simhash.similar_groups(df, tile=8).collect()}
+    assert all(got[3 * k + 1] == 3 * k and got[3 * k + 2] == 3 * k + 2 for k in range(12))
+    assert simhash.similar_groups(none).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(5)
+    many = [(rng.normal(size=(n, 3)) * 3).astype(np.float32) for n in rng.integers(1, 7, 60)]
+    for s, p in zip(many, langid.viterbi(many, 2.0)):
+        value = lambda q: sum(s[t, k] for t, k in enumerate(q)) - 2.0 * sum(a != b for a, b in zip(q, q[1:]))  # noqa: B023, E731
+        best = max(value(q) for q in np.ndindex(*[3] * len(s)))
+        assert abs(value(p.tolist()) - best) < 1e-3
+
+
+def test_language_id(spark, none):
+    r = random.Random(1)
+    vocab = {"en": "the thing that with from have would there".split(), "de": "und nicht eine werden schön straße über".split(), "ru": "это который когда очень также время".split()}
+    text = lambda x, n=40: " ".join(r.choice(vocab[x]) for _ in range(n))
+    train = spark.createDataFrame([(k, text(x), x) for k, x in enumerate(list(vocab) * 30)] + [(900, None, "en"), (901, "the", None)], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    test = [(0, text("en"), "x"), (1, text("de"), "x"), (2, text("ru"), "x"), (3, None, "x"), (4, "123 !?", "x"), (5, "", "x"), (6, text("en", 60) + " " + text("de", 30), "x"), (7, "你好", "x")]
+    got = {g.doc_id: g for g in langid.label(spark.createDataFrame(test, "doc_id long, text string, score string"), model, spans=True).collect()}
+    assert [got[k].lang_pred for k in range(7)] == ["en", "de", "ru", "und", "und", "und", "en"]
+    assert [s.lang for s in got[6].spans] == ["en", "de"] and all(0 <= g.score <= 1 for g in got.values())
+    assert langid.label(none, model).count() == 0
+    assert langid.only_labelled(spark.createDataFrame(test, "doc_id long, text string, score string"), model).count() == 5
+    empty = langid.fit(train.limit(0))
+    assert [g.lang_pred for g in langid.label(train.limit(2), empty).collect()] == ["und", "und"]
+
+
+def test_packing(docs, rows, none):
+    path = packing.tokenizer_path()
+    got = packing.pack(docs, path, tokens=256, pool=16).collect()
+    tokenizer = packing.shared_encoder(path).tokenizer
+    ids = {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for g in got:
+        by_doc[g.doc_id].append(g)
+        by_sequence[g.sequence_id].append(g)
+        part = np.array(ids[g.doc_id][g.start : g.start + g.length], "<u4")
+        assert zlib.crc32(part.tobytes()) == g.ids_crc32 and g.doc_tokens == len(ids[g.doc_id])
+    for k, v in ids.items():
+        copies = 2 if k == 5 else 1
+        assert sum(g.length for g in by_doc[k]) == copies * len(v)
+    padding = 0
+    for s in by_sequence.values():
+        s.sort(key=lambda g: g.offset)
+        assert [g.offset for g in s] == [0, *np.cumsum([g.length for g in s])[:-1].tolist()]
+        n = sum(g.length for g in s)
+        assert n <= 256
+        padding += 0 if n & (n - 1) == 0 else 256 - n
+    assert padding < 0.05 * sum(map(len, ids.values()))
+    assert packing.pack(none, path).count() == 0
+
+
+def test_packing_limits_and_odd_texts():
+    p = packing.Packer(100, 3, 60, 4, 2)
+    for k, n in enumerate([50, 5, 5, 5, 5, 120, 30, 30]):
+        p.add(k, np.arange(n, dtype=np.uint32), 0.5)
+    bins = list(p.bins(True))
+    assert all(len(b) <= 3 and sum(len(x[1]) for x in b) <= 100 and 0.5 * sum(len(x[1]) for x in b) <= 60 for b in bins)
+    assert sum(len(x[1]) for b in bins for x in b) == 250
+    e = packing.Encoder(packing.tokenizer_path(), limit=3)
+    odd = ["It's I'LL don't 12.5½ ²x ÷×", "a<|endoftext|>b", "", "  ", "É Ñandú\xa0x\x85y", "привет 你好", "a_b__c--d é", "\x1ca\x1fb", "one two three four five"]
+    for t in odd * 2:
+        assert e.encode([t], 2)[0].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
+def brute_kernel(s, t, decay=0.75):
+    from itertools import combinations
+
+    total = 0.0
+    for a in combinations(range(len(s)), 3):
+        for b in combinations(range(len(t)), 3):
+            if all(s[i] == t[j] for i, j in zip(a, b)):
+                total += decay ** (a[2] - a[0] + 1 + b[2] - b[0] + 1)
+    return total
+
+
+def test_kernel():
+    pairs = [("stupid", "st-upid"), ("clown", "clown"), ("abc", "xyz"), ("aaaa", "aaa"), ("ab", "ab")]
+    got = toxicity.kernel(toxicity.codes([a for a, _ in pairs], 10), toxicity.codes([b for _, b in pairs], 8))
+    assert np.allclose(got, [brute_kernel(a, b) for a, b in pairs], rtol=1e-4)
+
+
+def test_toxicity(spark, none):
+    r = random.Random(2)
+    clean, bad = [f"{a}{b}" for a in ("ran", "tel", "mos", "kin") for b in ("er", "ing", "ove", "ish")], ["clodpate", "numbskull"]
+    rows = []
+    for k in range(240):
+        w = [r.choice(clean) for _ in range(30)]
+        if k % 3 == 0:
+            w[r.randrange(30)] = r.choice(bad)
+        rows.append((k, " ".join(w), int(k % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert set(m.landmarks[:2]) == set(bad)
+    test = ["raner clodpate teling", "n.u.m.b.s.k.u.l.l kinish", "clod-pate", "numbbskull moser", "raner teling", "", None, "c l o d p a t e"]
+    assert (m.scores(test) >= 0.5).tolist() == [True, True, True, True, False, False, False, True]
+    out = toxicity.score(spark.createDataFrame([(k, t, 0.1) for k, t in enumerate(test)], "doc_id long, text string, score double"), m).collect()
+    assert len(out) == 8 and all(0 <= o.score <= 1 for o in out)
+    assert toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", F.lit(0).alias("toxic"))) is None
+    assert toxicity.score(none, None).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    html = ["<p>one</p>", None, "", "é\r\n\r\nWARC/1.0\r\n", "<p>one</p>", "z" * 100_000]
+    pages = spark.createDataFrame([(k + 1, f"http://x/{k}" if k else None, h, "extra") for k, h in enumerate(html)] + [(None, "u", "null id", "e")], "page_id long, url string, html string, payload string")
+    got = {g.page_id: g for g in warc.round_trip(pages).collect()}
+    assert len(got) == 7 and got[5].record_type == "revisit" and got[5].refers_to == 1 and got[3].refers_to == 2
+    assert got[4].payload_bytes == len(html[3].encode()) and got[6].record_type == "response"
+    warc.write_monolithic(pages, str(tmp_path / "mono"), records=3)
+    members = warc.normalise(spark, str(tmp_path / "mono")).cache()
+    warc.export(members, str(tmp_path / "out"))
+    for r in members.collect():
+        with open(tmp_path / "out" / r.archive, "rb") as f:
+            f.seek(r.offset)
+            rec = zlib.decompress(f.read(r.length), 31)
+        assert rec.startswith(b"WARC/1.0\r\n") and r.record_id.encode() in rec and rec.endswith(b"\r\n\r\n")
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_records_may_be_split_anywhere():
+    rec = b"WARC/1.0\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    for n in range(1, 60):
+        data = rec * 3
+        assert list(warc.records_of(iter([data[k : k + n] for k in range(0, len(data), n)]))) == [rec] * 3
+    import gzip
+
+    assert b"".join(warc.inflate(gzip.compress(rec) + gzip.compress(rec), 7)) == rec * 2
+
+
+def test_pii(spark, none):
+    texts = ["write jo.doe7@mail3.example.com or JO.DOE7@MAIL3.EXAMPLE.COM", "jo.doe7@mail3.example.com +1 (017) 555-7713 and +10175557713", "97.51.17.173 4845168114407329 123-45-6789", "Frau Anna Müller, Mr. John Smith", None, "", "version 2.0. plain", "госпожа Иванова"]
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, n_entities int")
+    got = {g.doc_id: g for g in pii.pseudonymise(df).collect()}
+    assert [got[k].n_entities for k in range(8)] == [2, 3, 3, 2, 0, 0, 0, 1]
+    new = re.findall(r"\S+@\S+", got[0].text + " " + got[1].text)
+    assert len({n.lower() for n in new}) == 1 and "doe" not in new[0] and new[1].isupper()
+    a, b = re.search(r"(\+1 \(\d{3}\) \d{3}-\d{4}) and (\+\d{11})$", got[1].text).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "10175557713"
+    card = re.search(r"\d{16}", got[2].text).group()
+    assert (pii.luhn(card) == 0) == (pii.luhn("4845168114407329") == 0) and card[0] == "4"
+    assert got[4].text is None and got[6].text == texts[6] and pii.script_of(got[7].text) == "cyrillic"
+    assert pii.pseudonymise(none).count() == 0
+    wide = {g.doc_id: g.text for g in pii.pseudonymise(df, broadcast_rows=-1).collect()}
+    assert wide == {k: g.text for k, g in got.items()}
+
+
+def test_surrogates_stay_distinct(spark):
+    """With two digits to draw from, some entities must draw again until all differ."""
+    found = spark.createDataFrame([("ssn", f"{k}") for k in range(10, 22)], "kind string, entity string")
+    taken = {(r.kind, r.entity): r.attempt for r in pii.exceptions(found, b"k").collect()}
+    new = [pii.surrogate(b"k", "ssn", str(k), taken.get(("ssn", str(k)), 0)) for k in range(10, 22)]
+    assert taken and len(set(new)) == 12 and not set(new) & {str(k) for k in range(10, 22)}
+
+
+def test_chains_are_best():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(1, 14))
+        x, y = rng.integers(0, 40, n), rng.integers(0, 40, n)
+        score = [0.0] * n
+        for i in np.lexsort((y, x)).tolist():
+            score[i] = 5 + max([0.0, *[score[j] - 0.1 * (x[i] - x[j] + y[i] - y[j]) for j in range(n) if x[j] < x[i] and y[j] < y[i]]])
+        chain = substring_dedup.best_chains(x, y, 5, 0.1, 1)[0]
+        got = 5 * len(chain) - 0.1 * (x[chain[-1]] - x[chain[0]] + y[chain[-1]] - y[chain[0]])
+        assert abs(got - max(score)) < 1e-9
+        assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(chain, chain[1:]))
+
+
+def test_band_lcs():
+    rng = np.random.default_rng(6)
+    pairs = []
+    for n in rng.integers(5, 40, 30):
+        a = rng.integers(0, 1000, n)
+        keep = rng.random(n) > 0.1
+        pairs.append((a, a[keep]))
+    assert substring_dedup.band_lcs(pairs, 12) == [len(b) for _, b in pairs]
+
+
+def test_repeated_passages(docs, rows, none):
+    got = substring_dedup.repeated_passages(docs).collect()
+    found = {g.doc_id for g in got}
+    assert set(range(60, 65)) <= found and {3, 65, 66, 67} <= found | {3}
+    text = {r[0]: r[1] for r in rows}
+    for g in got:
+        a = text[g.doc_id].lower().split()[g.start : g.end]
+        b = text[g.other_doc_id].lower().split()[g.other_start : g.other_end]
+        assert g.matched >= 45 and len(a) >= 45 and len(b) >= 45
+    clean = set(range(60)) - {3, 5}
+    assert not found & clean
+    assert substring_dedup.repeated_passages(none).count() == 0

@@ -18,8 +18,9 @@ from .common import table
 
 
 def _positions(spark: SparkSession, shards: int, vnodes: int, cells: int) -> list[tuple[int, int]]:
-    """(cell, shard) of every virtual node in ring order, by the same hash as the rows'."""
-    grid = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("s"), F.pmod(F.xxhash64(F.lit("vnode"), F.col("id")), F.lit(cells)).alias("c"))
+    """(cell, shard) of every virtual node in ring order: a shard's places don't depend on how many shards there are."""
+    node = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("s"), F.floor(F.col("id") / shards).alias("v"))
+    grid = node.select("s", F.pmod(F.xxhash64(F.lit("vnode"), F.col("s"), F.col("v")), F.lit(cells)).alias("c"))
     return sorted((r.c, r.s) for r in grid.collect())
 
 
