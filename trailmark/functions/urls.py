@@ -53,7 +53,7 @@ def with_search(df: DataFrame, url: str = "url") -> DataFrame:
     engine, param = F.lit(None).cast("string"), F.lit(None).cast("string")
     for hit, name, key in reversed(hits):
         engine, param = F.when(hit, name).otherwise(engine), F.when(hit, key).otherwise(param)
-    rows = rows.withColumn("engine", engine).withColumn("__raw", F.regexp_extract(F.col(url), F.concat(F.lit(r"^[^?#]*\?(?:[^#]*?&)?"), param, F.lit("=([^&#]*)")), 1))
+    rows = rows.withColumn("engine", engine).withColumn("__raw", F.call_function("regexp_extract", F.col(url), F.concat(F.lit(r"^[^?#]*\?(?:[^#]*?&)?"), param, F.lit("=([^&#]*)")), F.lit(1)))
     rows = rows.withColumn("terms", F.nullif(F.trim(F.coalesce(F.try_url_decode("__raw"), F.col("__raw"))), F.lit("")))
     return rows.withColumn("engine", F.when(F.col("terms").isNotNull(), F.col("engine"))).drop("__h", "__p", "__raw")
 

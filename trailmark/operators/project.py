@@ -171,9 +171,15 @@ def day_of(iso: str | None) -> date | None:
         return None
 
 
-def can_step_back(range_: str, end: date, earliest: date | None) -> bool:
-    n = RANGE_DAYS[range_]
-    return earliest is not None and end - timedelta(days=2 * n - 1) + timedelta(days=n - 1) >= earliest and end - timedelta(days=n) >= earliest
+def can_step_back(range_: str, end: date | None, earliest: date | None) -> bool:
+    """The window before must begin on the earliest day or later."""
+    if end is None or earliest is None:
+        return False
+    return end - timedelta(days=2 * RANGE_DAYS[range_] - 1) >= earliest
+
+
+def can_step_forward(anchor: date | None, latest: date | None) -> bool:
+    return anchor is not None and latest is not None and anchor < latest
 
 
 def back_end(range_: str, end: date) -> date:
@@ -210,3 +216,10 @@ def calendar(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
     """day, sessions, navs of each local day that has a session."""
     day = F.to_date(F.from_utc_timestamp(F.timestamp_millis("start_ts"), tz))
     return sessions.groupBy(day.alias("day")).agg(F.count("*").alias("sessions"), F.sum("nav_count").alias("navs"))
+
+
+def signature(g: Graph) -> DataFrame:
+    """One row, signature: equal for equal sets of nodes and edges, whatever their order and visits."""
+    n = g.nodes.agg(F.count("*").alias("a"), F.coalesce(F.bit_xor(F.xxhash64("key")), F.lit(0)).alias("b"))
+    e = g.edges.agg(F.count("*").alias("c"), F.coalesce(F.bit_xor(F.xxhash64("src", "dst")), F.lit(0)).alias("d"))
+    return n.crossJoin(e).select(F.xxhash64("a", "b", "c", "d").alias("signature"))  # one row each
