@@ -48,14 +48,13 @@ def path_query(url: Column, limit: int = 48) -> Column:
 
 def with_search(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds engine and terms (decoded, trimmed) of search result URLs; both null for other URLs and empty terms."""
-    rows = df.withColumn("__h", F.regexp_replace(host(F.col(url)), r"^www\.", "")).withColumn("__p", F.regexp_extract(url, r"(?i)^\s*https?://[^/?#]*([^?#]*)", 1))
-    hits = [(F.col("__h").rlike(f"^(?:{hosts})$") & (F.lit(True) if want is None else F.col("__p") == want), name, param) for name, hosts, want, param in ENGINES]
-    engine, param = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for hit, name, key in reversed(hits):
-        engine, param = F.when(hit, name).otherwise(engine), F.when(hit, key).otherwise(param)
-    rows = rows.withColumn("engine", engine).withColumn("__raw", F.call_function("regexp_extract", F.col(url), F.concat(F.lit(r"^[^?#]*\?(?:[^#]*?&)?"), param, F.lit("=([^&#]*)")), F.lit(1)))
+    engines = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f"^(?:{hosts})$").alias("hosts"), F.lit(path).alias("path"), F.lit(param).alias("param")) for name, hosts, path, param in ENGINES])
+    rows = df.withColumn("__at", F.struct(F.regexp_replace(host(F.col(url)), r"^www\.", "").alias("h"), F.regexp_extract(url, r"(?i)^\s*https?://[^/?#]*([^?#]*)", 1).alias("p")))
+    hit = F.filter(engines, lambda e: F.rlike(F.col("__at.h"), e["hosts"]) & (e["path"].isNull() | (F.col("__at.p") == e["path"])))
+    rows = rows.withColumn("__e", F.try_element_at(hit, F.lit(1)))
+    rows = rows.withColumn("__raw", F.call_function("regexp_extract", F.col(url), F.concat(F.lit(r"^[^?#]*\?(?:[^#]*?&)?"), F.col("__e.param"), F.lit("=([^&#]*)")), F.lit(1)))
     rows = rows.withColumn("terms", F.nullif(F.trim(F.coalesce(F.try_url_decode("__raw"), F.col("__raw"))), F.lit("")))
-    return rows.withColumn("engine", F.when(F.col("terms").isNotNull(), F.col("engine"))).drop("__h", "__p", "__raw")
+    return rows.withColumn("engine", F.when(F.col("terms").isNotNull(), F.col("__e.name"))).drop("__at", "__e", "__raw")
 
 
 @lru_cache(maxsize=1)

@@ -48,7 +48,7 @@ v AS (SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS date, CAST((ts // 360000
     CASE WHEN prov IN ('link', 'form') AND src0 IS NOT NULL AND src0 <> host THEN CASE WHEN sprov = 'search_origin' THEN 'search_link' WHEN prov = 'form' THEN 'form' ELSE 'link' END END AS edge_kind
   FROM b2 WHERE host IS NOT NULL AND NOT (xid IS NULL AND coalesce(cstep = 'link', false)))""",
     "fg": f"""f1 AS (SELECT epoch, id, ts, nid, greatest(least(nts - ts, 1800000), 0) AS ms, last_value(CASE WHEN kind = 'wfocus' THEN win END IGNORE NULLS) OVER (PARTITION BY epoch ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM q),
-f2 AS (SELECT s.epoch, s.id, s.ts, s.nid, s.ms, f.tab, f.id AS fid FROM f1 s ASOF JOIN (SELECT epoch, win, id, tab FROM q WHERE kind = 'focus') f ON f.epoch = s.epoch AND f.win = s.w AND s.id >= f.id WHERE s.w >= 0 AND s.ms > 0),
+f2 AS (SELECT s.epoch, s.id, s.ts, s.nid, s.ms, f.tab, f.id AS fid FROM f1 s ASOF JOIN (SELECT epoch, win, id, tab FROM q WHERE kind = 'focus') f ON f.epoch = s.epoch AND f.win = s.w AND s.id >= f.id WHERE s.w >= 0 AND s.ms > 0 AND s.nid IS NOT NULL),
 f3 AS (SELECT s.*, n.id AS navid, n.url FROM f2 s ASOF JOIN (SELECT epoch, t, id, url FROM t0 WHERE step = 'nav') n ON n.epoch = s.epoch AND n.t = s.tab AND s.id >= n.id),
 f4 AS (SELECT s.*, c.id AS bid FROM f3 s ASOF LEFT JOIN (SELECT epoch, t, id FROM t0 WHERE step IN ('close', 'link')) c ON c.epoch = s.epoch AND c.t = s.tab AND s.id >= c.id),
 f5 AS (SELECT s.*, c.id AS closeid FROM f4 s ASOF LEFT JOIN (SELECT epoch, t, id FROM t0 WHERE step = 'close') c ON c.epoch = s.epoch AND c.t = s.tab AND s.id >= c.id),

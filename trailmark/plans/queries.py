@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars, urls
+from ..functions import urls
 from ..operators import derive, flow, graph, project, rollup, sequences
 from ..schema import EDGE_KINDS, PROVENANCES
 from ..sources import log as source
@@ -285,7 +285,7 @@ SEARCH = "CASE id % 3 WHEN 0 THEN 'https://www.google.co.uk/search?hl=en&q=' ||
 
 @query(f"SELECT engine, arg_min(terms, id) AS terms, count(*) AS n FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'DuckDuckGo' END AS engine, CASE id % 3 WHEN 0 THEN prov || ' ' || (id % 7) WHEN 1 THEN upper(prov) || ' ' || (id % 5) END AS terms FROM log WHERE kind = 'nav') WHERE engine IS NOT NULL GROUP BY engine, lower(terms) ORDER BY n DESC, terms, engine LIMIT {N}", "log")
 def top_searches(spark, sf):
-    navs = source.driver_log(spark, sf).where("kind = 'nav'").withColumn("prov", scalars.provenance(F.col("transition")))
+    navs = _tables(spark, sf, "seq").where("kind = 'nav'")
     return searches(navs.select("id", F.expr(SEARCH).alias("url")), N)
 
 
