@@ -153,7 +153,8 @@ def _advance(key, frames, state):
     rows = [{k: (None if v is None or v != v else int(v) if k in ("id", "ts", "tab", "win", "new_tab", "src_tab") else v) for k, v in r.items()} for r in pdf[list(FIELDS)].astype(object).to_dict("records")]
     got = fold.feed(rows)
     state.update((json.dumps(fold.state()),))
-    yield pd.DataFrame([{"profile": key[0], **g} for g in got]).reindex(columns=COLUMNS) if got else pd.DataFrame(columns=COLUMNS)
+    # Plain objects: a column of Arrow strings in several chunks can't be sent back.
+    yield pd.DataFrame({c: pd.Series([key[0] if c == "profile" else g.get(c) for g in got], dtype=object) for c in COLUMNS})
 
 
 def contributions(stream: DataFrame, profile: str | None = None) -> DataFrame:
