@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import derive, flow, graph, project, rollup, sequences
+from ..functions import scalars, urls
+from ..operators import derive, flow, graph, layout, project, rollup, sequences
 from ..schema import EDGE_KINDS, PROVENANCES
 from ..sources import log as source
 from ..sources.folders import shared_folder
@@ -397,11 +397,57 @@ def pagerank(spark, sf):
 ORACLE_SQL["pagerank"] = _rank_sql(10)
 
 
-@query()
+DOMAIN = "regexp_extract({}, '[^.]+\\.[^.]+$')"  # the driver's hosts all end in a suffix of one label
+
+
+@query(f"SELECT {DOMAIN.format('src')} AS src, {DOMAIN.format('dst')} AS dst, CAST(sum(weight) AS BIGINT) AS weight, CAST(sum(kind_link) AS BIGINT) AS kind_link, CAST(sum(kind_search_link) AS BIGINT) AS kind_search_link, CAST(sum(kind_form) AS BIGINT) AS kind_form FROM ge WHERE {DOMAIN.format('src')} <> {DOMAIN.format('dst')} GROUP BY 1, 2", "g")
 def edges_registrable(spark, sf):
     return project.project(_nodes(spark, sf), _edges(spark, sf), by_domain=True).edges
 
 
+@query(f"SELECT {DOMAIN.format('key')} AS key, CAST(sum(visits) AS BIGINT) AS visits, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms FROM gn GROUP BY 1", "g")
+def nodes_registrable(spark, sf):
+    return project.project(_nodes(spark, sf), _edges(spark, sf), by_domain=True).nodes.select("key", "visits", "dwell_ms")
+
+
+@query(f"SELECT CAST(date AS VARCHAR) AS date, CAST(sum(CASE WHEN host = {FOCUS} THEN visits ELSE 0 END) AS BIGINT) AS visits FROM rn WHERE {WEEK} GROUP BY date", "g")
+def host_days(spark, sf):
+    return _text(project.host_days(_nodes(spark, sf), _focus(_graph(spark, sf)), "week"), "date")
+
+
+@query(f"SELECT key, visits, {DOM} AS dominant FROM gn WHERE {DOM} <> 'search_origin'", "g")
+def without_search_hubs(spark, sf):
+    return project.project(_nodes(spark, sf), _edges(spark, sf), project.Filters(hide_search_hubs=True)).nodes.select("key", "visits", "dominant")
+
+
+@query("SELECT (SELECT count(*) FROM log) AS events, (SELECT count(DISTINCT date) FROM v WHERE NOT provisional) AS visit_days, (SELECT count(*) FROM s WHERE NOT open) AS sessions", "v", "s")
+def stored_counts(spark, sf):
+    days = _tables(spark, sf, "visits").where("not provisional").agg(F.count_distinct("date").alias("visit_days"))
+    done = _tables(spark, sf, "sessions").where("not open").agg(F.count("*").alias("sessions"))
+    return source.driver_log(spark, sf).agg(F.count("*").alias("events")).crossJoin(days).crossJoin(done)  # one row each
+
+
+@query(
+    """SELECT id, CASE kind WHEN 'link' THEN 'tab ' || src_tab || ' → new tab ' || new_tab WHEN 'close' THEN 'tab ' || tab WHEN 'focus' THEN 'tab ' || tab || ' active in window ' || win
+    WHEN 'wfocus' THEN CASE WHEN win < 0 THEN 'browser blurred' ELSE 'window ' || win || ' focused' END WHEN 'start' THEN 'browser start' END AS line FROM log WHERE kind <> 'nav' ORDER BY id LIMIT 1000""",
+    "log",
+)
+def described_events(spark, sf):
+    """The first page of the raw log, as lines."""
+    log = source.driver_log(spark, sf).where("kind <> 'nav'")
+    return source.head(log, 1000).select("id", scalars.described().alias("line"))
+
+
+@query()
+def community_table(spark, sf):
+    return graph.community_table(_graph(spark, sf))
+
+
+@query()
+def layout_2d(spark, sf):
+    return layout.layout(_graph(spark, sf), rounds=60).select("key", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query()
 def session_chains(spark, sf):
     log = source.driver_log(spark, sf)
