@@ -42,7 +42,7 @@ SCRIPTS = {
 }
 _RANGES = sorted((a, b, k) for k, name in enumerate(SCRIPTS) for a, b in SCRIPTS[name])
 _STARTS = np.array([a for a, _, _ in _RANGES])
-SIZES = (1, 2, 3, 4)  # lengths of the character n-grams
+SIZES = (1, 2, 3)  # lengths of the character n-grams
 UNLIKELY = -60.0  # a word's score for a language that its script rules out
 
 
@@ -74,30 +74,49 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": np.empty((0, 0), np.float32)}
 
-    def score(self, word: str) -> np.ndarray:
-        """Mean log-probability of the word's n-grams, times its length; scripts narrow the languages."""
-        at = [self.rows[g] for g in grams(word[:40]) if g in self.rows]
-        s = self.logs[at].mean(axis=0) * min(len(word), 12) if at else np.zeros(len(self.langs))
-        if (allowed := self.scripts.get(script(word))) is not None:
-            out = np.full(len(self.langs), UNLIKELY)
-            out[allowed] = s[allowed]
-            return out
-        return s * 0
+    def fresh(self, words: list[str]) -> np.ndarray:
+        """A row for each word: mean log-probability of its n-grams times its length; scripts narrow the languages."""
+        found = [[self.rows[g] for g in grams(w[:40]) if g in self.rows] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.logs[[k for f in found for k in f]], axis=0, dtype=float).reshape(-1, len(self.langs))])
+        stops = np.cumsum(sizes)
+        lengths = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 12)
+        out = (sums[stops] - sums[stops - sizes]) * (lengths / np.maximum(sizes, 1))[:, None]
+        kinds = np.fromiter(map(script, words), np.int64, len(words))
+        for kind in np.unique(kinds).tolist():
+            if kind not in self.scripts:
+                out[kinds == kind] = 0
+            elif len(self.scripts[kind]) < len(self.langs):
+                ruled_out = np.setdiff1d(np.arange(len(self.langs)), self.scripts[kind])
+                out[np.ix_(kinds == kind, ruled_out)] = UNLIKELY
+        return out.astype(np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """A row for each word; a word is scored once and remembered, up to ``limit`` words."""
-        if len(self.known) > self.limit:
-            self.known.clear()
+        """A row for each word. The first ``limit`` words are remembered, later ones scored anew in each batch."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        base = len(self.known)
+        base, table = len(self.known), self.table if len(self.known) else np.empty((0, len(self.langs)), np.float32)
         self.known.update(zip(new, range(base, base + len(new))))
-        if base + len(new) > len(self.table):
-            grown = np.zeros((max(1024, 2 * (base + len(new))), len(self.langs)), np.float32)
-            grown[:base] = self.table[:base] if base else 0
-            self.table = grown
-        for w in new:
-            self.table[self.known[w]] = self.score(w)
-        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        table = np.concatenate([table, *[self.fresh(new[k : k + 20_000]) for k in range(0, len(new), 20_000)]])
+        out = table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        if base + len(new) <= self.limit:
+            self.table = table
+        else:
+            for w in new:
+                del self.known[w]
+        return out
+
+
+def constant(scores: np.ndarray, penalty: float) -> int | None:
+    """The state that is best throughout, where staying in it is surely the best path, else None.
+
+    It has the largest sum, and no stretch of another state gains more than half a switch over it. A path
+    of m other stretches pays for m switches, or for m - 1 where it never visits the state: no gain.
+    """
+    sums = np.cumsum(scores, axis=0, dtype=float)
+    best = int(sums[-1].argmax())
+    gain = sums - sums[:, best : best + 1]
+    before = np.minimum(np.concatenate([np.zeros((1, gain.shape[1])), np.minimum.accumulate(gain, axis=0)[:-1]]), 0)
+    return best if (gain - before).max() <= penalty / 2 else None
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -106,7 +125,15 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     Sequences of like lengths take their steps together.
     """
     paths: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
-    order = sorted((k for k in range(len(scores)) if len(scores[k])), key=lambda k: len(scores[k]))
+    order = []
+    for k, x in enumerate(scores):
+        if len(x):
+            best = constant(x, penalty)
+            if best is None:
+                order.append(k)
+            else:
+                paths[k] = np.full(len(x), best, np.int8)
+    order.sort(key=lambda k: len(scores[k]))
     while order:
         least = len(scores[order[0]])
         n = next((i for i, k in enumerate(order) if len(scores[k]) > 2 * least + 16), len(order))
@@ -163,7 +190,7 @@ def sample_of(labelled: DataFrame, id_col: str, n: int) -> DataFrame:
     return labelled.where(h <= last) if last is not None else labelled.limit(0)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 8000, features: int = 20_000, penalty: float = 12.0) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 8000, features: int = 20_000, penalty: float = 20.0) -> Model:
     """Fits the n-gram model on at most ``train_docs`` rows with text and language."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = sample_of(rows, id_col, train_docs).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -211,8 +238,8 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     def run(batches):
         mine = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
                 got = label_all(mine, part.column(1).to_pylist()) if mine.langs else [("und", 0.0, [])] * part.num_rows
                 cols = [part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 if spans:
