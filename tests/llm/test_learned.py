@@ -243,3 +243,22 @@ def test_repeated_passages(docs, rows, none):
     clean = set(range(60)) - {3, 5}
     assert not found & clean
     assert substring_dedup.repeated_passages(none).count() == 0
+
+
+def passages(spark, texts):
+    """(doc_id, other_doc_id, start, end) of the repeated passages of texts given as lists of words."""
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    return {(g.doc_id, g.other_doc_id, g.start, g.end) for g in substring_dedup.repeated_passages(df).collect()}
+
+
+def test_passages_whose_seeds_stand_in_earlier_documents(spark):
+    """Documents 0 and 1 have all seeds of the passage, but neither has 45 of its words in a row."""
+    r = random.Random(11)
+    for n in (46, 60, 80):
+        fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+        p = fresh(n)
+        parts = [p[a : a + 44] for a in range(0, n - 43, 2)] + [p[-44:]]
+        early = [fresh(20) + part + fresh(20) for part in parts]
+        got = passages(spark, [*early, fresh(30) + p + fresh(30), fresh(10) + p])
+        k = len(early)
+        assert (k + 1, k, 10, 10 + n) in got and (k, k + 1, 30, 30 + n) in got
