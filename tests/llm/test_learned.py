@@ -262,3 +262,13 @@ def test_passages_whose_seeds_stand_in_earlier_documents(spark):
         got = passages(spark, [*early, fresh(30) + p + fresh(30), fresh(10) + p])
         k = len(early)
         assert (k + 1, k, 10, 10 + n) in got and (k, k + 1, 30, 30 + n) in got
+
+
+def test_passages_of_repeated_lines_and_second_occurrences(spark):
+    r = random.Random(12)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    line, p = fresh(9), fresh(60)
+    got = passages(spark, [fresh(20) + line * 30 + fresh(20), fresh(5) + line * 12, fresh(20) + p + fresh(70) + p, p + fresh(70) + p])
+    covered = lambda doc, other: {w for a, b, start, end in got if (a, b) == (doc, other) for w in range(start, end)}
+    assert covered(1, 0) == set(range(5, 113)) and covered(0, 1) == set(range(20, 290))
+    assert covered(3, 2) == {*range(60), *range(130, 190)} and covered(2, 3) == {*range(20, 80), *range(150, 210)}
