@@ -36,7 +36,8 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
     rf"|(?P<person>\b(?:{'|'.join(TITLES)})\.? (?:[^\W\d_]\S*?[^\W\d_])(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?(?![^\W\d_]))"
 )
-WORTH = re.compile("[0-9@]")
+#: What every entity but a person has: a superset of PATTERN, so that no text with one is skipped.
+WORTH = re.compile(r"[\d@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|[a-f]{32}|[A-F]{32}")
 TITLE_HINTS = tuple(f"{t}{dot} " for t in TITLES for dot in ("", "."))
 #: Onset and rhyme syllables and gendered endings by script, for surrogate names: fixed values.
 SYLLABLES = {
