@@ -55,6 +55,18 @@ def test_similar_groups(spark, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def test_similar_groups_tell_sets_of_shingles(spark):
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, body = fresh(10), fresh(200)
+    texts = [fresh(200) + line * 60, fresh(200) + line * 60, body + line * 2, body + line * 60]
+    for shared in (85, 90, 93, 96):  # of 100 shingles, so Jaccard 0.74, 0.82, 0.87 and 0.92
+        texts += [p := fresh(104), p[: shared + 4] + fresh(100 - shared)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {g.doc_id: g.component_id for g in simhash.similar_groups(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 10}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     many = [(rng.normal(size=(n, 3)) * 3).astype(np.float32) for n in rng.integers(1, 7, 60)]

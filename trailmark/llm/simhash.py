@@ -130,18 +130,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-def wide_fingerprint(text: bytes | None, words: int, lanes: int) -> bytes:
-    """``lanes`` fingerprints of the same shingles, each of another mixing of their XXH64."""
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct XXH64 of a text's word shingles."""
     from xxhash import xxh64_intdigest as h
 
     parts = (text or b"").lower().split()
     if not parts:
-        return bytes(8 * lanes)
+        return np.empty(0, np.uint64)
     n = max(1, len(parts) - words + 1)
     joined, lengths = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     ends = np.cumsum(lengths)
     last = (ends[min(words, len(parts)) - 1 :] - 1)[:n].tolist()
-    hashes = np.fromiter([h(joined[a:b], SEED) for a, b in zip((ends - lengths)[:n].tolist(), last)], np.uint64, n)
+    return np.unique(np.fromiter([h(joined[a:b], SEED) for a, b in zip((ends - lengths)[:n].tolist(), last)], np.uint64, n))
+
+
+def wide_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
+    """``lanes`` fingerprints of a set of shingles, each of another mixing of their XXH64; of none zeros."""
+    n = len(hashes)
     ones = np.zeros(64 * lanes, np.int64)
     odd = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for k in range(0, n, 1 << 13):
@@ -152,21 +157,25 @@ def wide_fingerprint(text: bytes | None, words: int, lanes: int) -> bytes:
     return np.packbits(2 * ones > n, bitorder="little").tobytes()
 
 
-def radii(similarity: float, lanes: int) -> tuple[int, int]:
-    """Differing bits to allow in the first lane and in all, for shingle sets of that Jaccard similarity.
+def radii(similarity: float, lanes: int) -> tuple[int, int, int]:
+    """Differing bits for shingle sets of that Jaccard similarity: at most in the first lane, at most and at least in all.
 
-    A bit differs with the probability of the angle between the sets over a half turn. All lanes allow
-    0.8 standard deviations more than the mean, the first, which only picks candidates, 3.5.
+    A bit differs with the probability of the angle between the sets over a half turn; the bounds are 3.5
+    standard deviations from the mean. They only pick candidates.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = lambda n: math.sqrt(p * (1 - p) * n)
-    return math.ceil(64 * p + 3.5 * spread(64)), round(64 * lanes * p + 0.8 * spread(64 * lanes))
+    spread = lambda n: 3.5 * math.sqrt(p * (1 - p) * n)
+    n = 64 * lanes
+    return math.ceil(64 * p + spread(64)), math.ceil(n * p + spread(n)), math.floor(n * p - spread(n))
 
 
-def wide_forest(own: np.ndarray, others: np.ndarray, first: int, radius: int) -> list[tuple[int, int]]:
-    """As ``forest``, for rows of several lanes: all lanes are compared where the first is near."""
+def wide_forest(own: np.ndarray, others: np.ndarray, first: int, radius: int, sure: int) -> list[tuple[int, int]]:
+    """As ``forest`` up to ``sure`` bits, for rows of several lanes, compared where the first is near.
+
+    Every pair of more bits, up to ``radius``, is handed on too unless the forest joins it.
+    """
     every = np.concatenate([own, others])
-    lane0, parent, out = np.ascontiguousarray(every[:, 0]), np.arange(len(every)), []
+    lane0, parent, out, doubtful = np.ascontiguousarray(every[:, 0]), np.arange(len(every)), [], []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -179,8 +188,10 @@ def wide_forest(own: np.ndarray, others: np.ndarray, first: int, radius: int) ->
         i, j = np.nonzero(np.bitwise_count(lane0[k : k + step][: len(own) - k, None] ^ lane0[None, :]) <= first)
         i += k
         i, j = i[i < j], j[i < j]
-        close = np.bitwise_count(every[i] ^ every[j]).sum(axis=1) <= radius
-        i, j = i[close], j[close]
+        bits = np.bitwise_count(every[i] ^ every[j]).sum(axis=1)
+        open_ = (bits > sure) & (bits <= radius) & (parent[i] != parent[j])
+        doubtful.append(np.stack([i[open_], j[open_]], 1))
+        i, j = i[bits <= sure], j[bits <= sure]
         while len(i):  # the links left join different trees
             a, b = root(int(i[0])), root(int(j[0]))
             if a != b:
@@ -195,24 +206,31 @@ def wide_forest(own: np.ndarray, others: np.ndarray, first: int, radius: int) ->
             parent = p
             left = parent[i] != parent[j]
             i, j = i[left], j[left]
+    if doubtful:
+        roots = np.fromiter(map(root, range(len(every))), np.int64, len(every))
+        rest = np.concatenate(doubtful)
+        out += map(tuple, rest[roots[rest[:, 0]] != roots[rest[:, 1]]].tolist())
     return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, tile: int = 32_768) -> DataFrame:
     """One row for each row of ``docs``: doc_id, component_id, by similarity of word shingle sets.
 
-    Like ``near_groups``, with fingerprints of ``lanes`` x 64 bits, wide enough to tell a Jaccard similarity
-    of ``similarity`` from lower ones by bits alone. Tiles are bands of the first lane's population
-    count; tile pairs further apart than the radius are skipped, all others compared exactly.
+    Like ``near_groups``, with fingerprints of ``lanes`` x 64 bits of the distinct shingles. Tiles are bands of
+    the first lane's population count; tile pairs further apart than the radius are skipped, all others
+    compared. Bits only pick candidates: a link stands if the exact Jaccard similarity of the two sets is
+    ``similarity`` or more.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, words, lanes) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x, lanes) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "shingles"])
 
-    first, radius = radii(similarity, lanes)
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary"))
+    first, radius, sure = radii(similarity, lanes)
+    full = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, shingles array<bigint>"))
+    rows = full.select("doc_id", "fp")
     low = F.conv(F.hex(F.reverse(F.substring("fp", 1, 8))), 16, -10).cast("long")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     band = max(1, first // 2)
@@ -234,11 +252,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             nodes[mine].append(node.values.to_numpy(zero_copy_only=False))
             parts[mine].append(np.frombuffer(b"".join(fp.as_py()), np.uint64).reshape(-1, lanes))
         every = np.concatenate([*nodes[True], *nodes[False]])
-        found = np.array(wide_forest(np.concatenate(parts[True]), np.concatenate(parts[False]), first, radius), np.int64).reshape(-1, 2)
+        found = np.array(wide_forest(np.concatenate(parts[True]), np.concatenate(parts[False]), first, radius, sure), np.int64).reshape(-1, 2)
         return pa.table({"u": every[found[:, 0]], "v": every[found[:, 1]]})
 
-    found = one.unionByName(two).groupBy("pair").applyInArrow(compare, "u bigint, v bigint")
-    groups = components(found).withColumnsRenamed({"component": "group"})
+    found = cut(one.unionByName(two).groupBy("pair").applyInArrow(compare, "u bigint, v bigint"))
+    ends = attach(fps.select("node", "fp"), found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), ["node"], "inner")
+    sets = cut(attach(full, ends, ["fp"], "inner").groupBy("node").agg(F.first("shingles").alias("set")))
+    linked = attach(attach(found, sets.select(F.col("node").alias("u"), F.col("set").alias("su")), ["u"], "inner"), sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), ["v"], "inner")
+    linked = linked.select("u", "v", F.size("su").alias("m"), F.size("sv").alias("n"), F.size(F.array_intersect("su", "sv")).alias("both"))
+    groups = components(linked.where(F.col("both") + 1e-9 >= similarity * (F.col("m") + F.col("n") - F.col("both"))).select("u", "v")).withColumnsRenamed({"component": "group"})
     member = attach(fps.select("node", "fp", "least"), groups, ["node"]).withColumn("group", F.coalesce("group", "node"))
     least = member.groupBy("group").agg(F.min("least").alias("component_id"))
     named = attach(member.select("fp", "group"), least, ["group"], "inner").select("fp", "component_id")
