@@ -92,6 +92,15 @@ def test_language_id(spark, none):
     assert [g.lang_pred for g in langid.label(train.limit(2), empty).collect()] == ["und", "und"]
 
 
+def test_a_rare_language_keeps_its_script(spark):
+    r = random.Random(4)
+    vocab = {"en": "the thing that with from have would there".split(), "de": "und nicht eine werden schön straße über".split()}
+    text = lambda x, n: " ".join(r.choice(vocab[x]) for _ in range(n))
+    rows = [(k, text("en", 2000), "en") for k in range(40)] + [(100 + k, text("de", 20), "de") for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [x[0] for x in langid.label_all(model, [text("de", 30), text("en", 30)])] == ["de", "en"]
+
+
 def test_packing(docs, rows, none):
     path = packing.tokenizer_path()
     got = packing.pack(docs, path, tokens=256, pool=16).collect()

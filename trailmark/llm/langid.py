@@ -223,7 +223,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     for r in top:
         for x, n in r["by"].items() if not r["gram"] else ():
             share[r["script"]][x] += n
-    scripts = {s: [k for k, x in enumerate(langs) if by[x] >= 0.001 * max(by.values())] for s, by in share.items()}
+    # By a language's own words, so that one with few documents keeps its script beside one with very many.
+    own = {x: sum(by[x] for by in share.values()) for x in langs}
+    scripts = {s: [k for k, x in enumerate(langs) if by[x] and by[x] >= 0.001 * own[x]] for s, by in share.items()}
     return Model(langs, {r["gram"]: k for k, r in enumerate(kept)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), scripts, penalty)
 
 
