@@ -167,7 +167,7 @@ def test_toxicity(spark, none):
         rows.append((k, " ".join(w), int(k % 3 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
-    assert set(m.landmarks[:2]) == set(bad)
+    assert all(any(x.strip("<>") in w for x in m.landmarks[: m.insults]) for w in bad)  # landmarks are windows of the insults
     test = ["raner clodpate teling", "n.u.m.b.s.k.u.l.l kinish", "clod-pate", "numbbskull moser", "raner teling", "", None, "c l o d p a t e"]
     assert (m.scores(test) >= 0.5).tolist() == [True, True, True, True, False, False, False, True]
     out = toxicity.score(spark.createDataFrame([(k, t, 0.1) for k, t in enumerate(test)], "doc_id long, text string, score double"), m).collect()
