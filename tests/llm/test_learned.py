@@ -87,7 +87,7 @@ def test_language_id(spark, none):
     assert [got[k].lang_pred for k in range(7)] == ["en", "de", "ru", "und", "und", "und", "en"]
     assert [s.lang for s in got[6].spans] == ["en", "de"] and all(0 <= g.score <= 1 for g in got.values())
     assert langid.label(none, model).count() == 0
-    assert langid.only_labelled(spark.createDataFrame(test, "doc_id long, text string, score string"), model).count() == 5
+    assert [(k.doc_id, k.lang) for k in langid.identified(spark.createDataFrame([(k, t, None if k else "xx") for k, t, _ in test], "doc_id long, text string, lang string"), model).orderBy("doc_id").collect()][:3] == [(0, "xx"), (1, "de"), (2, "ru")]
     empty = langid.fit(train.limit(0))
     assert [g.lang_pred for g in langid.label(train.limit(2), empty).collect()] == ["und", "und"]
 

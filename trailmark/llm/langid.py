@@ -1,8 +1,10 @@
 """Language ID: script ranges, per-word scores and Viterbi with a switching penalty.
 
-A word's script leaves the languages that were seen in that script; a character n-gram model scores the
-word for each of them; Viterbi over a text's words, with a penalty for each switch, labels spans of
-mixed-language text. A text's language is the one with most letters on the best path.
+A word is a run of letters (category L) and their marks in one script; a longer one than LONGEST, as in scripts
+without spaces, is taken in pieces of that length. A word's script leaves the languages that were seen in that
+script; a character n-gram model scores the word, whole, for each of them; Viterbi over a text's words, with a
+penalty for each switch, labels spans of mixed-language text. A text's language is the one with most letters on
+the best path, the first in the alphabet of equal ones.
 
 The model is fitted on at most ``train_docs`` labelled documents, those with the smallest hash of their
 id; its n-grams are counted on the executors and the ``features`` commonest of each length are kept.
@@ -11,18 +13,20 @@ id; its n-grams are counted on the executors and the ``features`` commonest of e
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LONGEST = 32  # letters of a word; a longer run is several words
 #: Scripts by code point range: fixed values of the Unicode standard. A script of -1 is any other.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -43,6 +47,11 @@ SCRIPTS = {
 _RANGES = sorted((a, b, k) for k, name in enumerate(SCRIPTS) for a, b in SCRIPTS[name])
 _STARTS = np.array([a for a, _, _ in _RANGES])
 SIZES = (1, 2, 3, 4)  # lengths of the character n-grams
+_CLASSES = ["".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in own) for own in SCRIPTS.values()]
+_SPLIT = regex.compile("|".join(f"[{c}\\p{{M}}]+" for c in _CLASSES) + f"|[^{''.join(_CLASSES)}]+")
+#: Below U+0250 all letters are Latin and none is a mark; U+2010 to U+2027 are punctuation.
+_BEYOND = re.compile("[^\\x00-\u024f\u2010-\u2027]")
+_LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+")
 UNLIKELY = -60.0  # a word's score for a language that its script rules out
 
 
@@ -53,6 +62,29 @@ def script(word: str) -> int:
     return _RANGES[k][2] if k >= 0 and c <= _RANGES[k][1] else -1
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a whole text, in lower case."""
+    low = (text or "").lower()
+    if not _BEYOND.search(low):
+        found = _LATIN.findall(low)
+        if max(map(len, found), default=0) <= LONGEST:
+            return found
+    return [run[k : k + LONGEST] for w in WORD.findall(low) for run in _SPLIT.findall(w) for k in range(0, len(run), LONGEST)]
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and, but for one row alone, ``size`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > at and (k - at >= rows or held + n > size):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
 def grams(word: str) -> list[str]:
     w = f" {word} "
     return [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
@@ -67,6 +99,7 @@ class Model:
     logs: np.ndarray
     scripts: dict[int, list[int]]
     penalty: float
+    most: int = 12  # letters that a word's weight in the path counts at most
     limit: int = 400_000
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
@@ -76,11 +109,11 @@ class Model:
 
     def fresh(self, words: list[str]) -> np.ndarray:
         """A row for each word: mean log-probability of its n-grams times its length; scripts narrow the languages."""
-        found = [[self.rows[g] for g in grams(w[:40]) if g in self.rows] for w in words]
+        found = [[self.rows[g] for g in grams(w) if g in self.rows] for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.logs[[k for f in found for k in f]], axis=0, dtype=float).reshape(-1, len(self.langs))])
         stops = np.cumsum(sizes)
-        lengths = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 12)
+        lengths = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), self.most)
         out = (sums[stops] - sums[stops - sizes]) * (lengths / np.maximum(sizes, 1))[:, None]
         kinds = np.fromiter(map(script, words), np.int64, len(words))
         for kind in np.unique(kinds).tolist():
@@ -163,7 +196,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 def label_all(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]] | None]]:
     """(language, share of letters in it, spans) of each text; spans are (language, first word, end word)."""
-    words = [WORD.findall((t or "").lower()) for t in texts]
+    words = [words_of(t) for t in texts]
     every = model.scores([w for ws in words for w in ws])
     stops = np.cumsum([len(ws) for ws in words])
     parts = np.split(every, stops[:-1]) if len(texts) else []
@@ -200,39 +233,41 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
         for batch in batches:
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words: dict[str, int] = {}
-                for w in WORD.findall(t.lower()):
+                for w in words_of(t):
                     words[w] = words.get(w, 0) + 1
                 for w, n in words.items():
                     key = (x, "", script(w))
                     totals[key] = totals.get(key, 0) + n
-                    for g in grams(w[:40]):
+                    for g in grams(w):
                         totals[(x, g, 0)] = totals.get((x, g, 0), 0) + n
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in totals], "gram": [k[1] for k in totals], "script": pa.array([k[2] for k in totals], pa.int32()), "n": pa.array(totals.values(), pa.int64())})
 
-    counted = rows.mapInArrow(count, "lang string, gram string, script int, n bigint").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("gram", "script").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = by_gram.orderBy(F.desc("total"), "gram", "script").limit(features * len(SIZES)).collect()
-    langs = sorted({x for r in top for x in r["by"]})
-    kept = [r for r in top if r["gram"]]
+    counted = cut(rows.mapInArrow(count, "lang string, gram string, script int, n bigint").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
+    share: dict[int, dict[str, int]] = {}
+    for r in counted.where("gram = ''").collect():  # a row for each language and script
+        share.setdefault(r.script, {})[r.lang] = r.n
+    langs = sorted({x for by in share.values() for x in by})
+    by_gram = counted.where("gram <> ''").groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    kept = [r for n in SIZES for r in by_gram.where(F.length("gram") == n).orderBy(F.desc("total"), "gram").limit(features).collect()]
     counts = np.array([[r["by"].get(x, 0) for x in langs] for r in kept], float).reshape(len(kept), len(langs)) + 0.5
-    logs = np.empty_like(counts)
+    logs = np.zeros_like(counts)
     size = np.array([len(r["gram"]) for r in kept], int)
     for n in SIZES:
-        logs[size == n] = np.log(counts[size == n] / counts[size == n].sum(axis=0)) if (size == n).any() else 0
-    share = {s: {x: 0 for x in langs} for s in {r["script"] for r in top if not r["gram"]}}
-    for r in top:
-        for x, n in r["by"].items() if not r["gram"] else ():
-            share[r["script"]][x] += n
+        if (size == n).any():
+            logs[size == n] = np.log(counts[size == n] / counts[size == n].sum(axis=0))
+    if logs.size:
+        logs -= logs.mean(axis=1, keepdims=True)
     # By a language's own words, so that one with few documents keeps its script beside one with very many.
-    own = {x: sum(by[x] for by in share.values()) for x in langs}
-    scripts = {s: [k for k, x in enumerate(langs) if by[x] and by[x] >= 0.001 * own[x]] for s, by in share.items()}
-    return Model(langs, {r["gram"]: k for k, r in enumerate(kept)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), scripts, penalty)
+    own = {x: sum(by.get(x, 0) for by in share.values()) for x in langs}
+    scripts = {s: [k for k, x in enumerate(langs) if by.get(x, 0) > 0.001 * own[x]] for s, by in share.items()}
+    return Model(langs, {r["gram"]: k for k, r in enumerate(kept)}, logs.astype(np.float32), scripts, penalty)
 
 
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
     """(id, lang_pred, score[, spans]) of each row: 'und' with score 0 for a null text or one without letters.
 
-    Only the text is looked at, whole and whatever its length. Repeated rows give repeated results.
+    Only the text is looked at, whole and whatever its length. Repeated rows give repeated results, an empty
+    table an empty one; other columns are ignored. Without any labelled document every row is 'und'.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by features
@@ -240,8 +275,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     def run(batches):
         mine = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for part in slices(batch, 1):
                 got = label_all(mine, part.column(1).to_pylist()) if mine.langs else [("und", 0.0, [])] * part.num_rows
                 cols = [part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 if spans:
@@ -252,15 +286,28 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def only_labelled(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is 'und': null texts and texts without a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is 'und' (null texts, texts without a letter); a null language is filled in.
 
-    @F.pandas_udf("string")
-    def predicted(texts: pd.Series) -> pd.Series:
-        return pd.Series([x[0] for x in label_all(shared.value, [t if isinstance(t, str) else None for t in texts])], dtype=object)
+    All columns stay as they are named. A model without languages rejects the same rows and fills nothing in.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, lang_at = docs.columns.index(text), docs.columns.index(lang)
 
-    return docs.where(predicted(F.col(text)) != "und")
+    def run(batches):
+        mine = shared.value
+        for batch in batches:
+            for part in slices(batch, at):
+                texts, told = part.column(at).to_pylist(), part.column(lang_at)
+                if mine.langs:
+                    pred = pa.array([g[0] for g in label_all(mine, texts)], pa.string())
+                    keep, told = pc.not_equal(pred, "und"), pc.coalesce(told.cast(pa.string()), pred)
+                else:
+                    keep = pa.array([bool(WORD.search(t or "")) for t in texts], pa.bool_())
+                cols = [told if k == lang_at else c for k, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def forest(own: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int,
     return out
 
 
-def links(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, tile: int, bundle: int = 64) -> DataFrame:
     """(u, v): fingerprints of a spanning forest of each pair of tiles, from distinct fps (column fp)."""
     parts = 4 if radius <= 4 else 1
     width, base = 64 // parts, 128
@@ -94,9 +94,13 @@ def links(fps: DataFrame, radius: int, tile: int) -> DataFrame:
     valid = [(m >= 0) & (m <= width) for m in moved]
     home = sum((m * base**i for i, m in enumerate(moved)), F.lit(0))
     near = near.withColumn("ok", F.forall(F.array(*valid), lambda x: x)).where("ok").select("key", home.alias("home")).where("home <= key")
-    homes = keys.select(F.col("key").alias("home"), F.col("tiles").alias("home_tiles"))
+    # A home tile meets its neighbours in bundles of about ``bundle`` tiles, so that no group grows with the data.
+    around = near.join(keys, "key").groupBy("home").agg(F.ceil(F.sum("tiles") / bundle).cast("long").alias("bundles"))
+    homes = keys.select(F.col("key").alias("home"), F.col("tiles").alias("home_tiles")).join(around, "home")
     sent = tiled.join(near.join(homes, "home"), "key").withColumn("home_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("home_tiles") - 1)))
-    sent = sent.where("home < key or home_tile <= tile").select("home", "home_tile", ((F.col("home") == F.col("key")) & (F.col("home_tile") == F.col("tile"))).alias("own"), "fps")
+    own = (F.col("home") == F.col("key")) & (F.col("home_tile") == F.col("tile"))
+    places = F.when(own, F.sequence(F.lit(0).cast("long"), F.col("bundles") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "tile"), "bundles")))
+    sent = sent.where("home < key or home_tile <= tile").select("home", "home_tile", own.alias("own"), F.explode(places).alias("bundle"), "fps")
 
     def run(groups: pa.Table) -> pa.Table:
         own, others = [], []
@@ -107,7 +111,7 @@ def links(fps: DataFrame, radius: int, tile: int) -> DataFrame:
         pairs = np.array(forest(a, b, radius), np.int64).reshape(-1, 2)
         return pa.table({"u": every[pairs[:, 0]], "v": every[pairs[:, 1]]})
 
-    return sent.groupBy("home", "home_tile").applyInArrow(run, "u bigint, v bigint")
+    return sent.groupBy("home", "home_tile", "bundle").applyInArrow(run, "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3, tile: int = 4096) -> DataFrame:
@@ -157,111 +161,149 @@ def wide_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
     return np.packbits(2 * ones > n, bitorder="little").tobytes()
 
 
-def radii(similarity: float, lanes: int) -> tuple[int, int, int]:
-    """Differing bits for shingle sets of that Jaccard similarity: at most in the first lane, at most and at least in all.
+def radii(similarity: float, lanes: int) -> tuple[int, int]:
+    """Bits in which shingle sets of that Jaccard similarity differ at most: in the first lane, in all.
 
     A bit differs with the probability of the angle between the sets over a half turn; the bounds are 3.5
-    standard deviations from the mean. They only pick candidates.
+    standard deviations above the mean. They only pick candidates.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = lambda n: 3.5 * math.sqrt(p * (1 - p) * n)
     n = 64 * lanes
-    return math.ceil(64 * p + spread(64)), math.ceil(n * p + spread(n)), math.floor(n * p - spread(n))
+    return tuple(math.ceil(m * p + 3.5 * math.sqrt(p * (1 - p) * m)) for m in (64, n))
 
 
-def wide_forest(own: np.ndarray, others: np.ndarray, first: int, radius: int, sure: int) -> list[tuple[int, int]]:
-    """As ``forest`` up to ``sure`` bits, for rows of several lanes, compared where the first is near.
-
-    Every pair of more bits, up to ``radius``, is handed on too unless the forest joins it.
-    """
+def with_partner(own: np.ndarray, others: np.ndarray, first: int, radius: int) -> np.ndarray:
+    """Which rows (own, then others; several lanes each) are near another: own ones near any, others near an own one."""
     every = np.concatenate([own, others])
-    lane0, parent, out, doubtful = np.ascontiguousarray(every[:, 0]), np.arange(len(every)), [], []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return int(x)
-
-    step = max(1, (1 << 18) // len(every))
+    lane0, found = np.ascontiguousarray(every[:, 0]), np.zeros(len(every), bool)
+    step = max(1, (1 << 18) // max(1, len(every)))
     for k in range(0, len(own), step):
         i, j = np.nonzero(np.bitwise_count(lane0[k : k + step][: len(own) - k, None] ^ lane0[None, :]) <= first)
         i += k
         i, j = i[i < j], j[i < j]
-        bits = np.bitwise_count(every[i] ^ every[j]).sum(axis=1)
-        open_ = (bits > sure) & (bits <= radius) & (parent[i] != parent[j])
-        doubtful.append(np.stack([i[open_], j[open_]], 1))
-        i, j = i[bits <= sure], j[bits <= sure]
-        while len(i):  # the links left join different trees
-            a, b = root(int(i[0])), root(int(j[0]))
-            if a != b:
-                out.append((a, b))
-                parent[max(a, b)] = min(a, b)
-            p = parent
-            while True:
-                q = p[p]
-                if (q == p).all():
-                    break
-                p = q
-            parent = p
-            left = parent[i] != parent[j]
-            i, j = i[left], j[left]
-    if doubtful:
-        roots = np.fromiter(map(root, range(len(every))), np.int64, len(every))
-        rest = np.concatenate(doubtful)
-        out += map(tuple, rest[roots[rest[:, 0]] != roots[rest[:, 1]]].tolist())
+        near = np.bitwise_count(every[i] ^ every[j]).sum(axis=1) <= radius
+        found[i[near]] = found[j[near]] = True
+    return found
+
+
+def verified_forest(rows: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links: pairs within the radius whose sets have the Jaccard similarity, exactly.
+
+    A pair that the forest already joins is not looked at again, so a group of very many alike costs one look each.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, codes = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_inverse=True)
+    stops = np.cumsum(size)
+    mark, tree, out = np.zeros(len(names), bool), np.arange(len(sets)), []
+    lane0 = np.ascontiguousarray(rows[:, 0])
+    for i in range(len(sets)):
+        j = np.flatnonzero((np.bitwise_count(lane0[i + 1 :] ^ lane0[i]) <= first) & (tree[i + 1 :] != tree[i])) + i + 1
+        j = j[np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1) <= radius]
+        if not len(j):
+            continue
+        mark[codes[stops[i] - size[i] : stops[i]]] = True
+        for k in range(0, len(j), 1024):
+            part = j[k : k + 1024]
+            part = part[tree[part] != tree[i]]
+            both = np.fromiter((mark[codes[stops[x] - size[x] : stops[x]]].sum() for x in part.tolist()), np.int64, len(part))
+            alike = part[both + 1e-9 >= similarity * (size[i] + size[part] - both)]
+            if len(alike):
+                trees, at = np.unique(tree[alike], return_index=True)
+                out += [(i, int(x)) for x in alike[at]]
+                tree[np.isin(tree, trees)] = tree[i]
+        mark[codes[stops[i] - size[i] : stops[i]]] = False
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, tile: int = 32_768) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, tile: int = 32_768, per_tile: int = 1 << 24, broadcast_rows: int = 100_000, row: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, component_id, by similarity of word shingle sets.
 
-    Like ``near_groups``, with fingerprints of ``lanes`` x 64 bits of the distinct shingles. Tiles are bands of
-    the first lane's population count; tile pairs further apart than the radius are skipped, all others
-    compared. Bits only pick candidates: a link stands if the exact Jaccard similarity of the two sets is
+    A unique column of ``docs`` named by ``row`` is carried along; kept is then true for one row of each group, of
+    those with the smallest id that with the smallest ``row``.
+
+    Like ``near_groups``, with fingerprints of ``lanes`` x 64 bits of the distinct shingles. Tiles, of at most about
+    ``tile`` fingerprints and ``per_tile`` shingles, are bands of the first lane's population count; tile pairs
+    further apart than the radius are skipped, all others compared. Bits only pick candidates: the sets of
+    fingerprints with a near one meet in a second step, where a link stands if their exact Jaccard similarity is
     ``similarity`` or more.
+
+    Texts without words have one fingerprint and are one group. Repeated rows give repeated results; rows with a
+    null id are grouped with equal fingerprints only. An empty table gives an empty result; other columns are
+    ignored and very long texts read whole.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, row_kind = docs.schema[id_col].dataType.simpleString(), docs.schema[row].dataType.simpleString() if row else "int"
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text"), (F.col(row) if row else F.lit(0)).alias("row"))
+    first, radius = radii(similarity, lanes)
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x, lanes) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([wide_fingerprint(x, lanes) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "row", "fp", "n"])
 
-    first, radius, sure = radii(similarity, lanes)
-    full = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, shingles array<bigint>"))
-    rows = full.select("doc_id", "fp")
+    rows = cut(base.mapInArrow(run, f"doc_id {kind}, row {row_kind}, fp binary, n bigint"))
     low = F.conv(F.hex(F.reverse(F.substring("fp", 1, 8))), 16, -10).cast("long")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.max("n").alias("n"))
     band = max(1, first // 2)
     fps = cut(fps.withColumn("node", F.monotonically_increasing_id()).withColumn("band", F.floor(F.bit_count(low) / band)))
-    # At most 65 bands, each of as many tiles as its fingerprints fill.
-    sizes = fps.groupBy("band").agg(F.ceil(F.count("*") / tile).alias("tiles"))
-    tiled = attach(fps.select("node", "fp", "band"), sizes, ["band"], "inner").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
+    # At most 65 bands, each of as many tiles as its fingerprints and their shingles fill.
+    ided = fps.where("least.doc_id is not null")
+    sizes = ided.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / per_tile)).alias("tiles"))
+    tiled = attach(ided.select("node", "fp", "band"), sizes, ["band"], "inner").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
     tiles = sizes.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     left, right = tiles.select(F.col("band").alias("b1"), F.col("tile").alias("t1")), tiles.select(F.col("band").alias("b2"), F.col("tile").alias("t2"))
     pairs = left.withColumn("b2", F.explode(F.sequence(F.col("b1"), F.col("b1") + F.floor(F.lit((first + band - 1) / band))))).join(right, "b2").where("b1 < b2 or t1 <= t2")
     packed = cut(tiled.groupBy("band", "tile").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps")))
     one = pairs.withColumnsRenamed({"b1": "band", "t1": "tile"}).join(packed, ["band", "tile"]).select(F.struct(F.col("band").alias("b1"), F.col("tile").alias("t1"), "b2", "t2").alias("pair"), F.lit(True).alias("own"), "nodes", "fps")
     two = pairs.where("b1 < b2 or t1 < t2").withColumnsRenamed({"b2": "band", "t2": "tile"}).join(packed, ["band", "tile"]).select(F.struct("b1", "t1", F.col("band").alias("b2"), F.col("tile").alias("t2")).alias("pair"), F.lit(False).alias("own"), "nodes", "fps")
+    pair_type = "struct<b1:bigint,t1:bigint,b2:bigint,t2:bigint>"
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         parts = {True: [np.empty((0, lanes), np.uint64)], False: [np.empty((0, lanes), np.uint64)]}
         nodes: dict[bool, list] = {True: [], False: []}
         for mine, node, fp in zip(group.column("own").to_pylist(), group.column("nodes"), group.column("fps")):
             nodes[mine].append(node.values.to_numpy(zero_copy_only=False))
             parts[mine].append(np.frombuffer(b"".join(fp.as_py()), np.uint64).reshape(-1, lanes))
-        every = np.concatenate([*nodes[True], *nodes[False]])
-        found = np.array(wide_forest(np.concatenate(parts[True]), np.concatenate(parts[False]), first, radius, sure), np.int64).reshape(-1, 2)
-        return pa.table({"u": every[found[:, 0]], "v": every[found[:, 1]]})
-
-    found = cut(one.unionByName(two).groupBy("pair").applyInArrow(compare, "u bigint, v bigint"))
-    ends = attach(fps.select("node", "fp"), found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), ["node"], "inner")
-    sets = cut(attach(full, ends, ["fp"], "inner").groupBy("node").agg(F.first("shingles").alias("set")))
-    linked = attach(attach(found, sets.select(F.col("node").alias("u"), F.col("set").alias("su")), ["u"], "inner"), sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), ["v"], "inner")
-    linked = linked.select("u", "v", F.size("su").alias("m"), F.size("sv").alias("n"), F.size(F.array_intersect("su", "sv")).alias("both"))
-    groups = components(linked.where(F.col("both") + 1e-9 >= similarity * (F.col("m") + F.col("n") - F.col("both"))).select("u", "v")).withColumnsRenamed({"component": "group"})
+        found = np.concatenate([*nodes[True], *nodes[False]])[with_partner(np.concatenate(parts[True]), np.concatenate(parts[False]), first, radius)]
+        pair = key[0].as_py()
+        return pa.table([pa.array(np.full(len(found), pair[x], np.int64)) for x in ("b1", "t1", "b2", "t2")] + [pa.array(found)], names=["b1", "t1", "b2", "t2", "node"])
+
+    near = cut(one.unionByName(two).groupBy("pair").applyInArrow(compare, "b1 bigint, t1 bigint, b2 bigint, t2 bigint, node bigint"))
+    by_node = near.groupBy("node").agg(F.collect_list(F.struct("b1", "t1", "b2", "t2")).alias("pairs"))  # of one node as many as its tile has partners
+    wanted = cut(attach(ided.select("node", "fp", "least"), by_node, ["node"], "inner"))
+    asked = wanted.select(F.col("least.doc_id").alias("__least"), "node", "fp", "pairs")
+    if wanted.count() <= broadcast_rows:
+        asked = F.broadcast(asked)
+
+    def read(batches):
+        for batch in batches:
+            ids, pair_rows, fp_rows, set_rows = [], [], [], []
+            for t, node, fp, where in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shingles(t, words)
+                if wide_fingerprint(own, lanes) == fp:  # rows with one id can have different texts
+                    for p in where:
+                        ids.append(node)
+                        pair_rows.append(p)
+                        fp_rows.append(fp)
+                        set_rows.append(own.view(np.int64))
+                if sum(map(len, set_rows)) > 1 << 20 or len(ids) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(pair_rows, pair_arrow), pa.array(ids, pa.int64()), pa.array(fp_rows, pa.binary()), pa.array(set_rows, pa.list_(pa.int64()))], names=["pair", "node", "fp", "set"])
+                    ids, pair_rows, fp_rows, set_rows = [], [], [], []
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(pair_rows, pair_arrow), pa.array(ids, pa.int64()), pa.array(fp_rows, pa.binary()), pa.array(set_rows, pa.list_(pa.int64()))], names=["pair", "node", "fp", "set"])
+
+    pair_arrow = pa.struct([(x, pa.int64()) for x in ("b1", "t1", "b2", "t2")])
+    held = base.join(asked, F.col("doc_id") == F.col("__least")).select("text", "node", "fp", "pairs").mapInArrow(read, f"pair {pair_type}, node bigint, fp binary, set array<bigint>")
+
+    def verify(group: pa.Table) -> pa.Table:
+        nodes, at = np.unique(group.column("node").to_numpy(), return_index=True)
+        fp, sets = group.column("fp"), group.column("set")
+        lanes_of = np.frombuffer(b"".join(fp[k].as_py() for k in at.tolist()), np.uint64).reshape(-1, lanes)
+        found = np.array(verified_forest(lanes_of, [sets[k].values.to_numpy(zero_copy_only=False) for k in at.tolist()], first, radius, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"u": nodes[found[:, 0]], "v": nodes[found[:, 1]]})
+
+    groups = components(held.groupBy("pair").applyInArrow(verify, "u bigint, v bigint")).withColumnsRenamed({"component": "group"})
     member = attach(fps.select("node", "fp", "least"), groups, ["node"]).withColumn("group", F.coalesce("group", "node"))
-    least = member.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = attach(member.select("fp", "group"), least, ["group"], "inner").select("fp", "component_id")
-    return attach(rows, named, ["fp"], "inner").select("doc_id", "component_id")
+    least = member.groupBy("group").agg(F.min("least").alias("first"))
+    named = attach(member.select("fp", "group"), least, ["group"], "inner").select("fp", "first")
+    told = attach(rows.select("doc_id", "row", "fp"), named, ["fp"], "inner")
+    return told.select("doc_id", F.col("first.doc_id").alias("component_id"), *["row", (F.col("row") == F.col("first.row")).alias("kept")] * bool(row))
