@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,27 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left
     return rows.join(right, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def tidy(run: Callable, forget: Callable[[], None] = lambda: None) -> Callable:
+    """A mapInArrow function that calls ``forget`` after a task and gives the memory it used back to the system.
+
+    Idle Python workers stay beside the executor's JVM; else each would hold the largest task it ever ran.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only: lower() does the same on pure ASCII and is much faster than translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 32  # letters of a word; a longer run is several words
@@ -72,7 +72,7 @@ def words_of(text: str | None) -> list[str]:
     return [run[k : k + LONGEST] for w in WORD.findall(low) for run in _SPLIT.findall(w) for k in range(0, len(run), LONGEST)]
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, rows: int = 4096, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``rows`` rows and, but for one row alone, ``size`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = held = 0
@@ -124,6 +124,9 @@ class Model:
                 out[np.ix_(kinds == kind, ruled_out)] = UNLIKELY
         return out.astype(np.float32)
 
+    def forget(self) -> None:
+        self.known, self.table = {}, np.empty((0, 0), np.float32)
+
     def scores(self, words: list[str]) -> np.ndarray:
         """A row for each word. The first ``limit`` words are remembered, later ones scored anew in each batch."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
@@ -242,7 +245,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
                         totals[(x, g, 0)] = totals.get((x, g, 0), 0) + n
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in totals], "gram": [k[1] for k in totals], "script": pa.array([k[2] for k in totals], pa.int32()), "n": pa.array(totals.values(), pa.int64())})
 
-    counted = cut(rows.mapInArrow(count, "lang string, gram string, script int, n bigint").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
+    counted = cut(rows.mapInArrow(tidy(count), "lang string, gram string, script int, n bigint").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
     share: dict[int, dict[str, int]] = {}
     for r in counted.where("gram = ''").collect():  # a row for each language and script
         share.setdefault(r.script, {})[r.lang] = r.n
@@ -283,7 +286,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
     schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * spans
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, lambda: shared.value.forget()), schema)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -307,7 +310,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "l
                 cols = [told if k == lang_at else c for k, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, lambda: shared.value.forget()), docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: For texts in Latin-1: the tokenizer's splitting pattern, as sets of characters; and for ASCII alone.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
@@ -60,6 +60,9 @@ class Encoder:
         self.codes = _Codes()
         self.stops, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
+    def forget(self) -> None:
+        self.codes, self.stops, self.ids = _Codes(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+
     def _learn(self) -> None:
         """Tokenizes the new words in one go; a word's last token is marked in the vocabulary."""
         got = np.array(self.tokenizer.encode_batch_fast([" ".join(self.codes.new)], add_special_tokens=False)[0].ids, np.uint32)
@@ -110,7 +113,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def shared_encoder(path: str) -> Encoder:
-    """The worker's encoder: its memory outlives a task."""
+    """The worker's encoder: the vocabulary outlives a task, remembered words do not."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -225,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, lambda: shared_encoder(tokenizer).forget()), schema)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

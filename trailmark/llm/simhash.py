@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, table
+from .common import attach, components, cut, table, tidy
 
 SEED = 42  # of XXH64, a fixed value of the fingerprint's definition
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str, text: str, words: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")
 
 
 def forest(own: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -240,7 +240,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([wide_fingerprint(x, lanes) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "row", "fp", "n"])
 
-    rows = cut(base.mapInArrow(run, f"doc_id {kind}, row {row_kind}, fp binary, n bigint"))
+    rows = cut(base.mapInArrow(tidy(run), f"doc_id {kind}, row {row_kind}, fp binary, n bigint"))
     low = F.conv(F.hex(F.reverse(F.substring("fp", 1, 8))), 16, -10).cast("long")
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.max("n").alias("n"))
     band = max(1, first // 2)
@@ -292,7 +292,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(pair_rows, pair_arrow), pa.array(ids, pa.int64()), pa.array(fp_rows, pa.binary()), pa.array(set_rows, pa.list_(pa.int64()))], names=["pair", "node", "fp", "set"])
 
     pair_arrow = pa.struct([(x, pa.int64()) for x in ("b1", "t1", "b2", "t2")])
-    held = base.join(asked, F.col("doc_id") == F.col("__least")).select("text", "node", "fp", "pairs").mapInArrow(read, f"pair {pair_type}, node bigint, fp binary, set array<bigint>")
+    held = base.join(asked, F.col("doc_id") == F.col("__least")).select("text", "node", "fp", "pairs").mapInArrow(tidy(read), f"pair {pair_type}, node bigint, fp binary, set array<bigint>")
 
     def verify(group: pa.Table) -> pa.Table:
         nodes, at = np.unique(group.column("node").to_numpy(), return_index=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut as cut_lineage
-from .common import table
+from .common import table, tidy
 from .langid import held_out, sample_of
 
 SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
@@ -412,7 +412,7 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
                 got = mine.scores(part.column(1).to_pylist()) if mine else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, lambda: machine and shared.value.known.clear()), f"doc_id {kind}, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
