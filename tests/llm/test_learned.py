@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -303,3 +304,36 @@ def test_passages_of_repeated_lines_and_second_occurrences(spark):
     covered = lambda doc, other: {w for a, b, start, end in got if (a, b) == (doc, other) for w in range(start, end)}
     assert covered(1, 0) == set(range(5, 113)) and covered(0, 1) == set(range(20, 290))
     assert covered(3, 2) == {*range(60), *range(130, 190)} and covered(2, 3) == {*range(20, 80), *range(150, 210)}
+
+
+def test_words_of_scripts_without_spaces():
+    assert langid.words_of("½ ② ³ 12") == [] and langid.words_of("ab½c") == ["ab", "c"]
+    assert langid.words_of("日本語のテキスト") == ["日本語", "のテキスト"] and langid.words_of("приветhello") == ["привет", "hello"]
+    assert langid.words_of("नमस्ते été") == ["नमस्ते", "été"]
+    long = "ก" * 100 + "ข" * 50
+    assert "".join(langid.words_of(long)) == long and max(map(len, langid.words_of(long))) <= langid.LONGEST
+
+
+def test_scores_are_sums_over_ngrams(spark):
+    model = langid.fit(spark.createDataFrame([(1, "the thing with", "en"), (2, "это который время", "ru"), (3, "ภาษาไทยไม่มีเว้นวรรค", "th")], "doc_id long, text string, lang string"))
+    words = ["thing", "unseen", "который", "ภาษาไทย"]
+    got = model.fresh(words)
+    for row, w in zip(got, words):
+        own = [model.logs[model.rows[g]] for g in langid.grams(w) if g in model.rows]
+        allowed = model.scripts[langid.script(w)]
+        want = np.sum(own, axis=0) * min(len(w), model.most) / max(1, len(own)) if own else np.zeros(3)
+        assert np.allclose(row[allowed], want[allowed], atol=1e-4)
+    assert [g.lang_pred for g in langid.label(spark.createDataFrame([(1, "ก" + "ไทยภาษา" * 30)], "doc_id long, text string"), model).collect()] == ["th"]
+
+
+def test_a_rare_script_in_a_large_fit(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(200)), "en") for k in range(30)] + [(99, "καλημέρα κόσμε", "el")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), features=50)
+    assert [g.lang_pred for g in langid.label(spark.createDataFrame([(1, "κόσμε καλή")], "doc_id long, text string"), model).collect()] == ["el"]
+
+
+def test_slices_are_bounded():
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 10] * 7 + [None, "y" * 100, ""]})
+    parts = list(langid.slices(batch, 0, rows=4, size=30))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) <= 4

@@ -45,7 +45,7 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)],
 }
 _RANGES = sorted((a, b, k) for k, name in enumerate(SCRIPTS) for a, b in SCRIPTS[name])
-_STARTS = np.array([a for a, _, _ in _RANGES])
+_STARTS, _ENDS, _KINDS = (np.array(c) for c in zip(*_RANGES))
 SIZES = (1, 2, 3, 4)  # lengths of the character n-grams
 _CLASSES = ["".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in own) for own in SCRIPTS.values()]
 _SPLIT = regex.compile("|".join(f"[{c}\\p{{M}}]+" for c in _CLASSES) + f"|[^{''.join(_CLASSES)}]+")
@@ -62,6 +62,12 @@ def script(word: str) -> int:
     return _RANGES[k][2] if k >= 0 and c <= _RANGES[k][1] else -1
 
 
+def scripts_of(first: np.ndarray) -> np.ndarray:
+    """As ``script``, of many first letters."""
+    k = np.searchsorted(_STARTS, first, "right") - 1
+    return np.where((k >= 0) & (first <= _ENDS[k]), _KINDS[k], -1)
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a whole text, in lower case."""
     low = (text or "").lower()
@@ -90,6 +96,19 @@ def grams(word: str) -> list[str]:
     return [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
 
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def gram_keys(line: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of the n code points from each place."""
+    key = np.full(max(0, len(line) - n + 1), n, np.uint64)
+    for k in range(n):
+        key = (key ^ line[k : k + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 @dataclass
 class Model:
     """Log-probabilities of n-grams by language, and what languages each script has."""
@@ -107,15 +126,29 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": np.empty((0, 0), np.float32)}
 
+    def __post_init__(self):
+        keys = np.array([gram_keys(points(g), len(g))[0] for g in self.rows], np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.order = np.fromiter(self.rows.values(), np.int64, len(self.rows))[self.order]
+
     def fresh(self, words: list[str]) -> np.ndarray:
         """A row for each word: mean log-probability of its n-grams times its length; scripts narrow the languages."""
-        found = [[self.rows[g] for g in grams(w) if g in self.rows] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.logs[[k for f in found for k in f]], axis=0, dtype=float).reshape(-1, len(self.langs))])
-        stops = np.cumsum(sizes)
-        lengths = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), self.most)
-        out = (sums[stops] - sums[stops - sizes]) * (lengths / np.maximum(sizes, 1))[:, None]
-        kinds = np.fromiter(map(script, words), np.int64, len(words))
+        sizes, out = np.zeros(len(words)), np.zeros((len(words), len(self.langs)))
+        long = np.fromiter(map(len, words), np.int64, len(words))
+        line = points(" " + "  ".join(words) + " ")  # every word between two spaces of its own
+        owner = np.repeat(np.arange(len(words)), long + 2)
+        for n in SIZES if len(self.keys) and words else ():
+            keys = gram_keys(line, n)
+            own = owner[: len(keys)]
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero((self.keys[at] == keys) & (own == owner[n - 1 :]))
+            rows, own = self.order[at[hit]], own[hit]
+            sizes += np.bincount(own, minlength=len(words))
+            for k in range(len(self.langs)):
+                out[:, k] += np.bincount(own, self.logs[rows, k], len(words))
+        out *= (np.minimum(long, self.most) / np.maximum(sizes, 1))[:, None]
+        kinds = scripts_of(np.fromiter((ord(w[0]) for w in words), np.int64, len(words)))
         for kind in np.unique(kinds).tolist():
             if kind not in self.scripts:
                 out[kinds == kind] = 0
