@@ -337,3 +337,37 @@ def test_slices_are_bounded():
     batch = pa.RecordBatch.from_pydict({"t": ["x" * 10] * 7 + [None, "y" * 100, ""]})
     parts = list(langid.slices(batch, 0, rows=4, size=30))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) <= 4
+
+
+def test_passages_of_odd_ids(spark):
+    """String ids, repeated ids with other texts, null ids; parts of 30 words in earlier documents."""
+    r = random.Random(13)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    p = fresh(120)
+    rows = [("a", " ".join(fresh(9) + p), 1), ("b", " ".join(p + fresh(9)), 1), ("b", " ".join(fresh(70)), 1), (None, " ".join(p), 1), ("c", None, 1), ("d", "", 1)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows[:2], "doc_id string, text string, start int")).collect()
+    assert {(g.doc_id, g.other_doc_id, g.end - g.start) for g in got} == {("a", "b", 120), ("b", "a", 120)}
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string, start int")).collect()
+    assert {(g.doc_id, g.other_doc_id) for g in got} <= {("a", "b"), ("b", "a")}
+    parts = [fresh(20) + p[a : a + 30] + fresh(20) for a in range(0, 91, 10)]
+    got = passages(spark, [*parts, fresh(5) + p, fresh(50) + p + fresh(3) + p[:60]])
+    covered = {w for a, b, start, end in got if (a, b) == (11, 10) for w in range(start, end)}
+    assert covered >= {*range(50, 170), *range(173, 233)}
+
+
+def test_open_runs_hold_every_shared_window():
+    """By brute force: where two documents share 45 words, the window lies in an open run of either."""
+    rng, size, k, window = np.random.default_rng(3), 45, 5, 12
+    for _ in range(200):
+        words = [rng.integers(0, 2**63, n).astype(np.uint64) for n in rng.integers(60, 120, 2)]
+        n = int(rng.integers(45, 56))
+        i, j = (int(rng.integers(0, len(w) - n)) for w in words)
+        words[1][j : j + n] = words[0][i : i + n]
+        (at, h), (at2, h2) = (substring_dedup.minimizers(w, k, window) for w in words)
+        at = np.where(at < 0, ~at, at)
+        both = np.isin(h, h2)
+        runs = substring_dedup.open_runs(at[both], np.flatnonzero(both), k, window, size)
+        for p in range(i, i + n - size + 1):
+            assert any(a <= p < b for a, b in runs.tolist())
+        left = substring_dedup.uncovered(runs, np.array([i]), np.array([i + n]), size)
+        assert not any(a <= p < b for p in range(i, i + n - size + 1) for a, b in left.tolist())

@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle and checkpoint files of plans that nothing refers to any more.
+
+    Spark removes them when the driver's JVM collects the plans, which may be long after a phase is done.
+    """
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` to ``groups``, which has one row for each value of ``keys``.
 
