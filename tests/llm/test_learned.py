@@ -371,3 +371,13 @@ def test_open_runs_hold_every_shared_window():
             assert any(a <= p < b for a, b in runs.tolist())
         left = substring_dedup.uncovered(runs, np.array([i]), np.array([i + n]), size)
         assert not any(a <= p < b for p in range(i, i + n - size + 1) for a, b in left.tolist())
+
+
+def test_minimizers_of_many_texts():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 9 if n % 3 else 2**60, n).astype(np.uint64) for n in [0, 1, 4, 5, 6, 15, 16, 17, 40, 300, 3, 0]]
+    text, place, number, h = substring_dedup.minimizers_of(texts, 5, 12)
+    for i, t in enumerate(texts):
+        at, hashes = substring_dedup.minimizers(t, 5, 12)
+        assert place[text == i].tolist() == at.tolist() and h[text == i].tolist() == hashes.tolist() and number[text == i].tolist() == list(range(len(at)))
+    assert all(len(x) == 0 for x in substring_dedup.minimizers_of([], 5, 12))
