@@ -381,3 +381,29 @@ def test_minimizers_of_many_texts():
         at, hashes = substring_dedup.minimizers(t, 5, 12)
         assert place[text == i].tolist() == at.tolist() and h[text == i].tolist() == hashes.tolist() and number[text == i].tolist() == list(range(len(at)))
     assert all(len(x) == 0 for x in substring_dedup.minimizers_of([], 5, 12))
+
+
+def test_matched_words_are_common_subsequences():
+    rng = np.random.default_rng(6)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    pairs = []
+    for n in (20, 90, 300, 500):
+        for edits in (0, 3, 12, 40):
+            a = rng.integers(0, 5000, n).astype(np.int32)
+            b = a.tolist()
+            for _ in range(edits):
+                at = int(rng.integers(0, len(b)))
+                b[at : at + int(rng.integers(0, 3))] = rng.integers(0, 5000, int(rng.integers(0, 3))).tolist()
+            pairs.append((a, np.array(b, np.int32)))
+    for (a, b), got in zip(pairs, substring_dedup.matched_words(pairs, 5, 12)):
+        assert 0.97 * lcs(a, b) <= got <= lcs(a, b)
+    assert substring_dedup.rising(np.array([3, 1, 2, 9, 4, 5])).tolist() == [1, 2, 4, 5]
