@@ -12,6 +12,7 @@ from trailmark.operators.rollup import KIND, PROV
 from trailmark.schema import LOG
 from trailmark.sources import log as source
 from trailmark.sources import views
+from trailmark.streaming.fold import host_of
 
 
 def nodes_of(spark, rows):
@@ -118,18 +119,41 @@ def events(*steps):
     return out
 
 
-def test_chains_and_flow():
-    c = sequences.Chains()
-    for e in events((0, "a.co", "typed"), (9e6, "b.co", "link"), (18e6, "c.co", "link"), (27e6, "d.co", "typed"), (36e6, "e.co", "link")):
-        c.event(e)
-    c.end(1)
-    assert c.done == [["a.co", "b.co", "c.co"], ["d.co", "e.co"]]
-    f = flow.session_flow(events((0, "a.co", "typed"), (9e6, "b.co", "link"), (18e6, "c.co", "link"), (27e6, "b.co", "auto_bookmark")))
-    assert len(f.links) == 2 and sorted(n[1] for n in f.nodes if n[0] == "b.co") == [0, 1] and [n[1] for n in f.nodes if n[0] == "c.co"] == [2]
-    f = flow.session_flow(events((0, "gh.co", "start_page"), (9e6, "site.co", "link"), (18e6, "gh.co", "link")))
-    assert [(n[0], n[1]) for n in f.nodes] == [("gh.co", 0), ("site.co", 1)] and len(f.links) == 2
-    f = flow.session_flow(events((100, "a.co", "typed"), (200, "b.co", "link"), (300, "c.co", "link", "R"), (5000, "d.co", "link")))
-    assert {(f.nodes[a][0], f.nodes[b][0]) for a, b, _, _ in f.links} == {("a.co", "c.co"), ("c.co", "d.co")}
+def in_sessions(spark, *sessions):
+    """The events of several sessions, as DataFrame."""
+    rows = [{**e, "session": k} for k, own in enumerate(sessions) for e in own]
+    return spark.createDataFrame([tuple(e.get(n) for n in ("session", *LOG.names)) for e in rows], "session long, " + LOG.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+
+
+def test_chains(spark):
+    typed = events((0, "a.co", "typed"), (9000, "b.co", "link"), (18000, "c.co", "link"), (27000, "d.co", "typed"), (36000, "e.co", "link"))
+    moved = events((100, "a.co", "typed"), (9000, "b.co", "link"), (9300, "c.co", "link", "R"), (9400, "a.co", "link", "B"), (20000, "c.co", "link"), (30000, "d.co", "form_submit"))
+    opened = events((0, "a.co", "typed"), (1, "x", "x"), (9000, "b.co", "link"), (18000, "c.co", "link"), (18001, "x", "x"), (27000, "d.co", "link"))
+    opened[1].update(kind="link", src_tab=1, new_tab=2, url=None)
+    opened[2]["tab"] = opened[3]["tab"] = opened[5]["tab"] = 2
+    opened[4].update(kind="close", tab=2, url=None)
+    got = {(r.session, *r.chain) for r in sequences.chains(in_sessions(spark, typed, moved, opened)).collect()}
+    assert got == {(0, "a.co", "b.co", "c.co"), (0, "d.co", "e.co"), (1, "a.co", "c.co", "d.co"), (2, "a.co", "b.co", "c.co")}
+    domains = in_sessions(spark, events((0, "gist.github.com", "typed"), (9000, "raw.github.com", "link"), (18000, "www.other.org", "link")))
+    assert [r.chain for r in sequences.chains(domains, by_domain=True).collect()] == [["github.com", "other.org"]]
+
+
+def test_flow(spark):
+    back = events((0, "a.co", "typed"), (9000, "b.co", "link"), (18000, "c.co", "link"), (27000, "b.co", "auto_bookmark"))
+    round_trip = events((0, "gh.co", "start_page"), (9000, "site.co", "link"), (18000, "gh.co", "link"))
+    moved = events((100, "a.co", "typed"), (200, "b.co", "link"), (300, "c.co", "link", "R"), (5000, "d.co", "link"))
+    all_ = in_sessions(spark, back, round_trip, moved)
+    links = flow.flows(all_).collect()
+    nodes = flow.flow_nodes(all_).collect()
+    assert len([x for x in links if x.session == 0]) == 2 and sorted(n.layer for n in nodes if n.session == 0 and n.key == "b.co") == [0, 1]
+    assert [n.layer for n in nodes if n.session == 0 and n.key == "c.co"] == [2]
+    assert sorted((n.key, n.layer) for n in nodes if n.session == 1) == [("gh.co", 0), ("site.co", 1)] and len([x for x in links if x.session == 1]) == 2
+    assert {(x.src, x.dst) for x in links if x.session == 2} == {("a.co", "c.co"), ("c.co", "d.co")}
+    assert {n.key: n.prov for n in nodes if n.session == 2} == {"a.co": "typed", "c.co": "link", "d.co": "link"}
+    assert flow.flows(all_.limit(0)).count() == 0
+
+
+def test_layers():
     main, loose = flow.split_orphans(flow.layered([("a", "b")], ["c"], []))
     assert [n[0] for n in main.nodes] == ["a", "b"] and loose == [("c", 1)]
     assert [n[0] for n in flow.focused(flow.layered([("a", "b"), ("b", "c"), ("x", "b")], ["a"], []), 0, 1).nodes] == ["a", "b", "c"]
@@ -147,7 +171,25 @@ def test_urls(spark):
     assert {r.url: (r.engine, r.terms) for r in got.collect()} == search
     page = spark.createDataFrame([("https://e.com",), ("https://e.com/a?b=1#f",), ("https://e.com/a?" + "x" * 50,)], "url string").select(urls.path_query(F.col("url")))
     assert [r[0] for r in page.collect()] == ["/", "/a?b=1", "/a?" + "x" * 48 + "…"]
-    assert spark.createDataFrame([("bücher.de",)], "h string").select(urls.punycode("h")).first()[0] == "xn--bcher-kva.de"
+    odd = {"https://Bücher.de/x": "xn--bcher-kva.de", "http://ex%61mple.com:80/": "example.com", "http://a%20b.com/": None, "https://пример.рф": "xn--e1afmkfd.xn--p1ai", "http://%zz.com/": None}
+    df = spark.createDataFrame([(u,) for u in odd], "url string")
+    assert {r.url: r.h for r in df.select("url", urls.host(F.col("url")).alias("h")).collect()} == odd
+    assert {u: host_of(u) for u in odd} == odd
+
+
+def test_suffixes_without_a_list(spark, tmp_path, monkeypatch):
+    hosts = {"a.b.example.co.uk": "example.co.uk", "www.example.com": "example.com", "localhost": "localhost", "10.0.0.1": "10.0.0.1", "x.example.io": "example.io"}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    monkeypatch.setattr(urls, "_RULES", {})
+    monkeypatch.setattr(urls, "suffix_text", lambda spark: None)
+    assert {r.host: r.registrable for r in urls.registrable(df).collect()} == hosts
+    monkeypatch.undo()
+    (tmp_path / "list.dat").write_text("// ===BEGIN ICANN DOMAINS===\nio\nexample.io\n*.uk\n// ===END ICANN DOMAINS===\nignored.com\n")
+    spark.conf.set("spark.trailmark.suffixList", str(tmp_path / "list.dat"))
+    try:
+        assert {r.host: r.registrable for r in urls.registrable(df).collect()} == hosts | {"a.b.example.co.uk": "example.co.uk", "www.example.com": "www.example.com", "x.example.io": "x.example.io"}
+    finally:
+        spark.conf.unset("spark.trailmark.suffixList")
 
 
 def test_labels(spark):

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 AUTHORITY = r"(?i)^\s*https?://(?:[^/?#@\\]*@)?(\[[0-9a-f:.]+\]|[^/:?#\\\s<>^|%]+)(?::\d*)?(?:[/?#\\]|\s*$)"
+#: The same for a host with percent-encoded bytes.
+CODED = r"(?i)^\s*https?://(?:[^/?#@\\]*@)?([^/:?#\\\s<>^|]*%[0-9a-f]{2}[^/:?#\\\s<>^|]*)(?::\d*)?(?:[/?#\\]|\s*$)"
 #: Search engines: name, host pattern, path pattern, parameter. Fixed values.
 ENGINES = (
     ("Google", r"google\..+", "/search", "q"), ("Bing", r"bing\.com", "/search", "q"), ("DuckDuckGo", r"duckduckgo\.com", None, "q"),
@@ -19,22 +17,25 @@ ENGINES = (
 
 
 def host(url: Column) -> Column:
-    """Lower-cased host of an http(s) URL without port, brackets kept on IPv6; null for anything else."""
-    found = F.lower(F.regexp_extract(url, AUTHORITY, 1))
-    return F.when(found != "", F.rtrim(found))
+    """Lower-cased host of an http(s) URL without port, brackets kept on IPv6; null for anything else.
 
+    A host with percent signs is decoded first; one outside ASCII is told in IDNA form, by Java's own
+    library, so that no Python runs. Only such hosts are looked at twice.
+    """
+    found = F.lower(F.regexp_extract(url, AUTHORITY, 1))
+    coded = F.lower(F.try_url_decode(F.regexp_extract(url, CODED, 1)))
+    found = F.when(found != "", found).when(coded != "", coded)
+    plain = F.octet_length(found) == F.char_length(found)
+    told = F.when(plain, found).otherwise(F.lower(F.call_function("try_reflect", F.lit("java.net.IDN"), F.lit("toASCII"), found)))
+    return F.rtrim(F.when(told.rlike(r"[\s<>^|%/?#@]"), None).otherwise(told))
 
-@F.pandas_udf(StringType())
-def punycode(hosts: pd.Series) -> pd.Series:
-    """IDNA form of hosts outside ASCII; only such rows need it."""
-
-    def one(h):
-        try:
-            return h if h is None or h.isascii() else h.encode("idna").decode("ascii")
-        except UnicodeError:
-            return None
 
-    return hosts.map(one)
+def idna(name: str | None) -> str | None:
+    """IDNA form of a host; null where it has none."""
+    try:
+        return name if name is None or name.isascii() else name.encode("idna").decode("ascii")
+    except UnicodeError:
+        return None
 
 
 def path_query(url: Column, limit: int = 48) -> Column:
@@ -57,19 +58,53 @@ def with_search(df: DataFrame, url: str = "url") -> DataFrame:
     return rows.withColumn("engine", F.when(F.col("terms").isNotNull(), F.col("__e.name"))).drop("__at", "__e", "__raw")
 
 
-@lru_cache(maxsize=1)
-def suffix_rules(folder: str | None = None) -> tuple[tuple[str, str], ...]:
-    """(suffix, kind) of the ICANN section of the public suffix list inside Spark's own HTTP client."""
+#: Where no suffix list is found: country suffixes with second-level registries, by rule. Fixed values.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "mil", "net", "org")
+COUNTRIES = ("ar", "au", "bd", "br", "cn", "co", "eg", "hk", "id", "il", "in", "jp", "ke", "kr", "my", "ng", "nz", "ph", "pk", "sg", "th", "tr", "tw", "ua", "uk", "vn", "za")
+
+
+def suffix_text(spark: SparkSession) -> str | None:
+    """The public suffix list: spark.trailmark.suffixList, else that of Spark's HTTP client, on its class path or in its jars."""
+    given = spark.conf.get("spark.trailmark.suffixList", None)
+    if given:
+        return "\n".join(r.value for r in spark.read.text(given, wholetext=True).collect())  # one file of fixed size
+    name = "mozilla/public-suffix-list.txt"
+    jvm = getattr(spark, "_jvm", None)
+    stream = jvm and jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(name)
+    if stream:
+        return jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A").next()
     import glob
     import os
     import zipfile
 
     import pyspark
 
-    jars = glob.glob(os.path.join(folder or os.path.join(os.path.dirname(pyspark.__file__), "jars"), "httpclient-*.jar"))
-    lines = zipfile.ZipFile(jars[0]).read("mozilla/public-suffix-list.txt").decode().split("===BEGIN ICANN DOMAINS===")[1].split("===END ICANN DOMAINS===")[0].split("\n")
-    rules = (x.strip().split()[0] for x in lines if x.strip() and not x.startswith("//"))
-    return tuple((r[2:], "wild") if r.startswith("*.") else (r[1:], "except") if r.startswith("!") else (r, "exact") for r in rules)
+    for home in (os.environ.get("SPARK_HOME", ""), os.path.dirname(pyspark.__file__)):
+        for jar in sorted(glob.glob(os.path.join(home, "jars", "httpclient*.jar"))):
+            with zipfile.ZipFile(jar) as z:
+                if name in z.namelist():
+                    return z.read(name).decode()
+    return None
+
+
+_RULES: dict[str, list[tuple[str, str]]] = {}
+
+
+def suffix_rules(spark: SparkSession) -> list[tuple[str, str]]:
+    """(suffix, kind) of the ICANN section of the public suffix list; without a list that of SECOND_LEVELS.
+
+    Rules of other scripts are told in IDNA form too, as hosts are.
+    """
+    key = spark.conf.get("spark.trailmark.suffixList", None) or ""
+    if key not in _RULES:
+        text = suffix_text(spark)
+        if text is None:
+            rules = ["*", *(f"{s}.{c}" for c in COUNTRIES for s in SECOND_LEVELS)]
+        else:
+            part = text.split("===BEGIN ICANN DOMAINS===")[-1].split("===END ICANN DOMAINS===")[0]
+            rules = [x.strip().split()[0] for x in part.split("\n") if x.strip() and not x.startswith("//")]
+        _RULES[key] = sorted({(form, kind) for r in rules for kind, name in [("top", "") if r == "*" else ("wild", r[2:]) if r.startswith("*.") else ("except", r[1:]) if r.startswith("!") else ("exact", r)] for form in (name, idna(name) or name)})
+    return _RULES[key]
 
 
 def registrable(hosts: DataFrame, column: str = "host") -> DataFrame:
@@ -79,7 +114,9 @@ def registrable(hosts: DataFrame, column: str = "host") -> DataFrame:
     IP addresses and hosts that are themselves suffixes stay as they are; a trailing dot goes.
     """
     spark = hosts.sparkSession
-    rules = spark.createDataFrame(list(suffix_rules()), "suffix string, rule string")
+    known = suffix_rules(spark)
+    every = ("", "top") in known  # any last label is a suffix
+    rules = spark.createDataFrame([x for x in known if x[1] != "top"], "suffix string, rule string")
     names = hosts.select(column).where(F.col(column).isNotNull()).distinct().withColumn("h", F.regexp_replace(column, r"\.$", ""))
     address = F.col("h").rlike(r"^\d+(\.\d+){3}$|^\[")
     parts = names.withColumn("labels", F.split("h", r"\.")).withColumn("n", F.size("labels"))
@@ -88,7 +125,7 @@ def registrable(hosts: DataFrame, column: str = "host") -> DataFrame:
     hit = each.join(F.broadcast(rules), "suffix")
     size = F.when(F.col("rule") == "except", F.col("k") - 1 + 1000).when(F.col("rule") == "wild", F.least(F.col("k") + 1, F.col("n"))).otherwise(F.col("k"))
     best = hit.groupBy(column).agg(F.max(size).alias("size")).withColumn("size", F.col("size") % 1000)
-    out = parts.join(best, column, "left").withColumn("keep", F.col("size") + 1)
+    out = parts.join(best, column, "left").withColumn("size", F.coalesce("size", F.when(F.lit(every) & (F.col("n") > 1), 1))).withColumn("keep", F.col("size") + 1)
     domain = F.when(address | F.col("size").isNull() | (F.col("keep") > F.col("n")), F.col("h")).otherwise(F.array_join(F.slice(F.col("labels"), F.greatest(F.col("n") - F.col("keep") + 1, F.lit(1)), F.col("keep")), "."))
     return hosts.join(out.select(column, domain.alias("registrable")), column, "left")
 

@@ -1,68 +1,54 @@
-"""Session flow: layered host-to-host flow of one session."""
+"""Session flow: layered key-to-key flow of a session."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..schema import EDGE_KINDS, PROVENANCES, REDIRECT_WINDOW_MS, TRANSITIONS
-from ..streaming.fold import host_of
+from ..functions.scalars import is_edge
+from ..schema import EDGE_KINDS, PROVENANCES, REDIRECT_WINDOW_MS
+from .sequences import SO_FAR, tab_rows, tab_window, with_opener
 
 
 def top_of(counts: Counter, names: tuple[str, ...]) -> str:
     return max(names, key=lambda n: (counts.get(n, 0), -names.index(n)))
 
 
-class Moves:
-    """Reads a session's events into transitions and entries, holding each landing until it is stable."""
-
-    def __init__(self):
-        self.at, self.held, self.spawned = {}, {}, {}
-        self.moves, self.entries = [], []
-        self.provs, self.kinds = defaultdict(Counter), defaultdict(Counter)
-
-    def settle(self, tab) -> None:
-        h = self.held.pop(tab, None)
-        if h is None:
-            return
-        origin, host, prov, _ = h
-        self.provs[host][prov] += 1
-        self.at[tab] = (host, prov)
-        if prov in ("link", "form") and origin and origin[0] != host:
-            self.kinds[origin[0], host]["search_link" if origin[1] == "search_origin" else prov] += 1
-            self.moves.append((origin[0], host))
-        else:
-            self.entries.append(host)
-
-    def event(self, e: dict) -> None:
-        kind, tab = e["kind"], e["tab"]
-        if kind == "link":
-            h = self.held.get(e["src_tab"])
-            page = (h[1], h[2]) if h else self.at.get(e["src_tab"])
-            if page:
-                self.spawned[e["new_tab"]] = page
-        elif kind == "close":
-            self.settle(tab)
-        elif kind == "start":
-            for t in sorted(self.held):
-                self.settle(t)
-        elif kind == "nav":
-            host, prov = host_of(e["url"]), TRANSITIONS.get(e["transition"], "other")
-            if host is None or prov in ("reload", "other"):
-                return
-            h = self.held.get(tab)
-            if e["redirect"] and h and e["ts"] - h[3] < REDIRECT_WINDOW_MS:
-                self.held[tab] = (h[0], host, prov, e["ts"])
-                return
-            self.settle(tab)
-            if e["back"]:
-                self.at[tab] = (host, prov)
-            elif self.at.get(tab, ("",))[0] != host:
-                origin = self.spawned.pop(tab, None)
-                self.held[tab] = (origin or self.at.get(tab) if prov in ("link", "form") else None, host, prov, e["ts"])
+def landings(events: DataFrame, by_domain: bool = False) -> DataFrame:
+    """Every landing of a tab that came to rest: session, place, tab, src, dst, prov, kind.
+
+    A quick redirect moves a landing on. src and kind are set where it is a link or form from another key: from
+    the page the tab was opened from, else from the tab's page before. place is the id of the event that ended
+    it; it is null for one that the session leaves standing.
+    """
+    before, so_far, after = tab_window()
+    nav = F.col("step") == "nav"
+    rows = tab_rows(events, by_domain).withColumn("cut", F.col("cuts") + F.count(F.when(F.col("step") == "close", 1)).over(so_far))
+    rows = rows.withColumn("last", F.last(F.when(nav, F.struct("key", "ts", "cut")), True).over(before))
+    near = F.col("redirect") & (F.col("ts") - F.col("last.ts") < REDIRECT_WINDOW_MS) & (F.col("cut") == F.col("last.cut"))
+    rows = rows.withColumn("near", nav & F.coalesce(near, F.lit(False)))
+    rows = rows.withColumn("other", nav & ~F.col("back") & (F.col("last").isNull() | (F.col("last.key") != F.col("key"))))
+    # A redirect moves what is held, and something is held if any row of its unbroken run of redirects landed.
+    rows = rows.withColumn("run", F.count(F.when(nav & ~F.col("near"), 1)).over(so_far))
+    run = Window.partitionBy("session", "tab", "run").orderBy("id", "place").rowsBetween(*SO_FAR)
+    rows = rows.withColumn("held", F.max(F.when(nav, F.col("other"))).over(run))
+    rows = rows.withColumn("moved", F.col("near") & F.coalesce(F.last(F.when(nav, F.col("held")), True).over(before), F.lit(False)))
+    rows = rows.withColumn("landing", F.col("other") & ~F.col("moved")).withColumn("number", F.count(F.when(F.col("landing"), 1)).over(so_far))
+    changes = nav & (F.col("landing") | F.col("moved") | F.col("back"))
+    page = F.when(F.col("last").isNotNull(), F.struct(F.col("last.key").alias("key"), F.last(F.when(changes, F.col("prov")), True).over(before).alias("prov")))
+    rows = with_opener(rows.withColumn("page", page), F.col("page"), "number")
+    origin = F.when(is_edge(F.col("prov")), F.coalesce("opener", "page"))
+    ended = F.first(F.when((nav & ~F.col("moved")) | (F.col("step") == "close"), F.col("id")), True).over(after)
+    rows = rows.withColumn("origin", F.when(F.col("landing"), origin)).withColumn("ended", F.least(ended, "restart")).where("landing or moved")
+    rest = rows.groupBy("session", "tab", "number").agg(F.min_by("origin", "id").alias("origin"), F.max_by(F.struct("key", "prov", "ended"), "id").alias("at"))
+    went = is_edge(F.col("at.prov")) & F.col("origin").isNotNull() & (F.col("origin.key") != F.col("at.key"))
+    kind = F.when(F.col("origin.prov") == "search_origin", "search_link").otherwise(F.col("at.prov"))
+    return rest.select("session", F.col("at.ended").alias("place"), "tab", F.when(went, F.col("origin.key")).alias("src"), F.col("at.key").alias("dst"), "at.prov", F.when(went, kind).alias("kind"))
 
 
 @dataclass
@@ -73,60 +59,72 @@ class Flow:
     links: list = field(default_factory=list)
 
 
-def layered(moves: list[tuple[str, str]], pinned: list[str], detached: list[str], provs=None, kinds=None) -> Flow:
+def back_links(n: int, links: list[tuple[int, int]]) -> np.ndarray:
+    """Which links lead to an ancestor (or the node itself) in a depth-first walk that takes nodes in order."""
+    reach = np.zeros((n, n), bool)
+    reach[tuple(np.array(links, np.int64).reshape(-1, 2).T)] = True
+    above, seen = np.zeros((n, n), bool), np.zeros(n, bool)  # above[k]: the ancestors of k and k itself
+    for root in range(n):
+        path = [] if seen[root] else [root]
+        if path:
+            seen[root] = above[root, root] = True
+        while path:
+            fresh = np.flatnonzero(reach[path[-1]] & ~seen)
+            if len(fresh):
+                k = int(fresh[0])
+                seen[k], above[k] = True, above[path[-1]]
+                above[k, k] = True
+                path.append(k)
+            else:
+                path.pop()
+    return np.array([above[a, b] for a, b in links], bool)
+
+
+def layers_of(n: int, links: list[tuple[int, int]], fixed: list[int]) -> np.ndarray:
+    """The longest path to each node over the links that don't lead back; ``fixed`` nodes stay in column 0."""
+    a, b = np.array(links, np.int64).reshape(-1, 2)[~back_links(n, links)].T if links else (np.empty(0, np.int64),) * 2
+    layer = np.zeros(n, np.int64)
+    while True:
+        new = np.zeros(n, np.int64)
+        np.maximum.at(new, b, layer[a] + 1)
+        new[fixed] = 0
+        if (new == layer).all():
+            return layer
+        layer = new
+
+
+def layered(moves: list[tuple[str, str]], pinned: list[str], detached: list[str], provs: dict | None = None, kinds: dict | None = None) -> Flow:
     """Longest-path layers after back links are set aside; entries stand in column 0, detached ones as nodes of their own."""
-    weight = Counter(moves)
     keys = list(dict.fromkeys([*(k for m in moves for k in m), *pinned]))  # in order of first appearance
-    at, near = {k: i for i, k in enumerate(keys)}, defaultdict(list)
-    for a, b in sorted(weight, key=lambda ab: (at[ab[0]], at[ab[1]])):
-        near[a].append(b)
-    colour, forward = dict.fromkeys(keys, 0), set()
-    for root in keys:
-        stack = [(root, iter(near[root]))] if not colour[root] else []
-        if stack:
-            colour[root] = 1
-        while stack:
-            k, rest = stack[-1]
-            nxt = next(rest, None)
-            if nxt is None:
-                colour[k] = 2
-                stack.pop()
-            elif colour[nxt] != 1:
-                forward.add((k, nxt))
-                if not colour[nxt]:
-                    colour[nxt] = 1
-                    stack.append((nxt, iter(near[nxt])))
-    degree = Counter(b for _, b in forward)
-    layer, queue, fixed = dict.fromkeys(keys, 0), [k for k in keys if not degree[k]], set(pinned)
-    while queue:
-        k = queue.pop(0)
-        for b in near[k]:
-            if (k, b) in forward:
-                if b not in fixed:
-                    layer[b] = max(layer[b], layer[k] + 1)
-                degree[b] -= 1
-                if not degree[b]:
-                    queue.append(b)
-    into, out = Counter(), Counter()
+    at, weight, lone = {k: i for i, k in enumerate(keys)}, Counter(moves), Counter(detached)
+    links = sorted((at[a], at[b]) for a, b in weight)
+    layer = layers_of(len(keys), links, [at[k] for k in pinned])
+    passing = np.zeros((2, len(keys)), np.int64)
     for (a, b), n in weight.items():
-        out[a] += n
-        into[b] += n
-    name = lambda k: top_of(provs[k], PROVENANCES) if provs and provs.get(k) else "other"
-    lone = Counter(detached)  # a second bar only for a host that stands further in
-    flow = Flow([(k, layer[k], max(into[k], out[k], 1, lone[k] if layer[k] == 0 else 0), name(k)) for k in keys])
-    flow.nodes += [(k, 0, n, name(k)) for k, n in sorted(lone.items()) if layer.get(k, 1)]
-    flow.links = sorted((at[a], at[b], n, top_of(kinds[a, b], EDGE_KINDS) if kinds else "link") for (a, b), n in weight.items())
+        passing[0, at[a]] += n
+        passing[1, at[b]] += n
+    prov = lambda k: top_of(provs[k], PROVENANCES) if provs and provs.get(k) else "other"
+    through = [max(1, int(passing[:, i].max()), 0 if layer[i] else lone[k]) for i, k in enumerate(keys)]
+    flow = Flow([(k, int(layer[i]), through[i], prov(k)) for i, k in enumerate(keys)])
+    # A second bar only for a key that stands further in.
+    flow.nodes += [(k, 0, n, prov(k)) for k, n in sorted(lone.items()) if k not in at or layer[at[k]]]
+    flow.links = [(a, b, weight[keys[a], keys[b]], top_of(kinds[keys[a], keys[b]], EDGE_KINDS) if kinds else "link") for a, b in links]
     return flow
 
 
 def session_flow(rows: list[dict]) -> Flow:
-    m = Moves()
-    for e in rows:
-        m.event(e)
-    for t in sorted(m.held):
-        m.settle(t)
-    targets = {b for _, b in m.moves}
-    return layered(m.moves, [h for h in m.entries if h not in targets], [h for h in m.entries if h in targets], m.provs, m.kinds)
+    """The flow of one session's ``landings``."""
+    rows = sorted(rows, key=lambda r: (r["place"] is None, r["place"] or 0, r["tab"]))
+    moves = [(r["src"], r["dst"]) for r in rows if r["src"] is not None]
+    entries = [r["dst"] for r in rows if r["src"] is None]
+    provs: dict[str, Counter] = {}
+    kinds: dict[tuple, Counter] = {}
+    for r in rows:
+        provs.setdefault(r["dst"], Counter())[r["prov"]] += 1
+        if r["src"] is not None:
+            kinds.setdefault((r["src"], r["dst"]), Counter())[r["kind"]] += 1
+    reached = {b for _, b in moves}
+    return layered(moves, [k for k in entries if k not in reached], [k for k in entries if k in reached], provs, kinds)
 
 
 def split_orphans(flow: Flow) -> tuple[Flow, list[tuple[str, int]]]:
@@ -156,13 +154,21 @@ def focused(flow: Flow, up: int, down: int) -> Flow:
     return Flow([flow.nodes[i] for i in kept], [(at[a], at[b], w, k) for a, b, w, k in flow.links if a in at and b in at])
 
 
-def flows(events: DataFrame) -> DataFrame:
-    """(session, src, src_layer, dst, dst_layer, weight, kind): every session's flow links."""
-
+def _by_session(events: DataFrame, by_domain: bool, rows_of, schema: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("id")
-        f, s = session_flow(rows.to_dict("records")), int(rows["session"].iloc[0])
-        return pd.DataFrame([(s, f.nodes[a][0], f.nodes[a][1], f.nodes[b][0], f.nodes[b][1], w, k) for a, b, w, k in f.links], columns=["session", "src", "src_layer", "dst", "dst_layer", "weight", "kind"])
+        session = int(pdf["session"].iloc[0])
+        flow = session_flow(pdf.astype(object).where(pdf.notna(), None).to_dict("records"))
+        return pd.DataFrame([(session, *r) for r in rows_of(flow)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return landings(events, by_domain).groupBy("session").applyInPandas(run, schema)
+
+
+def flows(events: DataFrame, by_domain: bool = False) -> DataFrame:
+    """Every session's flow links. A session's landings are one group, bounded by the session."""
+    told = lambda f: [(f.nodes[a][0], f.nodes[a][1], f.nodes[b][0], f.nodes[b][1], w, k) for a, b, w, k in f.links]
+    return _by_session(events, by_domain, told, "session bigint, src string, src_layer bigint, dst string, dst_layer bigint, weight bigint, kind string")
+
 
-    cols = ("session", "id", "ts", "kind", "tab", "new_tab", "src_tab", "transition", "redirect", "back", "url")
-    return events.select(*cols).groupBy("session").applyInPandas(run, "session bigint, src string, src_layer bigint, dst string, dst_layer bigint, weight bigint, kind string")
+def flow_nodes(events: DataFrame, by_domain: bool = False) -> DataFrame:
+    """Every session's flow nodes, with throughput and the provenance that most of its landings have."""
+    return _by_session(events, by_domain, lambda f: f.nodes, "session bigint, key string, layer bigint, throughput bigint, prov string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import REDIRECT_WINDOW_MS, TRANSITIONS
-from ..streaming.fold import host_of
+from ..functions.scalars import is_edge, is_ignored, provenance
+from ..functions.urls import host, registrable
+from ..schema import REDIRECT_WINDOW_MS
+
+BEFORE = (Window.unboundedPreceding, -1)
+SO_FAR = (Window.unboundedPreceding, 0)
+AFTER = (1, Window.unboundedFollowing)
 
 
 def session_events(sessions: DataFrame, log: DataFrame, bits: int = 10) -> DataFrame:
@@ -21,59 +25,64 @@ def session_events(sessions: DataFrame, log: DataFrame, bits: int = 10) -> DataF
     return e.join(s, "block").where("id between lo and hi").drop("block", "lo", "hi")
 
 
-class Chains:
-    """Grows each tab's chain of hosts: edges grow it, rootless landings begin another, redirects rewrite its end."""
-
-    def __init__(self):
-        self.open, self.spawned, self.last_ts, self.done = {}, {}, {}, []
-
-    def end(self, tab) -> None:
-        if len(chain := self.open.pop(tab, [])) >= 2:
-            self.done.append(chain)
-
-    def event(self, e: dict) -> None:
-        kind, tab = e["kind"], e["tab"]
-        if kind == "link" and self.open.get(e["src_tab"]):
-            self.spawned[e["new_tab"]] = self.open[e["src_tab"]][-1]
-        elif kind == "close":
-            self.end(tab)
-        elif kind == "start":
-            for t in sorted(self.open):
-                self.end(t)
-        elif kind == "nav":
-            host, prov = host_of(e["url"]), TRANSITIONS.get(e["transition"], "other")
-            if host is None or prov in ("reload", "other"):
-                return
-            soon = tab in self.last_ts and e["ts"] - self.last_ts[tab] < REDIRECT_WINDOW_MS
-            self.last_ts[tab] = e["ts"]
-            chain = self.open.get(tab)
-            if e["redirect"] and soon:
-                if chain:
-                    chain[-1] = host
-            elif not e["back"] and not (chain and chain[-1] == host):
-                origin = self.spawned.pop(tab, None)
-                if prov in ("link", "form"):
-                    chain = self.open.setdefault(tab, [])
-                    if not chain and origin is not None:
-                        chain.append(origin)
-                    chain.append(host)
-                else:
-                    self.end(tab)
-                    self.open[tab] = [host]
-
-
-def chains(events: DataFrame) -> DataFrame:
-    """(session, chain): chains of two hosts or more; a session's events are one group, bounded by the session."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, rows = Chains(), pdf.sort_values("id")
-        for e in rows.to_dict("records"):
-            c.event(e)
-        for t in sorted(c.open):
-            c.end(t)
-        return pd.DataFrame({"session": [int(rows["session"].iloc[0])] * len(c.done), "chain": pd.Series(c.done, dtype=object)})
-
-    return events.select("session", "id", "ts", "kind", "tab", "new_tab", "src_tab", "transition", "redirect", "back", "url").groupBy("session").applyInPandas(run, "session bigint, chain array<string>")
+def tab_rows(events: DataFrame, by_domain: bool = False) -> DataFrame:
+    """What happens to each tab of a session: session, tab, id, place, step, ts, key, prov, redirect, back, cuts, restart.
+
+    step is nav (with a key, not ignored), close, or an end of a link: source (of the opener, which comes
+    first) and spawn (of the new tab). key is the host, or its registrable domain. cuts counts the starts
+    before the row, restart is the id of the next one.
+    """
+    rows = events.withColumn("key", host(F.col("url")))
+    if by_domain:
+        rows = registrable(rows, "key").withColumn("key", F.col("registrable")).drop("registrable")
+    whole, start = Window.partitionBy("session").orderBy("id"), F.col("kind") == "start"
+    rows = rows.withColumn("prov", provenance(F.col("transition"))).withColumn("cuts", F.count(F.when(start, 1)).over(whole.rowsBetween(*SO_FAR))).withColumn("restart", F.first(F.when(start, F.col("id")), True).over(whole.rowsBetween(*AFTER)))
+    end = lambda tab, step, place: F.struct(F.col(tab).alias("tab"), F.lit(step).alias("step"), F.lit(place).alias("place"))
+    kind = F.col("kind")
+    told = F.when(kind == "link", F.array(end("src_tab", "source", 0), end("new_tab", "spawn", 1))).when(kind == "close", F.array(end("tab", "close", 1)))
+    told = told.when((kind == "nav") & F.col("key").isNotNull() & ~is_ignored(F.col("prov")), F.array(end("tab", "nav", 1)))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    return rows.select("session", "id", "ts", "key", "prov", flag("redirect"), flag("back"), "cuts", "restart", F.inline(told))
+
+
+def tab_window() -> tuple:
+    """Windows over a tab's rows: those before, those so far, those after."""
+    w = Window.partitionBy("session", "tab").orderBy("id", "place")
+    return w.rowsBetween(*BEFORE), w.rowsBetween(*SO_FAR), w.rowsBetween(*AFTER)
+
+
+def with_opener(rows: DataFrame, page: Column, taken: str) -> DataFrame:
+    """Adds opener: the opening tab's page when this tab was opened, until a row that counts in ``taken`` has used it."""
+    before, _, _ = tab_window()
+    sources = rows.where("step = 'source'").select("session", "id", page.alias("opened_by")).where("opened_by is not null")
+    rows = rows.join(sources, ["session", "id"], "left").withColumn("opened_by", F.when(F.col("step") == "spawn", F.col("opened_by")))
+    last = F.last(F.when(F.col("opened_by").isNotNull(), F.struct("opened_by", F.col(taken).alias("at"))), True).over(before)
+    return rows.withColumn("opener", last).withColumn("opener", F.when(F.col("opener.at") == F.col(taken) - 1, F.col("opener.opened_by"))).drop("opened_by")
+
+
+def chains(events: DataFrame, by_domain: bool = False) -> DataFrame:
+    """(session, chain): each tab's chains of two keys or more.
+
+    A link or form landing on another key lengthens the tab's chain, any other landing begins one, and a quick
+    redirect replaces the last key. A chain that begins with a link in a tab that was opened from a page begins
+    with that page's key. Closing a tab or starting the browser ends a chain; going back changes none.
+    """
+    before, so_far, _ = tab_window()
+    nav = F.col("step") == "nav"
+    rows = tab_rows(events, by_domain).withColumn("life", F.col("cuts") + F.count(F.when(F.col("step") == "close", 1)).over(so_far))
+    soon = F.col("ts") - F.last(F.when(nav, F.col("ts")), True).over(before) < REDIRECT_WINDOW_MS
+    rows = rows.withColumn("moved", nav & F.col("redirect") & F.coalesce(soon, F.lit(False))).withColumn("landing", nav & ~F.col("moved") & ~F.col("back"))
+    life = Window.partitionBy("session", "tab", "life").orderBy("id", "place")
+    rows = rows.withColumn("shown", F.col("landing") | (F.col("moved") & F.coalesce(F.max("landing").over(life.rowsBetween(*SO_FAR)), F.lit(False))))
+    rows = rows.withColumn("end", F.last(F.when(F.col("shown"), F.col("key")), True).over(life.rowsBetween(*BEFORE)))
+    rows = rows.withColumn("new", F.col("landing") & (F.col("end").isNull() | (F.col("end") != F.col("key"))))
+    rows = rows.withColumn("part", F.count(F.when(F.col("new"), 1)).over(so_far)).withColumn("number", F.count(F.when(F.col("new") & (F.col("end").isNull() | ~is_edge(F.col("prov"))), 1)).over(so_far))
+    rows = with_opener(rows, F.col("end"), "part").where("shown")
+    first = F.when(is_edge(F.col("prov")) & F.col("end").isNull(), F.col("opener"))
+    parts = rows.withColumn("first", first).groupBy("session", "tab", "number", "part").agg(F.max_by("key", "id").alias("key"), F.min_by("first", "id").alias("first"))
+    whole = parts.groupBy("session", "tab", "number").agg(F.array_sort(F.collect_list(F.struct("part", "key")))["key"].alias("keys"), F.min_by("first", "part").alias("first"))
+    chain = F.when(F.col("first").isNotNull(), F.concat(F.array("first"), "keys")).otherwise(F.col("keys"))
+    return whole.select("session", chain.alias("chain")).where("size(chain) >= 2")
 
 
 def frequent(chains_: DataFrame, min_support: int = 2, max_len: int = 5) -> DataFrame:
@@ -96,7 +105,7 @@ def closed(patterns: DataFrame) -> DataFrame:
     return patterns.join(prefixes, ["support", "pattern"], "left_anti").select("pattern", "support")
 
 
-def journeys(sessions: DataFrame, log: DataFrame, newest: int = 150, min_support: int = 2, max_len: int = 5, top: int = 15) -> DataFrame:
+def journeys(sessions: DataFrame, log: DataFrame, newest: int = 150, min_support: int = 2, max_len: int = 5, top: int = 15, by_domain: bool = False) -> DataFrame:
     recent = sessions.orderBy(F.desc("start_ts"), "id").limit(newest)
-    found = closed(frequent(chains(session_events(recent, log)), min_support, max_len))
+    found = closed(frequent(chains(session_events(recent, log), by_domain), min_support, max_len))
     return found.orderBy(F.desc("support"), F.desc(F.size("pattern")), "pattern").limit(top)

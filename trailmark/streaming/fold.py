@@ -10,21 +10,25 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import AUTHORITY
+from ..functions.urls import AUTHORITY, CODED, idna
 from ..schema import IDLE_GAP_MS, KINDS, REDIRECT_WINDOW_MS, SESSION_HOST_CAP, TOP_HOSTS, TRANSITIONS
 
-_HOST = re.compile(AUTHORITY)
+_HOST, _CODED, _BAD = re.compile(AUTHORITY), re.compile(CODED), re.compile(r"[\s<>^|%/?#@]")
 FIELDS = ("id", "ts", "kind", "tab", "win", "new_tab", "src_tab", "transition", "redirect", "back", "url")
 
 
 def host_of(url: str | None) -> str | None:
     m = _HOST.search(url or "")
-    return m.group(1).lower() if m else None
+    if m is None and (m := _CODED.search(url or "")):
+        name = idna(unquote(m.group(1)).lower())
+        return None if name is None or _BAD.search(name) else name.strip()
+    return idna(m.group(1).lower()) if m else None
 
 
 class Fold:
