@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import scalars, urls
-from trailmark.operators import flow, graph, layout, project, sequences
+from trailmark.operators import flow, graph, layout, project, sequences, session_views
 from trailmark.operators.rollup import KIND, PROV
 from trailmark.schema import LOG
 from trailmark.sources import log as source
@@ -149,7 +149,7 @@ def test_flow(spark):
     assert [n.layer for n in nodes if n.session == 0 and n.key == "c.co"] == [2]
     assert sorted((n.key, n.layer) for n in nodes if n.session == 1) == [("gh.co", 0), ("site.co", 1)] and len([x for x in links if x.session == 1]) == 2
     assert {(x.src, x.dst) for x in links if x.session == 2} == {("a.co", "c.co"), ("c.co", "d.co")}
-    assert {n.key: n.prov for n in nodes if n.session == 2} == {"a.co": "typed", "c.co": "link", "d.co": "link"}
+    assert {n.key: n.prov for n in nodes if n.session == 2} == {"a.co": "typed_url", "c.co": "link", "d.co": "link"}
     assert flow.flows(all_.limit(0)).count() == 0
 
 
@@ -173,7 +173,8 @@ def test_urls(spark):
     assert [r[0] for r in page.collect()] == ["/", "/a?b=1", "/a?" + "x" * 48 + "…"]
     odd = {"https://Bücher.de/x": "xn--bcher-kva.de", "http://ex%61mple.com:80/": "example.com", "http://a%20b.com/": None, "https://пример.рф": "xn--e1afmkfd.xn--p1ai", "http://%zz.com/": None}
     df = spark.createDataFrame([(u,) for u in odd], "url string")
-    assert {r.url: r.h for r in df.select("url", urls.host(F.col("url")).alias("h")).collect()} == odd
+    told = urls.with_idna(df.withColumn("id", F.monotonically_increasing_id())).join(df.withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("url", "was"), "id")
+    assert {r.was: r.h for r in told.select("was", urls.host(F.col("url")).alias("h")).collect()} == odd
     assert {u: host_of(u) for u in odd} == odd
 
 
@@ -223,3 +224,39 @@ def test_views():
     assert [(x.name, x.range) for x in v] == [("work", "day")] and views.load_views(views.dump(v)) == v
     assert views.load_views("{bad") == [] and views.load_preferences('{"range": "raw"}') == views.Preferences() and views.load_preferences('{"min_visits": 3}').min_visits == 3
     assert views.remove(v, "WORK ") == [] and views.find(v, "Work") is v[0]
+
+
+def test_session_views(spark):
+    day = session_views.DAY_MS
+    rows = [(k, s, e, n, [(h, 1)]) for k, s, e, n, h in [(1, 0, 10, 1, "a.co"), (2, 3 * day, 3 * day + 5, 4, "B.co"), (3, 3 * day + 10, 4 * day + 10, 2, "a.co"), (4, 9 * day, 9 * day, 3, "c.co")]]
+    s = spark.createDataFrame(rows, "id long, start_ts long, end_ts long, nav_count long, top_hosts array<struct<host:string,n:long>>")
+    ids = lambda df: [r.id for r in df.orderBy("id").collect()]
+    assert ids(session_views.in_range(s, "week")) == [2, 3, 4] and ids(session_views.in_range(s, "session")) == [4]
+    window = session_views.day_window(dt.date(1970, 1, 5), dt.date(1970, 1, 9))
+    assert window == (4 * day, 9 * day) and ids(session_views.in_range(s, "week", window)) == [3]
+    assert ids(session_views.in_range(s.limit(0), "week")) == []
+    assert ids(session_views.listed(s, dt.date(1970, 1, 4), search="b.C")) == [2] and ids(session_views.listed(s, hide_trivial=True)) == [2, 3, 4]
+    V = session_views.View
+    assert session_views.end_day(V("week", session=3), s) == dt.date(1970, 1, 4) and session_views.end_day(V("week", session=99), s) is None
+    step = lambda v, back: session_views.step(v, back, s, dt.date(1970, 1, 1), dt.date(1970, 1, 10))
+    assert step(V("session", session=3), True) == V("session", session=2) and step(V("session", session=4), False) == V("session") and step(V("session", session=1), True) == V("session", session=1)
+    assert step(V("session"), True) == V("session", session=3) and step(V("session", session=99), False) == V("session")
+    assert step(V("day"), True) == V("day", dt.date(1970, 1, 9)) and step(V("day", dt.date(1970, 1, 9)), False) == V("day")
+    ranked = spark.createDataFrame([("a", 4), ("b", 1)], "key string, score long")
+    assert [(r.key, r.rel) for r in session_views.relative(ranked, "score").orderBy("key").collect()] == [("a", 100), ("b", 25)]
+    nodes = spark.createDataFrame([("x.co", 3), ("y.co", 5), ("z.org", 9)], "key string, visits long")
+    assert [r.key for r in session_views.find_host(nodes, " CO ").collect()] == ["y.co"] and session_views.find_host(nodes, "q").count() == 0
+
+
+def test_session_rollup_starts_from_nothing(spark):
+    """Against the sequential fold over the session's events alone: the opener's page is unknown."""
+    own = events((0, "a.co", "typed"), (1000, "b.co", "link"), (60000, "c.co", "link"), (90000, "d.co", "typed"))
+    log = spark.createDataFrame([tuple(e.get(n) for n in LOG.names) for e in own], LOG)
+    got = {r.host: r.visits for r in session_views.session_rollup(log, 2, 3)["nodes"].collect()}
+    assert got == {"b.co": 1, "c.co": 1}
+    edges = {(r.src, r.dst) for r in session_views.session_rollup(log, 2, 3)["edges"].collect()}
+    assert edges == {("b.co", "c.co")}
+    spa = spark.createDataFrame([tuple({**own[0], "id": 1, "ts": 30000, "url": "https://b.co/x"}.get(n) for n in LOG.names)], LOG)
+    assert session_views.source_log(log, spa, False) is log
+    both = [(r.id, r.ts) for r in session_views.source_log(log, spa, True).orderBy("id").collect()]
+    assert both == [(1, 0), (2, 1000), (3, 30000), (4, 60000), (5, 90000)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +23,33 @@ ENGINES = (
 def host(url: Column) -> Column:
     """Lower-cased host of an http(s) URL without port, brackets kept on IPv6; null for anything else.
 
-    A host with percent signs is decoded first; one outside ASCII is told in IDNA form, by Java's own
-    library, so that no Python runs. Only such hosts are looked at twice.
+    A host with percent signs is decoded first. Hosts outside ASCII are told in IDNA form where the log went
+    through ``with_idna``.
     """
     found = F.lower(F.regexp_extract(url, AUTHORITY, 1))
     coded = F.lower(F.try_url_decode(F.regexp_extract(url, CODED, 1)))
-    found = F.when(found != "", found).when(coded != "", coded)
-    plain = F.octet_length(found) == F.char_length(found)
-    told = F.when(plain, found).otherwise(F.lower(F.call_function("try_reflect", F.lit("java.net.IDN"), F.lit("toASCII"), found)))
-    return F.rtrim(F.when(told.rlike(r"[\s<>^|%/?#@]"), None).otherwise(told))
+    return F.rtrim(F.when(found != "", found).when((coded != "") & ~coded.rlike(r"[\s<>^|%/?#@]"), coded))
+
+
+def with_idna(rows: DataFrame, url: str = "url") -> DataFrame:
+    """``rows`` with the hosts of ``url`` in IDNA form, for a log as it is taken in; a host without one makes the URL null.
+
+    Only rows with a host outside ASCII go through Python.
+    """
+    told = host(F.col(url))
+    odd = F.coalesce(F.octet_length(told) != F.char_length(told), F.lit(False))
+    at = rows.columns.index(url)
+
+    def run(batches):
+        for batch in batches:
+            urls = []
+            for u in batch.column(at).to_pylist():
+                m = re.search(AUTHORITY, u) or re.search(CODED, u)
+                name = idna(unquote(m.group(1)).lower())
+                urls.append(u[: m.start(1)] + name + u[m.end(1) :] if name else None)
+            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.where(~odd).unionByName(rows.where(odd).mapInArrow(run, rows.schema))
 
 
 def idna(name: str | None) -> str | None:

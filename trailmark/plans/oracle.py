@@ -62,8 +62,26 @@ s AS (SELECT min(id) AS id, win, arg_min(ts, id) AS start_ts, arg_max(ts, id) AS
     "re": """re AS (SELECT date, src, host AS dst, count(*) AS weight, count(*) FILTER (edge_kind = 'link') AS kind_link, count(*) FILTER (edge_kind = 'search_link') AS kind_search_link, count(*) FILTER (edge_kind = 'form') AS kind_form
   FROM v WHERE edge_kind IS NOT NULL AND NOT provisional GROUP BY date, src, host)""",
     "g": "gn AS (SELECT host AS key, CAST(sum(visits) AS BIGINT) AS visits, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms, CAST(sum(fg_dwell_ms) AS BIGINT) AS fg_dwell_ms, " + ", ".join(f"CAST(sum(prov_{p}) AS BIGINT) AS prov_{p}" for p in PROVENANCES) + " FROM rn GROUP BY host),\nge AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight, CAST(sum(kind_link) AS BIGINT) AS kind_link, CAST(sum(kind_search_link) AS BIGINT) AS kind_search_link, CAST(sum(kind_form) AS BIGINT) AS kind_form FROM re GROUP BY src, dst)",
+    "ch": f"""ce AS (SELECT s.id AS session, q.id, q.ts, q.kind, q.prov, q.redirect, q.back, q.tab, q.new_tab, q.src_tab, {HOST.format("q.url")} AS k FROM s JOIN q ON q.id BETWEEN s.start_id AND s.end_id),
+c0 AS (SELECT session, id, ts, k, prov, redirect, back, tab AS t, kind AS step, 1 AS place FROM ce WHERE kind = 'close' OR kind = 'nav' AND k IS NOT NULL AND prov NOT IN ('reload', 'other')
+  UNION ALL SELECT session, id, ts, NULL, prov, redirect, back, new_tab, 'spawn', 1 FROM ce WHERE kind = 'link' UNION ALL SELECT session, id, ts, NULL, prov, redirect, back, src_tab, 'source', 0 FROM ce WHERE kind = 'link'),
+c1 AS (SELECT *, count(*) FILTER (step = 'close') OVER w AS life, step = 'nav' AND redirect AND coalesce(ts - last_value(CASE WHEN step = 'nav' THEN ts END IGNORE NULLS) OVER b < 1000, false) AS mv
+  FROM c0 WINDOW w AS (PARTITION BY session, t ORDER BY id, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY session, t ORDER BY id, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c2 AS (SELECT *, step = 'nav' AND NOT mv AND NOT back AS land, coalesce(bool_or(step = 'nav' AND NOT mv AND NOT back) OVER (PARTITION BY session, t, life ORDER BY id, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS begun FROM c1),
+c3 AS (SELECT *, last_value(CASE WHEN land OR mv AND begun THEN k END IGNORE NULLS) OVER (PARTITION BY session, t, life ORDER BY id, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c2),
+c4 AS (SELECT *, land AND (e IS NULL OR e <> k) AS fresh FROM c3),
+c5 AS (SELECT *, count(*) FILTER (fresh) OVER w AS part, count(*) FILTER (fresh AND (e IS NULL OR prov NOT IN ('link', 'form'))) OVER w AS num FROM c4 WINDOW w AS (PARTITION BY session, t ORDER BY id, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c6 AS (SELECT f.session, f.t, f.num, (SELECT arg_max(o.e, o.id) FROM c5 o JOIN c5 n ON n.session = o.session AND n.id = o.id AND n.step = 'spawn' WHERE o.step = 'source' AND o.e IS NOT NULL AND n.session = f.session AND n.t = f.t AND n.part = f.part - 1 AND n.id < f.id) AS o
+  FROM c5 f WHERE f.fresh AND f.e IS NULL AND f.prov IN ('link', 'form')),
+c7 AS (SELECT session, t, num, part, arg_max(k, id) AS k FROM c5 WHERE land OR mv AND begun GROUP BY ALL),
+chains AS (SELECT c.session, c.t, c.num, concat_ws('>', any_value(o.o), string_agg(c.k, '>' ORDER BY c.part)) AS chain FROM c7 c LEFT JOIN c6 o USING (session, t, num) GROUP BY c.session, c.t, c.num HAVING count(*) + count(DISTINCT o.o) >= 2)""",
+    "jo": """recent AS (SELECT row_number() OVER () AS who, string_split(chain, '>') AS c FROM chains WHERE session IN (SELECT id FROM s ORDER BY start_ts DESC, id LIMIT 150)),
+p1 AS (SELECT DISTINCT who, c, i, [c[i]] AS ks FROM (SELECT who, c, unnest(range(1, len(c) + 1)) AS i FROM recent)), p2 AS (SELECT DISTINCT who, c, j AS i, list_append(ks, c[j]) AS ks FROM (SELECT *, unnest(range(i + 1, len(c) + 1)) AS j FROM p1)),
+p3 AS (SELECT DISTINCT who, c, j AS i, list_append(ks, c[j]) AS ks FROM (SELECT *, unnest(range(i + 1, len(c) + 1)) AS j FROM p2)), p4 AS (SELECT DISTINCT who, c, j AS i, list_append(ks, c[j]) AS ks FROM (SELECT *, unnest(range(i + 1, len(c) + 1)) AS j FROM p3)),
+p5 AS (SELECT DISTINCT who, c, j AS i, list_append(ks, c[j]) AS ks FROM (SELECT *, unnest(range(i + 1, len(c) + 1)) AS j FROM p4)),
+pats AS (SELECT who, ks FROM p2 UNION SELECT who, ks FROM p3 UNION SELECT who, ks FROM p4 UNION SELECT who, ks FROM p5)""",
 }
-NEEDS = {"log": [], "v": ["log"], "fg": ["log", "v"], "s": ["log"], "rn": ["log", "v", "fg"], "re": ["log", "v"], "g": ["log", "v", "fg", "rn", "re"]}
+NEEDS = {"ch": ["log", "s"], "jo": ["log", "s", "ch"], "log": [], "v": ["log"], "fg": ["log", "v"], "s": ["log"], "rn": ["log", "v", "fg"], "re": ["log", "v"], "g": ["log", "v", "fg", "rn", "re"]}
 
 
 def sql(body: str, *parts: str) -> str:

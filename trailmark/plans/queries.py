@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
-from ..operators import derive, flow, graph, layout, project, rollup, sequences
+from ..operators import derive, flow, graph, layout, project, rollup, sequences, session_views
 from ..schema import EDGE_KINDS, PROVENANCES
 from ..sources import log as source
 from ..sources.folders import shared_folder
@@ -105,11 +107,11 @@ def sessions(spark, sf):
     return _tables(spark, sf, "sessions").drop("top_hosts")
 
 
-@query(
-    """SELECT id, CAST(place AS INT) AS place, host, n FROM (SELECT min(first) OVER (PARTITION BY epoch, win, run) AS fid, row_number() OVER (PARTITION BY epoch, win, run ORDER BY n DESC, host) AS place, host, n, sid AS id FROM
-    (SELECT epoch, win, run, host, count(*) AS n, min(id) AS first, any_value(sid) AS sid, row_number() OVER (PARTITION BY epoch, win, run ORDER BY min(id)) AS seen FROM (SELECT *, min(id) OVER (PARTITION BY epoch, win, run) AS sid FROM s1) WHERE host IS NOT NULL GROUP BY epoch, win, run, host) WHERE seen <= 64) WHERE place <= 5""",
-    "s",
-)
+SESSION_HOSTS = """SELECT id, CAST(place AS INT) AS place, host, n FROM (SELECT min(first) OVER (PARTITION BY epoch, win, run) AS fid, row_number() OVER (PARTITION BY epoch, win, run ORDER BY n DESC, host) AS place, host, n, sid AS id FROM
+    (SELECT epoch, win, run, host, count(*) AS n, min(id) AS first, any_value(sid) AS sid, row_number() OVER (PARTITION BY epoch, win, run ORDER BY min(id)) AS seen FROM (SELECT *, min(id) OVER (PARTITION BY epoch, win, run) AS sid FROM s1) WHERE host IS NOT NULL GROUP BY epoch, win, run, host) WHERE seen <= 64) WHERE place <= 5"""
+
+
+@query(SESSION_HOSTS, "s")
 def session_top_hosts(spark, sf):
     rows = _tables(spark, sf, "sessions").select("id", F.posexplode("top_hosts").alias("place", "t"))
     return rows.select("id", (F.col("place") + 1).alias("place"), "t.host", "t.n")
@@ -391,10 +393,10 @@ def _rank_sql(rounds: int) -> str:
 
 @query()
 def pagerank(spark, sf):
-    return graph.pagerank(_graph(spark, sf), rounds=10).withColumn("rank", F.round("rank", 4))
+    return graph.pagerank(_graph(spark, sf), rounds=40).withColumn("rank", F.round("rank", 4))
 
 
-ORACLE_SQL["pagerank"] = _rank_sql(10)
+ORACLE_SQL["pagerank"] = _rank_sql(40)
 
 
 DOMAIN = "regexp_extract({}, '[^.]+\\.[^.]+$')"  # the driver's hosts all end in a suffix of one label
@@ -448,14 +450,23 @@ def layout_2d(spark, sf):
     return layout.layout(_graph(spark, sf), rounds=60).select("key", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query()
+def _session_events(spark, sf) -> DataFrame:
+    return sequences.session_events(_tables(spark, sf, "sessions"), source.driver_log(spark, sf))
+
+
+@query("SELECT session, chain FROM chains", "ch")
 def session_chains(spark, sf):
-    log = source.driver_log(spark, sf)
-    found = sequences.chains(sequences.session_events(_tables(spark, sf, "sessions"), log))
+    found = sequences.chains(_session_events(spark, sf))
     return found.select("session", F.array_join("chain", ">").alias("chain"))
 
 
-@query()
+@query(
+    """SELECT array_to_string(p.ks, '>') AS pattern, p.n AS support FROM (SELECT ks, count(DISTINCT who) AS n FROM pats GROUP BY ks HAVING count(DISTINCT who) >= 2) p
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT ks, count(DISTINCT who) AS n FROM pats GROUP BY ks) q WHERE q.n = p.n AND len(q.ks) > len(p.ks) AND q.ks[1:len(p.ks)] = p.ks)
+    ORDER BY support DESC, len(p.ks) DESC, p.ks LIMIT 15""",
+    "ch",
+    "jo",
+)
 def journeys(spark, sf):
     log = source.driver_log(spark, sf)
     found = sequences.journeys(_tables(spark, sf, "sessions"), log)
@@ -474,5 +485,51 @@ def bridges(spark, sf):
 
 @query()
 def session_flow(spark, sf):
-    log = source.driver_log(spark, sf)
-    return flow.flows(sequences.session_events(_tables(spark, sf, "sessions"), log))
+    return flow.flows(_session_events(spark, sf))
+
+
+@query()
+def session_flow_nodes(spark, sf):
+    return flow.flow_nodes(_session_events(spark, sf))
+
+
+@query("SELECT id, start_ts, end_ts FROM s WHERE end_ts >= (SELECT max(end_ts) FROM s) - 7 * 86400000", "s")
+def sessions_of_week(spark, sf):
+    return session_views.in_range(_tables(spark, sf, "sessions"), "week").select("id", "start_ts", "end_ts")
+
+
+def _latest(spark, sf):
+    return _nodes(spark, sf).agg(F.max("date")).first()[0]  # one row
+
+
+@query(f"SELECT id FROM s WHERE end_ts >= epoch_ms(CAST({LATEST} - 13 AS TIMESTAMP)) AND start_ts < epoch_ms(CAST({LATEST} - 6 AS TIMESTAMP))", "s", "rn")
+def sessions_of_week_before(spark, sf):
+    end = project.back_end("week", _latest(spark, sf))
+    window = session_views.day_window(project.back_end("week", end) + timedelta(days=1), end)
+    return session_views.in_range(_tables(spark, sf, "sessions"), "week", window).select("id")
+
+
+@query(f"SELECT id, nav_count FROM s WHERE nav_count > 1 AND CAST(make_timestamp(start_ts * 1000) AS DATE) = {LATEST} AND id IN (SELECT id FROM ({SESSION_HOSTS}) WHERE host LIKE '%e%')", "s", "rn")
+def session_list(spark, sf):
+    return session_views.listed(_tables(spark, sf, "sessions"), _latest(spark, sf), hide_trivial=True, search="e").select("id", "nav_count")
+
+
+@query("SELECT key, visits FROM gn WHERE key LIKE '%e%' ORDER BY visits DESC, key LIMIT 1", "g")
+def host_search(spark, sf):
+    return session_views.find_host(_graph(spark, sf).nodes, "e").select("key", "visits")
+
+
+@query("SELECT count(*) AS nodes, (SELECT count(*) FROM ge) AS edges FROM gn", "g")
+def graph_counts(spark, sf):
+    return session_views.counts(_graph(spark, sf))
+
+
+@query("SELECT key, weight, CAST(round(weight / max(weight) OVER () * 100) AS INT) AS rel FROM (SELECT src AS key, CAST(sum(weight) AS BIGINT) AS weight FROM ge GROUP BY src ORDER BY weight DESC, key LIMIT 25)", "g")
+def relative_launch_pads(spark, sf):
+    return session_views.relative(graph.launch_pads(_graph(spark, sf), N), "weight")
+
+
+@query(f"SELECT coalesce(bool_or(kind IN ('focus', 'wfocus')), false) OR (SELECT coalesce(bool_or(fg_ms > 0), false) FROM fg WHERE {WEEK}) AS signal FROM log WHERE CAST(make_timestamp(ts * 1000) AS DATE) BETWEEN {LATEST} - 6 AND {LATEST}", "log", "fg", "rn")
+def focus_signal(spark, sf):
+    end = _latest(spark, sf)
+    return session_views.focus_signal(_nodes(spark, sf), _tables(spark, sf, "days"), end - timedelta(days=6), end)
