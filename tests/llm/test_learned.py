@@ -407,3 +407,23 @@ def test_matched_words_are_common_subsequences():
     for (a, b), got in zip(pairs, substring_dedup.matched_words(pairs, 5, 12)):
         assert 0.97 * lcs(a, b) <= got <= lcs(a, b)
     assert substring_dedup.rising(np.array([3, 1, 2, 9, 4, 5])).tolist() == [1, 2, 4, 5]
+
+
+def test_packing_instructions_keeps_to_the_loss_limit(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    examples = packing.conversations(turns).cache()
+    shares = {r.conv_id: r.share for r in examples.collect()}
+    assert 0 <= min(shares.values()) < max(shares.values()) <= 1
+    bound = packing.pack(examples, packing.tokenizer_path(), id_col="conv_id", loss=1200, loss_share="share").collect()
+    free = packing.pack(examples, packing.tokenizer_path(), id_col="conv_id").collect()
+    loss = defaultdict(float)
+    for p in bound:
+        loss[p.sequence_id] += p.length * shares[p.doc_id]
+    assert max(loss.values()) <= 1200 + 1 and sum(p.length for p in bound) == sum(p.length for p in free)
+    assert max(loss.values()) > 600 and len({p.sequence_id for p in bound}) > len({p.sequence_id for p in free})
+
+
+def test_country_codes_stay():
+    assert [pii.country_digits(x) for x in ("+12025550123", "+442079460000", "+35312345678", "+79161234567")] == [1, 2, 3, 1]
+    for entity in ("+442079460000", "+35312345678"):
+        assert pii.surrogate(b"k", "phone", entity, 0)[: 1 + pii.country_digits(entity)] == entity[: 1 + pii.country_digits(entity)]

@@ -185,13 +185,14 @@ def powers_of_two(pieces: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", tokens: int = 4096, segments: int = 256, loss: int = 4096, end: int = 2, pool: int = 512, slack: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", tokens: int = 4096, segments: int = 256, loss: int = 4096, end: int = 2, pool: int = 512, slack: int = 8, loss_share: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every text, null as empty, is tokenized whole and followed by ``end``; each id is in exactly one
-    piece. All tokens bear loss here. Sequences keep to the three limits; sequence_id is unique in the
+    piece. ``loss_share`` names a column with the share of a text's tokens that bear loss (null counts as all);
+    without it all do. A piece bears loss by its document's share. Sequences keep to the three limits; sequence_id is unique in the
     result. Repeated rows are packed one by one, an empty table gives an empty result, other columns are
-    ignored. The pool is bounded in examples and in tokens.
+    ignored. Of equal dot products the example that waits longest is taken. The pool is bounded in examples.
     """
 
     def run(batches):
@@ -217,8 +218,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
             out_type = batch.column(0).type
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()], end)):
-                    packer.add(doc, ids)
+                for doc, ids, share in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()], end), part.column(2).to_pylist()):
+                    packer.add(doc, ids, min(1.0, max(0.0, share)))
                 yield rows(packer.bins(False))
         if out_type is not None:
             done = list(packer.bins(True))
@@ -228,7 +229,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, lambda: shared_encoder(tokenizer).forget()), schema)
+    share = F.coalesce(F.col(loss_share).cast("double"), F.lit(1.0)) if loss_share else F.lit(1.0)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), share.alias("share")).mapInArrow(tidy(run, lambda: shared_encoder(tokenizer).forget()), schema)
+
+
+def conversations(turns: DataFrame, bearing: str = "assistant") -> DataFrame:
+    """(conv_id, text, share): a conversation's turns in order, a line each, and the share of its characters that bear loss.
+
+    Null roles bear none, null texts are empty; a conversation's turns are one row, as its example is one text.
+    """
+    size = F.char_length(F.coalesce("text", F.lit(""))) + 1
+    parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"), F.sum(F.when(F.col("role") == bearing, size).otherwise(0)).alias("own"), F.sum(size).alias("all"))
+    return parts.select("conv_id", F.array_join(F.col("t")["text"], "\n").alias("text"), (F.col("own") / F.col("all")).alias("share"))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -94,6 +94,15 @@ def canonical(kind: str, found: str) -> str:
     return found.lower() if kind in ("email", "secret") else found
 
 
+#: Country calling codes of two digits; those of 1 and 7 have one, all others three. Fixed values of E.164.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_digits(number: str) -> int:
+    """Digits of the country code of a number that begins with a plus sign."""
+    return 1 if number[1:2] in ("1", "7") else 2 if number[1:3] in TWO_DIGITS else 3
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The canonical surrogate of a canonical entity."""
     d = Draw(key, f"{kind}|{entity}|{attempt}")
@@ -109,7 +118,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         valid = next(c for c in "0123456789" if luhn(body + c) == 0)
         return body + (valid if luhn(entity) == 0 else str((int(valid) + 1 + d.below(9)) % 10))
     if kind == "phone":
-        fixed = 2 if entity.startswith("+") else 0
+        fixed = 1 + country_digits(entity) if entity.startswith("+") else 0
         return entity[:fixed] + "".join(map(d.like, entity[fixed:]))
     if kind == "secret":
         prefix = re.match(r"akia|(?:sk|pk|ghp|gho|xox[abp])[-_]", entity)
@@ -181,12 +190,14 @@ def exceptions(found: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: bytes = b"trailmark", broadcast_rows: int = 100_000) -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: bytes | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text with surrogates, n_entities, spans.
 
-    spans are (kind, start, end) in the new text. A null text stays null and has no entities; repeated rows
+    ``key`` is the secret of the surrogates, else the session's spark.trailmark.pii.key; the name of this package
+    where neither is set, as in tests. spans are (kind, start, end) in the new text. A null text stays null and has no entities; repeated rows
     give repeated results; an empty table gives an empty result; other columns are ignored.
     """
+    key = key if key is not None else docs.sparkSession.conf.get("spark.trailmark.pii.key", "trailmark").encode()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     taken = cut(exceptions(entities(base, "text"), key))
     few = taken.limit(broadcast_rows + 1).count() <= broadcast_rows
