@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import scalars, urls
-from trailmark.operators import flow, graph, layout, project, sequences, session_views
+from trailmark.operators import flow, graph, layout, project, rollup, sequences, session_views
 from trailmark.operators.rollup import KIND, PROV
 from trailmark.schema import LOG
 from trailmark.sources import log as source
@@ -260,3 +260,36 @@ def test_session_rollup_starts_from_nothing(spark):
     assert session_views.source_log(log, spa, False) is log
     both = [(r.id, r.ts) for r in session_views.source_log(log, spa, True).orderBy("id").collect()]
     assert both == [(1, 0), (2, 1000), (3, 30000), (4, 60000), (5, 90000)]
+
+
+def test_louvain_ties_and_modularity():
+    """Equal gains go to the smaller community; no single move from the result raises modularity."""
+    assert graph.louvain_labels(3, [(0, 1, 1.0), (1, 2, 1.0)])[1] == 0 and graph.louvain_labels(2, []) == [0, 1] and graph.louvain_labels(0, []) == []
+    import random
+
+    r = random.Random(1)
+    edges = [(a, b, float(r.randrange(1, 5))) for a in range(24) for b in range(a + 1, 24) if r.random() < (0.6 if a // 8 == b // 8 else 0.05)]
+
+    def modularity(com):
+        m = sum(w for *_, w in edges)
+        k = [sum(w for a, b, w in edges if i in (a, b)) for i in range(24)]
+        return sum(w for a, b, w in edges if com[a] == com[b]) / m - sum((sum(k[i] for i in range(24) if com[i] == c) / (2 * m)) ** 2 for c in set(com))
+
+    com = graph.louvain_labels(24, edges)
+    best = modularity(com)
+    assert best >= modularity([i // 8 for i in range(24)]) - 1e-9
+    assert all(modularity([c if j == i else x for j, x in enumerate(com)]) <= best + 1e-9 for i in range(24) for c in set(com))
+
+
+def test_store_counts_a_batch_once(spark, tmp_path):
+    store = rollup.Store(spark, str(tmp_path / "store"))
+    day, other = "2024-01-01", "2024-01-02"
+    s = lambda *rows: spark.createDataFrame(rows, "id long, nav_count long")
+    store.write({"nodes": nodes_of(spark, [(day, "a.co", 2)]), "sessions": s((1, 1))})
+    for _ in range(2):
+        store.upsert({"nodes": nodes_of(spark, [(day, "a.co", 3), (other, "b.co", 1)]), "sessions": s((1, 5), (2, 1))}, batch=7)
+    store.upsert({"nodes": nodes_of(spark, [(other, "b.co", 1)])}, batch=8)
+    assert {(str(r.date), r.host): r.visits for r in store.read("nodes").collect()} == {(day, "a.co"): 5, (other, "b.co"): 2}
+    assert {r.id: r.nav_count for r in store.read("sessions").collect()} == {1: 5, 2: 1}
+    store.write({"nodes": nodes_of(spark, [(day, "a.co", 1)])})
+    assert [r.visits for r in store.read("nodes").collect()] == [1]

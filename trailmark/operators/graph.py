@@ -101,56 +101,44 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 40, every: int = 4)
     return ranks.select("key", "rank")
 
 
+def moved_to_rest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Communities of n nodes after single moves until none gains; of equal gains the smallest community is taken.
+
+    a, b and w hold every link both ways, loops once with their weight doubled.
+    """
+    order = np.argsort(a, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    first = np.searchsorted(a, np.arange(n + 1))
+    strength = np.bincount(a, w, n)
+    total, group, seen = strength.sum(), np.arange(n), set()
+    inside = strength.copy()  # strength of each community
+    while group.tobytes() not in seen:  # moves of no gain can't lead round in a circle
+        seen.add(group.tobytes())
+        for i in range(n):
+            near, links = b[first[i] : first[i + 1]], w[first[i] : first[i + 1]]
+            others = near != i
+            inside[group[i]] -= strength[i]
+            choice, at = np.unique(np.append(group[near[others]], group[i]), return_inverse=True)
+            gain = np.bincount(at[:-1], links[others], len(choice)) - inside[choice] * strength[i] / total
+            group[i] = choice[np.flatnonzero(gain > gain.max() - 1e-12)[0]]
+            inside[group[i]] += strength[i]
+    return group
+
+
 def louvain_labels(n: int, edges: list[tuple[int, int, float]]) -> list[int]:
-    """Community of each of n nodes: local moves and merging until modularity gains end; ties to the smaller community."""
-    member = list(range(n))
-    adj: list[dict[int, float]] = [{} for _ in range(n)]
-    loops = [0.0] * n
-    for a, b, w in edges:
-        if a == b:
-            loops[a] += w
-        else:
-            adj[a][b] = adj[a].get(b, 0.0) + w
-            adj[b][a] = adj[b].get(a, 0.0) + w
-    total = sum(w for x in adj for w in x.values()) + 2 * sum(loops)
-    while total > 0:
-        size = len(adj)
-        degree = [sum(adj[i].values()) + 2 * loops[i] for i in range(size)]
-        com, tot, moved_any = list(range(size)), degree[:], False
-        for _ in range(100):
-            moved = False
-            for i in range(size):
-                links: dict[int, float] = {}
-                for j, w in adj[i].items():
-                    links[com[j]] = links.get(com[j], 0.0) + w
-                own = com[i]
-                tot[own] -= degree[i]
-                best, gain = own, links.get(own, 0.0) - tot[own] * degree[i] / total
-                for c in sorted(links):
-                    g = links[c] - tot[c] * degree[i] / total
-                    if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c < best and c != own and g > gain):
-                        best, gain = c, g
-                tot[best] += degree[i]
-                if best != own:
-                    com[i], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
+    """Community of each of n nodes: single moves, then communities as nodes, until nothing moves any more."""
+    a, b, w = (np.array(c, float if k == 2 else np.int64) for k, c in enumerate(zip(*edges))) if edges else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    a, b, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    member = np.arange(n)
+    while w.sum() > 0:
+        size = int(max(a.max(), b.max(), member.max())) + 1
+        names, group = np.unique(moved_to_rest(size, a, b, w), return_inverse=True)
+        member = group[member]
+        if len(names) == size:
             break
-        names = {c: k for k, c in enumerate(sorted(set(com)))}
-        com = [names[c] for c in com]
-        member = [com[m] for m in member]
-        new_adj: list[dict[int, float]] = [{} for _ in names]
-        new_loops = [0.0] * len(names)
-        for i in range(size):
-            new_loops[com[i]] += loops[i]
-            for j, w in adj[i].items():
-                if com[i] == com[j]:
-                    new_loops[com[i]] += w / 2
-                else:
-                    new_adj[com[i]][com[j]] = new_adj[com[i]].get(com[j], 0.0) + w
-        adj, loops = new_adj, new_loops
-    return member
+        pair, at = np.unique(group[a] * len(names) + group[b], return_inverse=True)
+        a, b, w = pair // len(names), pair % len(names), np.bincount(at, w)
+    return member.tolist()
 
 
 def communities(g: Graph) -> DataFrame:

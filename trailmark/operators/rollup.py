@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import histogram, utc_day
 from ..schema import EDGE_KINDS, PROVENANCES, SCHEMA_VERSION
@@ -61,28 +62,45 @@ class Store:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """A table with all batches that were added to it."""
+        base = self.spark.read.parquet(f"{self.folder}/{name}")
+        added = self._added(name, base)
+        if added is None:
+            return base
+        if name == "sessions":  # the last put of a key holds
+            every = base.withColumn("batch", F.lit(-1).cast("long")).unionByName(added)
+            last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("batch")))
+            return every.withColumn("__last", last).where("__last = 1").drop("__last", "batch")
+        return merge(name, base, added.drop("batch").select(base.columns)).select(base.columns)
+
+    def _added(self, name: str, base: DataFrame) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(T.StructType([*base.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{self.folder}/_added/{name}")
+        except Exception as e:  # Spark has no exception of its own for a missing path
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        """A full write: replaces every table given."""
+        """A full write: replaces every table given, with what was added to it."""
         for name, df in tables.items():
             out = df.write.mode("overwrite")
             (out.partitionBy("date") if name in ("nodes", "edges") else out).parquet(f"{self.folder}/{name}")
+            df.limit(0).write.mode("overwrite").parquet(f"{self.folder}/_added/{name}")
         self.spark.range(1).select(F.lit(SCHEMA_VERSION).alias("version")).write.mode("overwrite").parquet(f"{self.folder}/version")
 
-    def upsert(self, deltas: dict[str, DataFrame]) -> None:
-        """Merges deltas into the dates they touch; other partitions stay as they are."""
+    def upsert(self, deltas: dict[str, DataFrame], batch: int | None = None) -> None:
+        """Adds deltas under their batch's number: a batch that runs again replaces itself, so each counts once.
+
+        Without a number it is the next one. Sessions replace those of the same id; all else adds up when it is read.
+        """
         for name, delta in deltas.items():
-            if name == "sessions":
-                delta.join(self.read(name).select("id"), "id", "left_anti").write.mode("append").parquet(f"{self.folder}/sessions")
-                continue
-            dates = delta.select("date").distinct()
-            old = self.read(name)
-            new = merge(name, old.join(dates, "date", "left_semi").select(delta.columns), delta) if name != "days" else merge(name, old, delta)
-            staged = f"{self.folder}/_staged_{name}"
-            new.write.mode("overwrite").parquet(staged)
-            out = self.spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            (out.partitionBy("date") if name != "days" else out).parquet(f"{self.folder}/{name}")
+            number = batch
+            if number is None:
+                added = self._added(name, self.spark.read.parquet(f"{self.folder}/{name}"))
+                number = (added.agg(F.max("batch")).first()[0] if added is not None else None) or 0
+                number += 1
+            delta.write.mode("overwrite").parquet(f"{self.folder}/_added/{name}/batch={number}")
 
     def reconcile(self, log: DataFrame) -> bool:
         """Rebuilds from the log where the stored version is another or missing; says whether it did."""
