@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -26,18 +27,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder: that of spark.checkpoint.dir, or the one that the session has set.
+
+    A temporary folder serves only where there is none and the executors are this machine's own threads, as in tests.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if root is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="trailmark-")
+        sc.setCheckpointDir(root)
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the one named in spark.checkpoint.dir; a temporary folder serves only where none is
-    set, as in tests. Unlike a local checkpoint the files outlive the executors that wrote them.
+    Unlike a local checkpoint the files outlive the executors that wrote them.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trailmark-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Like ``cut``, but as Parquet, which is smaller for columns that repeat; and a function that removes the files."""
+    spark = df.sparkSession
+    folder = f"{shared_root(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def discard() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.parquet(folder), discard
+
+
 def release(spark: SparkSession) -> None:
     """Has Spark remove the shuffle and checkpoint files of plans that nothing refers to any more.
 

@@ -11,7 +11,7 @@ Documents have very unlike lengths and an order of all suffixes would be one seq
 parts that can't share a string, and into columns that line up:
 
 * The least hash of the ``gram``-byte strings within a string of ``size`` bytes is its anchor. Equal strings have equal
-  anchors at equal offsets. Consecutive strings with one anchor are a *stretch*, on average about 70 of them.
+  anchors at equal offsets. Consecutive strings with one anchor are a *stretch*, on average about 85 of them.
 * Stretches are counted by their anchor's hash and their content. An anchor with one stretch that stands once is
   unique. Contents that stand several times are repeated as a whole. Only where an anchor has several contents are
   their bytes fetched, each content once, lined up at the anchor, and ordered column by column in buckets of bounded size.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, release, table, tidy
+from .common import attach, cut, release, stored, table, tidy
 from .langid import slices
 
 BASE, INVERSE, MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xBF58476D1CE4E5B9))
@@ -204,22 +204,24 @@ def located(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def repeated_ranges(
-    docs: DataFrame, size: int = 200, gram: int = 64, crowd: int = 2048, bucket_bytes: int = 4 << 20
+    docs: DataFrame, size: int = 200, gram: int = 32, crowd: int = 2048, bucket_bytes: int = 4 << 20
 ) -> DataFrame:
     """(key, spans: array of (start, end)) for every text of ``docs`` (key, text: binary) that has repeated strings.
 
     Equal texts have equal keys and one row. An anchor with over ``crowd`` contents is dealt out by whole strings.
     """
     spark = docs.sparkSession
-    places = cut(located(docs, size, gram))
-    one = F.min(F.struct("key", "at")).alias("one")
-    contents = places.groupBy("h", "content", "len", "lead").agg(F.count("*").alias("n"), one)
-    anchors = contents.groupBy("h").agg(F.count("*").alias("contents"), F.sum("n").alias("n")).where("n > 1")
-    told = cut(attach(contents, anchors.drop("n"), ["h"], "inner"))
+    places, discard = stored(located(docs, size, gram))
+    anchors = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
+    near = cut(attach(places, anchors.where("n > 1").drop("n"), ["h"], "inner"))
+    discard()
     release(spark)
+    one = F.min(F.struct("key", "at")).alias("one")
+    told = cut(near.groupBy("h", "content", "len", "lead", "mixed").agg(F.count("*").alias("n"), one))
     # Contents whose bytes must be seen, each at one of its places.
-    mixed = told.where("contents > 1")
-    asked = mixed.select("h", "content", "len", "lead", (F.col("contents") > crowd).alias("crowded"), "one.key", "one.at")
+    many = told.where("mixed").groupBy("h").agg((F.count("*") > crowd).alias("crowded"))
+    mixed = attach(told.where("mixed"), many, ["h"], "inner")
+    asked = mixed.select("h", "content", "len", "lead", "crowded", "one.key", "one.at")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("h", "content", "len", "lead", "crowded", "at")).alias("asked"))
     pick = attach(docs, asked, ["key"], "inner").select("text", "asked")
     fields = "h bigint, content bigint, lead int, crowded boolean, string binary"
@@ -247,6 +249,7 @@ def repeated_ranges(
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     fetched = cut(pick.mapInArrow(tidy(fetch), fields))
+    release(spark)
     buckets = (fetched.where("NOT crowded").agg(F.sum(F.octet_length("string"))).first()[0] or 0) // bucket_bytes + 1
 
     def compare(group: pa.Table) -> pa.Table:
@@ -291,11 +294,13 @@ def repeated_ranges(
     parts = attach(alike.unionByName(crowded), single, ["h", "content"], "inner").select("h", "content", "spans")
     repeated = cut(parts.unionByName(copies))
     release(spark)
-    found = attach(places.select("key", "h", "content", "at"), repeated, ["h", "content"], "inner")
+    found = attach(near.select("key", "h", "content", "at"), repeated, ["h", "content"], "inner")
     span = F.explode("spans").alias("s")
     found = found.select("key", "at", span).select("key", F.struct((F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b")).alias("s"))
     # A set, so that the spans of a text with very many copies are merged before they are moved.
-    return cut(found.groupBy("key").agg(F.collect_set("s").alias("spans")))
+    spans = cut(found.groupBy("key").agg(F.collect_set("s").alias("spans")))
+    release(spark)
+    return spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, table
+from .common import attach, shared_root, table
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -29,10 +29,7 @@ DATE = "2024-01-01T00:00:00Z"  # records carry no capture time of their own
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder."""
-    import tempfile
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="trailmark-")
-    return f"{root}/warc-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def base32_of_hex(h: Column) -> Column:
