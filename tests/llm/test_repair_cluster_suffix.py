@@ -258,7 +258,7 @@ def test_repeats_are_the_brute_force_ones(spark, crowd):
     rows += [rows[0], (None, texts[1], "e", "k", "h")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, key string, h string").repartition(6)
     want = brute_repeats([(r[1] or "").encode() for r in rows], size)
-    found = suffix_dedup.without_repeats(df, size=size, gram=8, crowd=crowd, bucket_bytes=4000)
+    found = suffix_dedup.without_repeats(df, size=size, grams=(6, 15), crowd=crowd, bucket_bytes=4000)
     assert removed(found) == sorted(((r[0], *w) for r, w in zip(rows, want)), key=repr)
 
 

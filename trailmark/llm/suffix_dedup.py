@@ -15,9 +15,10 @@ parts that can't share a string, and into columns that line up:
 * Stretches are counted by their anchor's hash and their content. An anchor with one stretch that stands once is
   unique. Contents that stand several times are repeated as a whole. Only where an anchor has several contents are
   their bytes fetched, each content once, lined up at the anchor, and ordered column by column in buckets of bounded size.
-* An anchor with very many contents (a common line in as many surroundings) is dealt out anew: its stretches are taken
-  apart into strings of ``size`` bytes, which are counted like stretches. Equal ones are added up before they are moved,
-  so no group grows with the number of copies.
+* An anchor with very many contents (a common line in as many surroundings) is dealt out anew, by the same steps with a
+  longer ``gram``: its contents are texts whose strings have anchors of their own. With the last, as long as the strings,
+  a stretch is one string and nothing is left to compare. Equal contents are added up before they are moved, so no
+  group grows with the number of copies.
 
 Suffixes of one column only are kept: equal strings stand in one column. What an external file would hold of the
 transform, a bucket's columns, is bounded and stays in memory.
@@ -204,12 +205,14 @@ def located(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def repeated_ranges(
-    docs: DataFrame, size: int = 200, gram: int = 32, crowd: int = 2048, bucket_bytes: int = 4 << 20
+    docs: DataFrame, size: int = 200, grams: tuple[int, ...] = (32, 128), crowd: int = 2048, bucket_bytes: int = 4 << 20
 ) -> DataFrame:
-    """(key, spans: array of (start, end)) for every text of ``docs`` (key, text: binary) that has repeated strings.
+    """(key, spans: array of (a, b)) for every text of ``docs`` (key, text: binary) that has repeated strings.
 
-    Equal texts have equal keys and one row. An anchor with over ``crowd`` contents is dealt out by whole strings.
+    Equal texts have equal keys and one row. An anchor with over ``crowd`` contents is dealt out by the next of ``grams``,
+    after the last of them by whole strings.
     """
+    gram, later = (grams[0], grams[1:]) if grams else (size, ())
     spark = docs.sparkSession
     places, discard = stored(located(docs, size, gram))
     anchors = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
@@ -219,7 +222,7 @@ def repeated_ranges(
     one = F.min(F.struct("key", "at")).alias("one")
     told = cut(near.groupBy("h", "content", "len", "lead", "mixed").agg(F.count("*").alias("n"), one))
     # Contents whose bytes must be seen, each at one of its places.
-    many = told.where("mixed").groupBy("h").agg((F.count("*") > crowd).alias("crowded"))
+    many = told.where("mixed").groupBy("h").agg((F.count("*") > (crowd if gram < size else 1 << 62)).alias("crowded"))
     mixed = attach(told.where("mixed"), many, ["h"], "inner")
     asked = mixed.select("h", "content", "len", "lead", "crowded", "one.key", "one.at")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("h", "content", "len", "lead", "crowded", "at")).alias("asked"))
@@ -266,32 +269,18 @@ def repeated_ranges(
     alike = fetched.where("NOT crowded").withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket")
     alike = alike.applyInArrow(compare, "h bigint, content bigint, spans array<struct<a:int,b:int>>")
 
-    def taken_apart(batches: Iterator[pa.RecordBatch]):
-        from xxhash import xxh3_128_digest as digest
-
-        for batch in batches:
-            rows = []
-            for h, content, _, crowded, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if crowded:
-                    rows += [(h, content, k, digest(s[k : k + size])) for k in range(len(s) - size + 1)]
-                    if len(rows) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), apart)], names=names)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), apart)], names=names)
-
-    apart, names = [pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["h", "content", "a", "w"]
-    windows = fetched.dropDuplicates(["h", "content"]).where("crowded")
-    windows = windows.mapInArrow(tidy(taken_apart), "h bigint, content bigint, a int, w binary")
-    windows = cut(windows)
-    shared = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.lit(True).alias("again"))
-    again = attach(windows, shared, ["w"], "inner").groupBy("h", "content").agg(F.collect_list("a").alias("a"))
-    piece = F.transform("a", lambda a: F.struct(a.alias("a"), (a + size).alias("b")))
-    crowded = again.select("h", "content", piece.alias("spans"))
+    spans = "array<struct<a:int,b:int>>"
+    again = fetched.where("crowded").dropDuplicates(["h", "content"]).select("h", "content", "string")
+    if not again.isEmpty():
+        name = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("h", "content")]))
+        named = cut(again.withColumn("key", name))
+        deeper = repeated_ranges(named.select("key", F.col("string").alias("text")), size, later, crowd, bucket_bytes)
+        told_again = attach(named.select("h", "content", "key"), deeper, ["key"], "inner")
+        alike = alike.unionByName(told_again.select("h", "content", F.col("spans").cast(spans).alias("spans")))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("len").alias("b")))
     copies = told.where("n > 1").select("h", "content", whole.alias("spans"))
     single = told.where("n = 1").select("h", "content", F.lit(True).alias("single"))
-    parts = attach(alike.unionByName(crowded), single, ["h", "content"], "inner").select("h", "content", "spans")
+    parts = attach(alike, single, ["h", "content"], "inner").select("h", "content", "spans")
     repeated = cut(parts.unionByName(copies))
     release(spark)
     found = attach(near.select("key", "h", "content", "at"), repeated, ["h", "content"], "inner")
