@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dominant, percent_change, rhythm_level
 from ..functions.urls import registrable
+from ..sources.numbering import numbered
 from ..schema import EDGE_KINDS, PROVENANCES, RANGE_DAYS
 from .rollup import KIND, PROV
 
@@ -194,8 +195,9 @@ def forward_end(range_: str, end: date, latest: date | None) -> date | None:
 
 def session_steps(sessions: DataFrame) -> DataFrame:
     """id with the ids of the sessions before and after it in order of start."""
-    w = Window.orderBy("start_ts", "id")
-    return sessions.select("id", F.lag("id").over(w).alias("back"), F.lead("id").over(w).alias("forward"))
+    at = numbered(sessions.select("id", "start_ts"), "start_ts", "id", name="n").select("id", "n")
+    back, forward = (at.select((F.col("n") + d).alias("n"), F.col("id").alias(c)) for d, c in ((1, "back"), (-1, "forward")))
+    return at.join(back, "n", "left").join(forward, "n", "left").select("id", "back", "forward")
 
 
 # --- sessions

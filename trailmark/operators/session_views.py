@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RANGE_DAYS
+from ..sources.numbering import numbered
 from . import project, rollup
 
 DAY_MS = 86_400_000
@@ -79,27 +80,12 @@ def session_rollup(log: DataFrame, start_id: int, end_id: int) -> dict[str, Data
 
 
 def source_log(events: DataFrame, spa: DataFrame, with_spa: bool) -> DataFrame:
-    """The log that is derived from: the events, or both streams in one order with new ids.
-
-    Ids follow the order by a sort within ranges of it and an offset for each range, so no task has the whole log.
-    """
+    """The log that is derived from: the events, or both streams in one order with new ids, 1 and up."""
     if not with_spa:
         return events
     from ..sources.log import merged
 
-    rows = merged(events, spa)
-    ordered = rows.orderBy("seq").withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    firsts = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
-    held = sorted((r["__part"], r.n, r.first) for r in firsts.collect())  # a row for each partition
-    table, upto = [], 1
-    for part, n, first in held:
-        table.append((part, first, upto))
-        upto += n
-    if not table:
-        return rows.drop("seq", "source")
-    offsets = events.sparkSession.createDataFrame(table, "__part int, __first long, __offset long")
-    numbered = ordered.join(F.broadcast(offsets), "__part").withColumn("id", F.col("__at") - F.col("__first") + F.col("__offset"))
-    return numbered.select(*events.columns)
+    return numbered(merged(events, spa).drop("id"), "seq").select(*events.columns)
 
 
 @dataclass(frozen=True)

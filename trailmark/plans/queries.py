@@ -11,7 +11,8 @@ from ..functions import scalars, urls
 from ..operators import derive, flow, graph, layout, project, rollup, sequences, session_views
 from ..schema import EDGE_KINDS, PROVENANCES
 from ..sources import log as source
-from ..sources.folders import shared_folder
+from ..sources.folders import settled, shared_folder
+from ..sources.numbering import numbered
 from .oracle import HOST, sql
 
 QUERIES: dict = {}
@@ -299,10 +300,45 @@ def host_first_last_seen(spark, sf):
 @query("SELECT id, source, CAST(row_number() OVER (ORDER BY place, source, id) AS INT) AS seq FROM (SELECT id, id % 2 AS source, max(ts - (id % 13) * 1000) OVER (PARTITION BY id % 2 ORDER BY id) AS place FROM log)", "log")
 def merged_stream(spark, sf):
     log = source.driver_log(spark, sf).withColumn("ts", F.col("ts") - (F.col("id") % 13) * 1000)  # clocks that go back
-    from pyspark.sql import Window
+    m = source.merged(log.where("id % 2 = 0"), log.where("id % 2 = 1")).withColumnRenamed("seq", "order")
+    told = numbered(m, "order", name="seq")
+    return told.select("id", F.col("source").cast("long").alias("source"), F.col("seq").cast("int").alias("seq"))
 
-    m = source.merged(log.where("id % 2 = 0"), log.where("id % 2 = 1"))
-    return m.select("id", F.col("source").cast("long").alias("source"), F.row_number().over(Window.orderBy("seq")).alias("seq"))
+
+#: The log in two streams: in-page navigations, whose clock may go back, and all else; and both in one order.
+SPA = "kind = 'nav' AND id % 6 = 2"
+BOTH = f"""log AS (SELECT row_number() OVER (ORDER BY place, source, id0) AS id, * EXCLUDE (place, source, id0) FROM
+  (SELECT id AS id0, * EXCLUDE (id), max(ts) OVER (PARTITION BY source ORDER BY id) AS place FROM
+  (SELECT * REPLACE (ts - CASE WHEN {SPA} THEN (id % 13) * 1000 ELSE 0 END AS ts), CASE WHEN {SPA} THEN 1 ELSE 0 END AS source FROM log0)))"""
+
+
+def _with_spa(spark, sf) -> DataFrame:
+    log = source.driver_log(spark, sf)
+    spa = log.where(SPA).withColumn("ts", F.col("ts") - (F.col("id") % 13) * 1000)
+    return session_views.source_log(log.where(f"NOT ({SPA})"), spa, with_spa=True)
+
+
+def _spa_sql(body: str, *parts: str) -> str:
+    """SQL over the derivation of both streams."""
+    return sql(body, *parts).replace("WITH log AS (", "WITH log0 AS (", 1).replace(",\nq AS (", f",\n{BOTH},\nq AS (", 1)
+
+
+@query()
+def spa_source(spark, sf):
+    return _with_spa(spark, sf).select("id", "ts", "kind", "tab", "url")
+
+
+ORACLE_SQL["spa_source"] = _spa_sql("SELECT id, ts, kind, tab, url FROM log", "log")
+
+
+@query()
+def spa_rollup_nodes(spark, sf):
+    """Day rollups of both streams, derived from nothing."""
+    nodes = rollup.build(settled(_with_spa(spark, sf)))["nodes"]
+    return _text(nodes.select("date", "host", "visits", "dwell_ms", "fg_dwell_ms"), "date")
+
+
+ORACLE_SQL["spa_rollup_nodes"] = _spa_sql("SELECT CAST(date AS VARCHAR) AS date, host, visits, dwell_ms, fg_dwell_ms FROM rn", "rn")
 
 
 @query("SELECT id, ts, url, n >= 2000 AND NOT reached AS capped FROM (SELECT *, sum(CASE WHEN ts < lo THEN 1 ELSE 0 END) OVER (ORDER BY id DESC) AS older, count(*) OVER () AS n, bool_or(ts < lo) OVER () AS reached FROM (SELECT *, (SELECT max(ts) - 86400000 FROM log) AS lo FROM log ORDER BY id DESC LIMIT 2000)) WHERE older = 0 AND kind = 'nav'", "log")
@@ -312,7 +348,7 @@ def recent_navs_bounded(spark, sf):
     return source.recent_navs(log, last - 86_400_000, last + 1, 2000).select("id", "ts", "url", "capped")
 
 
-@query("SELECT id, kind FROM log WHERE NOT (kind = 'nav' AND coalesce(" + HOST.format("url") + f" = (SELECT {HOST.format('url')} FROM log WHERE kind = 'nav' AND {HOST.format('url')} IS NOT NULL ORDER BY 1 LIMIT 1), false))", "log")
+@query(f"SELECT id, kind FROM (SELECT id, kind, CASE WHEN kind = 'nav' THEN h END AS h, min(CASE WHEN kind = 'nav' THEN h END) OVER () AS first FROM (SELECT id, kind, {HOST.format('url')} AS h FROM log)) WHERE h IS DISTINCT FROM first OR h IS NULL", "log")
 def forget_domain(spark, sf):
     log = source.driver_log(spark, sf)
     first = log.where("kind = 'nav'").agg(F.min(urls.host(F.col("url")))).first()[0]

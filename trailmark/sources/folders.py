@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs in this process."""
     sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if root is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trailmark-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        sc.setCheckpointDir(root := root or tempfile.mkdtemp(prefix="trailmark-"))
+    return root
 
 
 def shared_folder(spark: SparkSession) -> str:

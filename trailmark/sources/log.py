@@ -103,13 +103,26 @@ def merged(events: DataFrame, spa: DataFrame) -> DataFrame:
     return both.withColumn("seq", F.struct("place", "source", "id")).drop("place")
 
 
+def names_domain(hosts: DataFrame, domain: str) -> DataFrame:
+    """(host): those of ``hosts`` (host) that are ``domain`` or have it as their registrable domain."""
+    from ..functions.urls import registrable
+
+    told = registrable(hosts.where("host IS NOT NULL").distinct())
+    return told.where((F.col("host") == domain) | (F.col("registrable") == domain)).select("host")
+
+
 def forget(log: DataFrame, domain: str) -> DataFrame:
-    """The log without navs whose host or registrable domain is ``domain``."""
-    from ..functions.urls import host, registrable
+    """The log without navs whose host or registrable domain is ``domain``.
+
+    Distinct hosts are looked up, of which only those that end like the domain can match; an anti join by host takes
+    out the navs. Rows without a host match nothing and aren't looked up.
+    """
+    from ..functions.urls import host
 
-    rows = registrable(log.withColumn("__host", host(F.col("url"))), "__host")
-    gone = (F.col("kind") == "nav") & ((F.col("__host") == domain) | (F.col("registrable") == domain))
-    return rows.where(~F.coalesce(gone, F.lit(False))).select(*log.columns)
+    navs = log.where("kind = 'nav'").withColumn("__host", host(F.col("url")))
+    like = navs.select(F.col("__host").alias("host")).where(F.rtrim("host", F.lit(".")).endswith(domain.rstrip(".")))
+    gone = names_domain(like, domain).withColumnRenamed("host", "__host")
+    return log.where("kind <> 'nav'").unionByName(navs.join(gone, "__host", "left_anti").drop("__host"))
 
 
 def delete_range(log: DataFrame, first_ts: int, last_ts: int) -> DataFrame:
