@@ -8,7 +8,7 @@ and over one row for each block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_edge, is_ignored, provenance, utc_day, utc_hour
@@ -21,17 +21,19 @@ SO_FAR = (Window.unboundedPreceding, 0)
 
 
 def sequenced(log: DataFrame) -> DataFrame:
-    """Known kinds only, with prov, epoch (starts so far), prev_ts and prev_id (of any known kind)."""
+    """Known kinds only, with prov, epoch (starts so far), prev_ts, prev_id, next_ts and next_id (of any known kind)."""
     rows = log.where(F.col("kind").isin(*KINDS)).withColumn("prov", F.when(F.col("kind") == "nav", provenance(F.col("transition")))).withColumn("block", F.shiftright("id", BLOCK_BITS))
     start = F.when(F.col("kind") == "start", 1).otherwise(0)
-    blocks = rows.groupBy("block").agg(F.sum(start).alias("starts"), F.max_by("ts", "id").alias("ts"), F.max("id").alias("id"))
+    ends = [f("ts", "id").alias(n) for f, n in ((F.max_by, "ts"), (F.min_by, "ts1"))] + [F.max("id").alias("id"), F.min("id").alias("id1")]
+    blocks = rows.groupBy("block").agg(F.sum(start).alias("starts"), *ends)
     w = Window.orderBy("block")  # a row for each block of ids
-    blocks = blocks.select("block", F.coalesce(F.sum("starts").over(w.rowsBetween(*BEFORE)), F.lit(0)).alias("epoch0"), F.lag("ts").over(w).alias("ts0"), F.lag("id").over(w).alias("id0"))
+    blocks = blocks.select("block", F.coalesce(F.sum("starts").over(w.rowsBetween(*BEFORE)), F.lit(0)).alias("epoch0"), F.lag("ts").over(w).alias("ts0"), F.lag("id").over(w).alias("id0"), F.lead("ts1").over(w).alias("ts1"), F.lead("id1").over(w).alias("id1"))
     own = Window.partitionBy("block").orderBy("id")
     out = rows.join(blocks, "block")
     return out.select(
         *rows.columns, (F.col("epoch0") + F.sum(start).over(own.rowsBetween(*SO_FAR))).alias("epoch"),
         F.coalesce(F.lag("ts").over(own), "ts0").alias("prev_ts"), F.coalesce(F.lag("id").over(own), "id0").alias("prev_id"),
+        F.coalesce(F.lead("ts").over(own), "ts1").alias("next_ts"), F.coalesce(F.lead("id").over(own), "id1").alias("next_id"),
     ).drop("block")
 
 
@@ -93,20 +95,35 @@ def visits(seq: DataFrame) -> DataFrame:
     return out.withColumn("src", F.when(F.col("edge_kind").isNotNull(), F.col("src")))
 
 
+def carried(rows: DataFrame, value: Column, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: the last ``value`` that isn't null among the rows of ``keys`` up to each, by ``order``.
+
+    In two levels, as an epoch or a window may have any number of rows: the last value of each block of ids, carried
+    over a row for each block, and then from row to row within a block.
+    """
+    keyed = [*keys, "__block"]
+    rows = rows.withColumns({"__value": value, "__block": F.shiftright("id", BLOCK_BITS)})
+    at = F.struct(*order)
+    blocks = rows.groupBy(*keyed).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), at)).alias("__last"))
+    before = F.last("__last", True).over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(*BEFORE))
+    blocks = blocks.select(*keyed, before.alias("__before"))
+    own = F.last("__value", True).over(Window.partitionBy(*keyed).orderBy(*order).rowsBetween(*SO_FAR))
+    return rows.join(blocks, keyed).withColumn(name, F.coalesce(own, "__before")).drop("__value", "__block", "__before")
+
+
 def foreground(seq: DataFrame) -> DataFrame:
     """Credits of the time between events to the page in sight: date, host, fg_ms, trigger_id.
 
     In sight is the page of the active tab of the focused window, as of the event before; three steps
     carry the window, its tab and that tab's page forward.
     """
-    by_epoch = Window.partitionBy("epoch").orderBy("id").rowsBetween(*SO_FAR)
     # The state after each event holds until the next one, whatever its epoch.
-    nxt = seq.select(F.col("prev_id").alias("id"), F.col("ts").alias("next_ts"), F.col("id").alias("next_id")).where("id is not null")
-    focused = seq.withColumn("w", F.last(F.when(F.col("kind") == "wfocus", F.col("win")), True).over(by_epoch))
-    spans = focused.where("w >= 0").select("epoch", "id", "ts", "w").join(nxt, "id").withColumn("ms", F.greatest(F.least(F.col("next_ts") - F.col("ts"), F.lit(IDLE_GAP_MS)), F.lit(0)).cast("long")).where("ms > 0")
+    focused = carried(seq, F.when(F.col("kind") == "wfocus", F.col("win")), ["epoch"], ["id"], "w")
+    ms = F.greatest(F.least(F.col("next_ts") - F.col("ts"), F.lit(IDLE_GAP_MS)), F.lit(0)).cast("long")
+    spans = focused.where("w >= 0 and next_id is not null").withColumn("ms", ms).where("ms > 0")
     focus = seq.where("kind = 'focus'").select("epoch", "id", "ts", F.col("win").alias("w"), F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("long").alias("ms"), "tab", F.lit(0).alias("place"))
     both = spans.select("epoch", "id", "ts", "w", "next_id", "ms", F.lit(None).cast("long").alias("tab"), F.lit(1).alias("place")).unionByName(focus)
-    active = both.withColumn("f", F.last(F.when(F.col("place") == 0, F.struct("tab", "id")), True).over(Window.partitionBy("epoch", "w").orderBy("id", "place").rowsBetween(*SO_FAR)))
+    active = carried(both, F.when(F.col("place") == 0, F.struct("tab", "id")), ["epoch", "w"], ["id", "place"], "f")
     spans = active.where("place = 1 and f is not null").select("epoch", "id", "ts", "next_id", "ms", F.col("f.tab").alias("tab"), F.col("f.id").alias("focus_id"), F.lit(2).alias("place"), F.lit(None).cast("string").alias("step"), F.lit(None).cast("string").alias("url"))
     null = lambda kind: F.lit(None).cast(kind)
     tabs = tab_rows(seq).where("step <> 'source'").select("epoch", "id", "ts", null("long").alias("next_id"), null("long").alias("ms"), "tab", null("long").alias("focus_id"), "place", "step", "url")
