@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import histogram, utc_day
 from ..schema import EDGE_KINDS, PROVENANCES, SCHEMA_VERSION
+from ..sources.folders import settled
+from ..sources.manifest import Manifest
 from . import derive
 
 PROV = [f"prov_{p}" for p in PROVENANCES]
@@ -55,61 +61,172 @@ def merge(name: str, *parts: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])
 
 
+#: Tables whose rows replace those of the same key, and the key.
+KEYED = {"sessions": "id", "meta": "key", "positions": "key"}
+SUMMED = ("nodes", "edges", "days")
+#: A table of more parts than this is merged into one by the commit that adds the next.
+PARTS = 16
+
+
 class Store:
-    """Derived tables as Parquet in one folder, nodes and edges partitioned by date, with a version mark."""
+    """A log and its derived tables in one folder, changed by commits that readers see whole or not at all.
+
+    ``events`` and ``spa`` are appended to; nodes, edges and days add up; sessions, meta and positions hold the last put
+    of each key. ``upsert`` with a batch's number counts each batch once, also when it runs again after a failure.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def read(self, name: str) -> DataFrame:
-        """A table with all batches that were added to it."""
-        base = self.spark.read.parquet(f"{self.folder}/{name}")
-        added = self._added(name, base)
-        if added is None:
-            return base
-        if name == "sessions":  # the last put of a key holds
-            every = base.withColumn("batch", F.lit(-1).cast("long")).unionByName(added)
-            last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("batch")))
-            return every.withColumn("__last", last).where("__last = 1").drop("__last", "batch")
-        return merge(name, base, added.drop("batch").select(base.columns)).select(base.columns)
-
-    def _added(self, name: str, base: DataFrame) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(T.StructType([*base.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{self.folder}/_added/{name}")
-        except Exception as e:  # Spark has no exception of its own for a missing path
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
+        self.spark, self.folder, self.manifest = spark, folder, Manifest(spark, folder)
+
+    def _merged(self, name: str, parts: list) -> DataFrame:
+        frames = self.manifest.frames(parts)
+        if len(frames) == 1:
+            return frames[0]
+        if name in KEYED:  # the last put of a key holds
+            key = KEYED[name]
+            every = [f.withColumn("__part", F.lit(k)) for k, f in enumerate(frames)]
+            rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every)
+            last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "__part").alias("row"))
+            return last.select("row.*").drop("__part")
+        if name in SUMMED:
+            return merge(name, *frames).select(frames[0].columns)
+        return functools.reduce(lambda a, b: a.unionByName(b), frames)
+
+    def has(self, name: str) -> bool:
+        return bool(self.manifest.read()["tables"].get(name))
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table with all that was added to it, of the newest commit or of a version."""
+        parts = self.manifest.read(version)["tables"].get(name)
+        if not parts:
+            raise KeyError(f"the store has no table {name}")
+        return self._merged(name, parts)
+
+    def commit(self, put: dict[str, DataFrame], add: dict[str, DataFrame] | None = None, batch: int | None = None, drop=(), marks: dict | None = None) -> int:
+        """One commit: tables of ``put`` are replaced, those of ``drop`` removed, rows of ``add`` added.
+
+        Rows of a batch that was added before replace those it added then; a batch whose rows were merged into the
+        table since is not added again. Files are written first, so a failure on the way changes nothing.
+        """
+        state = self.manifest.read()
+        tables = {n: list(p) for n, p in state["tables"].items() if n not in drop}
+        told = {**state["marks"], **(marks or {})}
+        merged = dict(told.get("merged", {}))
+        for name, df in put.items():
+            tables[name] = [[self.manifest.put(df, name), None]]
+            merged.pop(name, None)
+        for name, df in (add or {}).items():
+            if batch is not None and batch <= merged.get(name, -1):
+                continue
+            parts = [p for p in tables.get(name, []) if batch is None or p[1] != batch]
+            if len(parts) >= PARTS:
+                merged[name] = max([merged.get(name, -1), *(p[1] for p in parts if p[1] is not None)])
+                parts = [[self.manifest.put(self._merged(name, parts), name), None]]
+            tables[name] = [*parts, [self.manifest.put(df, name), batch]]
+        return self.manifest.publish(state, tables, {**told, "merged": merged})
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        """A full write: replaces every table given, with what was added to it."""
-        for name, df in tables.items():
-            out = df.write.mode("overwrite")
-            (out.partitionBy("date") if name in ("nodes", "edges") else out).parquet(f"{self.folder}/{name}")
-            df.limit(0).write.mode("overwrite").parquet(f"{self.folder}/_added/{name}")
-        self.spark.range(1).select(F.lit(SCHEMA_VERSION).alias("version")).write.mode("overwrite").parquet(f"{self.folder}/version")
+        """Replaces every table given, with what was added to it."""
+        self.commit(tables, marks={"schema": SCHEMA_VERSION})
 
     def upsert(self, deltas: dict[str, DataFrame], batch: int | None = None) -> None:
-        """Adds deltas under their batch's number: a batch that runs again replaces itself, so each counts once.
-
-        Without a number it is the next one. Sessions replace those of the same id; all else adds up when it is read.
-        """
-        for name, delta in deltas.items():
-            number = batch
-            if number is None:
-                added = self._added(name, self.spark.read.parquet(f"{self.folder}/{name}"))
-                number = (added.agg(F.max("batch")).first()[0] if added is not None else None) or 0
-                number += 1
-            delta.write.mode("overwrite").parquet(f"{self.folder}/_added/{name}/batch={number}")
+        """Adds deltas, under their batch's number if they have one."""
+        self.commit({}, deltas, batch)
 
     def reconcile(self, log: DataFrame) -> bool:
         """Rebuilds from the log where the stored version is another or missing; says whether it did."""
-        try:
-            current = self.read("version").first().version == SCHEMA_VERSION
-        except Exception as e:  # Spark has no exception of its own for a missing path
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            current = False
+        current = self.manifest.read()["marks"].get("schema") == SCHEMA_VERSION
         if not current:
             self.write(build(log))
         return not current
+
+    def reset_derivation(self) -> None:
+        """Drops what is derived, and gives the fold a new checkpoint, so that the next run folds all events anew."""
+        self.commit({}, drop=(*SUMMED, "sessions"), marks={"schema": None, "fold": uuid.uuid4().hex, "merged": {}})
+
+    def clear_all(self) -> None:
+        """Drops every table, meta and positions with them."""
+        self.commit({}, drop=tuple(self.manifest.read()["tables"]), marks={"schema": None, "fold": uuid.uuid4().hex, "merged": {}})
+
+    def checkpoint(self) -> str:
+        """The folder of the streaming fold's checkpoint, another one after each reset."""
+        if "fold" not in self.manifest.read()["marks"]:
+            self.commit({}, marks={"fold": uuid.uuid4().hex})
+        return f"{self.folder}/_fold/{self.manifest.read()['marks']['fold']}"
+
+    def rebuild(self, rebuilt: Callable[[DataFrame], dict[str, DataFrame]] = build) -> None:
+        """Derives all tables from the stored events."""
+        self.write(rebuilt(self.read("events")))
+
+    # --- meta: one row for each key, its value as JSON; the last put holds
+
+    def put_meta(self, **values) -> None:
+        rows = [(k, json.dumps(v)) for k, v in values.items()]
+        self.commit({}, {"meta": self.spark.createDataFrame(rows, "key string, value string")})
+
+    def meta(self, key: str, default=None):
+        """A key's value; ``default`` where there is none, or one of another kind than the default's."""
+        row = self.read("meta").where(F.col("key") == key).select("value").first() if self.has("meta") else None
+        if row is None:
+            return default
+        try:
+            value = json.loads(row.value)
+        except ValueError:
+            return default
+        alike = default is None or isinstance(value, bool) == isinstance(default, bool) and isinstance(value, (int, float) if isinstance(default, (int, float)) else type(default))
+        return value if alike else default
+
+    # --- layout positions
+
+    def put_positions(self, positions: DataFrame) -> None:
+        """Replaces the stored positions (key and coordinates)."""
+        self.commit({"positions": positions})
+
+    def positions(self) -> DataFrame | None:
+        return self.read("positions") if self.has("positions") else None
+
+    # --- redaction
+
+    def forget(self, domain: str) -> None:
+        """Takes a host's or registrable domain's navs out of both logs, and their share out of all that is derived."""
+        from ..sources.log import forget
+
+        self._redact(lambda log: forget(log, domain))
+
+    def delete_range(self, first_ts: int, last_ts: int) -> None:
+        """Takes events between two times, both included, out of both logs and out of all that is derived."""
+        from ..sources.log import delete_range
+
+        self._redact(lambda log: delete_range(log, first_ts, last_ts))
+
+    def _redact(self, kept: Callable[[DataFrame], DataFrame]) -> None:
+        from . import redaction
+
+        put, before = {}, self.read("events")
+        put["events"] = after = settled(kept(before))
+        if self.has("spa"):
+            put["spa"] = kept(self.read("spa"))
+        if all(self.has(n) for n in (*SUMMED, "sessions")):
+            put |= redaction.redacted(before, after, {n: self.read(n) for n in (*SUMMED, "sessions")})
+        # The fold's state knows pages that are gone, so it begins anew; what it adds up is in the tables already.
+        self.commit(put, marks={"fold": uuid.uuid4().hex})
+
+    # --- documents
+
+    def replace_from(self, path: str) -> None:
+        """Replaces all stores by an export document's, missing arrays by nothing, and derives from its events."""
+        from ..sources.log import read_document
+
+        doc = read_document(self.spark, path)
+        meta = doc["meta"].select(F.from_json("json", "key string, value string").alias("m")).select("m.*").where("key IS NOT NULL")
+        events = settled(doc["events"])
+        put = {"events": events, "spa": doc["spa"], "meta": meta, **build(events)}
+        self.commit(put, drop=tuple(self.manifest.read()["tables"]), marks={"schema": SCHEMA_VERSION, "fold": uuid.uuid4().hex, "merged": {}})
+
+    def counts(self) -> DataFrame:
+        """One row: events, spa, rollup_days, sessions. Of tables of one part only footers are read."""
+        out = self.spark.range(1).select()
+        for name, table in (("events", "events"), ("spa", "spa"), ("rollup_days", "days"), ("sessions", "sessions")):
+            n = self.read(table).agg(F.count("*").alias(name)) if self.has(table) else self.spark.range(1).select(F.lit(0).cast("long").alias(name))
+            out = out.crossJoin(n)  # one row each
+        return out

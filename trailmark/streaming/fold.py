@@ -167,13 +167,76 @@ def contributions(stream: DataFrame, profile: str | None = None) -> DataFrame:
     return rows.groupBy("profile").applyInPandasWithState(_advance, OUT, "state string", "append", "NoTimeout")
 
 
+SESSION = "win bigint, start_ts bigint, end_ts bigint, start_id bigint, end_id bigint, nav_count bigint, top_hosts array<array<string>>"
+
+
 def batches(out: DataFrame) -> dict[str, DataFrame]:
-    """Contributions as visits, foreground and signal rows of the batch derivation."""
+    """Contributions as visits, foreground, signal and session rows of the batch derivation."""
     from ..functions.scalars import utc_day, utc_hour
 
     day = utc_day(F.col("ts"))
     visits = out.where("what = 'visit'").select(day.alias("date"), utc_hour(F.col("ts")).alias("hour"), "host", "prov", "ts", "id", F.col("ms").alias("dwell_ms"), "trigger_id", F.lit(False).alias("provisional"), "src", "edge_kind")
-    return {"visits": visits, "fg": out.where("what = 'fg'").select(day.alias("date"), "host", F.col("ms").alias("fg_ms"), "trigger_id"), "sessions": out.where("what = 'session'").select("id", "json")}
+    return {
+        "visits": visits, "fg": out.where("what = 'fg'").select(day.alias("date"), "host", F.col("ms").alias("fg_ms"), "trigger_id"),
+        "signals": out.where("what = 'signal'").select(F.lit("focus").alias("kind"), "ts", F.col("trigger_id").alias("id")),
+        "sessions": out.where("what = 'session'").select("id", "json"),
+    }
+
+
+def deltas(out: DataFrame) -> dict[str, DataFrame]:
+    """Contributions as rows of the store's tables."""
+    from ..operators import rollup
+
+    parts = batches(out)
+    told = parts["sessions"].select("id", F.from_json("json", SESSION).alias("s")).select("id", "s.*")
+    top = F.transform("top_hosts", lambda t: F.struct(t[0].alias("host"), t[1].cast("long").alias("n")))
+    return {
+        "nodes": rollup.node_days(parts["visits"], parts["fg"]), "edges": rollup.edge_days(parts["visits"]),
+        "days": rollup.day_rows(parts["visits"], parts["fg"], parts["signals"]), "sessions": told.withColumn("top_hosts", top),
+    }
+
+
+def into(store, stream: DataFrame, trigger: dict | None = None):
+    """Starts a query that folds a stream of one log into a store's tables, one commit for each micro-batch.
+
+    A batch's tables are committed together under its number. One that runs again, after it was lost on the way or
+    after its commit, counts once.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.persist()
+        try:
+            store.upsert(deltas(df), batch)
+        finally:
+            df.unpersist()
+
+    writer = contributions(stream).writeStream.foreachBatch(write).option("checkpointLocation", store.checkpoint())
+    return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def still_open(spark, checkpoint: str) -> DataFrame:
+    """The contributions of pages and sessions that are open as of a stream's last batch, from its state."""
+    state = spark.read.format("statestore").load(checkpoint).selectExpr("key.profile AS profile", "value.*")
+    kept = state.select("profile", F.col(f"`{state.columns[1]}`.state").alias("state") if "state" not in state.columns else "state")
+
+    def told(frames):
+        for pdf in frames:
+            for profile, text in zip(pdf["profile"], pdf["state"]):
+                got = Fold(json.loads(text)).provisional()
+                rows = {c: pd.Series([profile if c == "profile" else g.get(c) for g in got], dtype=object) for c in COLUMNS}
+                yield pd.DataFrame(rows)
+
+    return kept.mapInPandas(told, OUT)
+
+
+def live(store) -> dict[str, DataFrame]:
+    """The store's tables with what is still open counted in; nothing of it is kept."""
+    from ..operators import rollup
+
+    more = deltas(still_open(store.spark, store.checkpoint()))
+    out = {n: rollup.merge(n, store.read(n), more[n].select(store.read(n).columns)) for n in rollup.SUMMED}
+    kept = store.read("sessions")
+    return {**out, "sessions": kept.withColumn("open", F.lit(False)).unionByName(more["sessions"].select(kept.columns).withColumn("open", F.lit(True)))}
 
 
 def keep(stream: DataFrame, folder: str, checkpoint: str, profile: str | None = None):
