@@ -49,17 +49,26 @@ def positions(keys: list[str], edges: list[tuple[int, int]], rounds: int = 320,
     return p
 
 
-def layout(g: Graph, dims: int = 2, rounds: int = 320, cohesive: bool = True) -> DataFrame:
-    """key, x, y[, z]: one group, since every node moves every other."""
+def layout(g: Graph, dims: int = 2, rounds: int = 320, cohesive: bool = True, start: DataFrame | None = None) -> DataFrame:
+    """key, x, y[, z]: one group, since every node moves every other.
+
+    ``start`` has positions (key, x, y[, z]) of a layout before, where its nodes begin; others begin on the spiral.
+    """
     com = communities(g) if cohesive else g.nodes.select("key", F.lit(None).cast("string").alias("community"))
     rows = com.select("key", "community", F.lit(None).cast("string").alias("dst")).unionByName(within(g).select(F.col("src").alias("key"), F.lit(None).cast("string").alias("community"), "dst")).withColumn("one", F.lit(0))
+    axes = "xyz"[:dims]
+    if start is not None:
+        rows = rows.join(start.select("key", F.array(*axes).alias("at")), "key", "left")
+    else:
+        rows = rows.withColumn("at", F.lit(None).cast("array<double>"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf[pdf["dst"].isna()].sort_values("key")
         keys = nodes["key"].tolist()
         at = {x: i for i, x in enumerate(keys)}
         edges = sorted((at[a], at[b]) for a, b in pdf[pdf["dst"].notna()][["key", "dst"]].itertuples(index=False) if a in at and b in at)
-        p = positions(keys, edges, rounds, dims, groups=nodes["community"].tolist() if cohesive else None)
+        seed = {k: tuple(x) for k, x in zip(keys, nodes["at"]) if x is not None and not any(v is None or v != v for v in x)}
+        p = positions(keys, edges, rounds, dims, seed, groups=nodes["community"].tolist() if cohesive else None)
         return pd.DataFrame({"key": keys, **{c: p[:, k] for k, c in enumerate("xyz"[:dims])}})
 
     return rows.groupBy("one").applyInPandas(run, "key string, " + ", ".join(f"{c} double" for c in "xyz"[:dims]))

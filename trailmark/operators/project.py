@@ -220,6 +220,38 @@ def calendar(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
     return sessions.groupBy(day.alias("day")).agg(F.count("*").alias("sessions"), F.sum("nav_count").alias("navs"))
 
 
+def calendar_grid(sessions: DataFrame, today: date, tz: str = "UTC", weeks: int = 53) -> DataFrame:
+    """Every local day of the ``weeks`` weeks, from Sunday on, that end with today's: day, week, weekday, sessions, navs, level.
+
+    Days without a session have zeros; days after today are in the grid too. Levels are quarters of the busiest day's
+    navs, of all days that have sessions. Local days follow the zone's clock changes.
+    """
+    sunday = today - timedelta(days=(today.weekday() + 1) % 7)
+    n = sessions.sparkSession.range(7 * weeks).select(F.col("id").cast("int").alias("n"))
+    grid = n.select(F.date_add(F.lit(sunday - timedelta(weeks=weeks - 1)), F.col("n")).alias("day"), F.floor(F.col("n") / 7).cast("int").alias("week"), (F.col("n") % 7).alias("weekday"))
+    days = calendar(sessions, tz)
+    most = days.agg(F.greatest(F.coalesce(F.max("navs"), F.lit(1)), F.lit(1)).alias("most"))  # one row
+    told = grid.join(days, "day", "left").fillna(0, ["sessions", "navs"]).crossJoin(F.broadcast(most))
+    return told.select("day", "week", "weekday", "sessions", "navs", rhythm_level(F.col("navs"), F.col("most")).alias("level"))
+
+
+def local_activity(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
+    """n, median_navs (the upper of two), busiest_hour, busiest_weekday (0 is Sunday), longest_navs, longest_host.
+
+    Hours and days are local. Of equal counts the later hour or day is the busiest, of equal runs the later session the
+    longest. No row without sessions.
+    """
+    at = F.from_utc_timestamp(F.timestamp_millis("start_ts"), tz)
+    s = sessions.select("id", "nav_count", F.hour(at).alias("hour"), (F.dayofweek(at) - 1).alias("weekday"), F.try_element_at("top_hosts", F.lit(1))["host"].alias("host"))
+    most = lambda c: s.groupBy(c).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", c))[c].alias(f"busiest_{c}"))
+    counts = s.groupBy("nav_count").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("nav_count"))).withColumn("all", F.sum("n").over(Window.partitionBy()))  # a row for each count
+    median = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("nav_count").alias("median_navs"))
+    longest = F.max(F.struct("nav_count", "id", "host"))
+    one = s.agg(F.count("*").alias("n"), longest["nav_count"].alias("longest_navs"), longest["host"].alias("longest_host")).where("n > 0")
+    return one.crossJoin(median).crossJoin(most("hour")).crossJoin(most("weekday"))  # one row each
+
+
 def signature(g: Graph) -> DataFrame:
     """One row, signature: equal for equal sets of nodes and edges, whatever their order and visits."""
     n = g.nodes.agg(F.count("*").alias("a"), F.coalesce(F.bit_xor(F.xxhash64("key")), F.lit(0)).alias("b"))

@@ -88,6 +88,19 @@ def source_log(events: DataFrame, spa: DataFrame, with_spa: bool) -> DataFrame:
     return numbered(merged(events, spa).drop("id"), "seq").select(*events.columns)
 
 
+def top_pages(log: DataFrame, key: str, by_domain: bool = False, n: int = 25) -> DataFrame:
+    """page, visits: the most visited pages of a node, which is a host, or with ``by_domain`` a registrable domain."""
+    from ..functions import urls
+
+    navs = log.where("kind = 'nav'").select(urls.host(F.col("url")).alias("host"), urls.path_query(F.col("url")).alias("page"))
+    if by_domain:
+        hosts = urls.registrable(navs.select("host").where("host IS NOT NULL").distinct()).where(F.col("registrable") == key)
+        navs = navs.join(hosts.select("host"), "host", "left_semi")
+    else:
+        navs = navs.where(F.col("host") == key)
+    return navs.groupBy("page").agg(F.count("*").alias("visits")).orderBy(F.desc("visits"), "page").limit(n)
+
+
 @dataclass(frozen=True)
 class View:
     """What is shown: a range, and an anchor, which is a day, a session's id, or None for live."""
@@ -135,3 +148,20 @@ def step(view: View, back: bool, sessions: DataFrame, earliest: date | None, lat
 
 def live(view: View) -> View:
     return View(view.range_)
+
+
+def displayed(view: View, tables: dict[str, DataFrame], log: DataFrame) -> dict[str, DataFrame]:
+    """The day rollups (nodes, edges, days) that a view shows.
+
+    In the session range those of its session alone, or of the newest one, derived from its events from an empty state;
+    without any session, and in all other ranges, those of the days of its window.
+    """
+    if view.range_ == "session":
+        sessions = tables["sessions"]
+        chosen = sessions if view.session is None else sessions.where(F.col("id") == view.session)
+        row = chosen.orderBy(F.desc("start_ts"), F.desc("id")).select("start_id", "end_id").first()
+        if row is not None:
+            return session_rollup(log, row.start_id, row.end_id)
+    end = end_day(view, tables["sessions"])
+    anchor = end.isoformat() if end else None
+    return {n: project.select_window(tables[n], view.range_, anchor, tables["nodes"]) for n in ("nodes", "edges", "days")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries
+from .plans import queries, store_queries  # noqa: F401  registers its queries
 
 QUERIES = queries.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import described
+from ..functions.urls import with_idna
 from ..schema import KINDS, WIRE
 
 
@@ -12,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def driver_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events as a navigation log; pages give the URLs."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), "url")
-    n, e = pages.count(), table(spark, sf_dir, "events")
+def driver_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The driver's events, or a stream of such rows, as a navigation log; pages give the URLs, hosts in IDNA form."""
+    pages = with_idna(table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), "url"))
+    n, e = table(spark, sf_dir, "pages").count(), events if events is not None else table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     i, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
     kind = F.when(i % 997 == 996, "start").when(i % 53 == 52, "link").when(i % 47 == 46, "close").when((i % 5 == 4) & (t == "error"), "wfocus").when(i % 5 == 3, "focus").otherwise("nav")
@@ -29,14 +31,18 @@ def driver_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_wire(events: DataFrame) -> DataFrame:
-    """Columns of the wire format to the log's; unknown kinds are dropped, other negative windows count as none."""
+    """Columns of the wire format to the log's; unknown kinds are dropped, other negative windows count as none.
+
+    Hosts outside ASCII become IDNA.
+    """
     q = F.coalesce("qualifiers", F.array().cast("array<string>"))
     window = F.coalesce(F.col("windowId").cast("long"), F.lit(0))
-    return events.where(F.col("kind").isin(*KINDS)).select(
+    rows = events.where(F.col("kind").isin(*KINDS)).select(
         F.col("id").cast("long").alias("id"), F.col("ts").cast("long").alias("ts"), "kind", F.col("tabId").cast("long").alias("tab"), F.when(window < 0, -1).otherwise(window).alias("win"),
         F.col("newTabId").cast("long").alias("new_tab"), F.col("sourceTabId").cast("long").alias("src_tab"), F.col("transitionType").alias("transition"),
         F.array_contains(q, "client_redirect").alias("redirect"), F.array_contains(q, "forward_back").alias("back"), F.col("toUrl").alias("url"),
     )
+    return with_idna(rows)
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -77,6 +83,18 @@ def head(log: DataFrame, n: int = 1000) -> DataFrame:
     return log.orderBy("id").limit(n)
 
 
+def raw_page(log: DataFrame, kinds: tuple[str, ...] = KINDS, after_id: int | None = None, n: int = 1000) -> DataFrame:
+    """A page of the raw log as lines: id, ts, kind, line, and total, the number of events of these kinds.
+
+    The first ``n`` events in order of id, or those after a page's last id.
+    """
+    rows = log.where(F.col("kind").isin(*kinds))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    if after_id is not None:
+        rows = after(rows, after_id)
+    return head(rows, n).select("id", "ts", "kind", described().alias("line")).crossJoin(F.broadcast(total))
+
+
 def recent_navs(log: DataFrame, lo: int, hi: int, budget: int = 20_000) -> DataFrame:
     """Navs with lo <= ts < hi among the newest ``budget`` events, up to the first older than lo; with ``capped``."""
     newest = log.orderBy(F.desc("id")).limit(budget)
