@@ -82,3 +82,30 @@ def test_sql_functions(spark):
     assert q("url_page('https://a.co')") == "/" and q("url_page('https://a.co/x?q=1#y')") == "/x?q=1"
     assert q("url_terms('https://www.google.de/search?hl=en&q=two+words')") == "two words" and q("url_engine('https://www.google.de/search?q=x')") == "Google"
     assert q("url_engine('https://a.co/search?q=x')") is None and q("url_host('https://A.co:8/x')") == "a.co" and q("utc_hour(3600000)") == 1
+
+
+def test_one_csv_document_of_all_sections(spark, tmp_path):
+    from tests.test_operators import edges_of
+    from trailmark.sources import tables_csv
+
+    nodes = nodes_of(spark, [("2021-01-03", "a,x.co", 4), ("2021-01-03", "b.co", 6), ("2021-01-02", "c.co", 1)])
+    edges = edges_of(spark, [("a,x.co", "b.co", 5, 1), ("b.co", "a,x.co", 2), ("b.co", "c.co", 1)]).withColumn("date", F.lit("2021-01-03").cast("date"))
+    hours = F.array(*[F.lit(7 if h == 23 else 0).cast("long") for h in range(24)])
+    days = spark.range(1).select(F.lit("2021-01-03").cast("date").alias("date"), hours.alias("visits_by_hour"))
+    tables = tables_csv.sections(nodes, days, project.project(nodes, edges), "week", offset_hours=2)
+    tables_csv.write_document(tables, str(tmp_path / "doc"))
+    parts = list((tmp_path / "doc").glob("part-*"))
+    text = parts[0].read_text()
+    assert len(parts) == 1 and text.startswith("Range summary\nMetric,Value\nRange,This week\nSites,3\nVisits,11\nNewly discovered,3\nRevisit rate,73%\n\nTop hubs\n")
+    blocks = dict(b.split("\n", 1) for b in text.strip("\n").split("\n\n"))
+    # One community has no bridge sites, so that section is left out.
+    assert list(blocks)[4:] == ["Authorities (PageRank)", "Surging this period", "Where you usually go next", "Back-and-forth", "Where your searches went", "Top edges", "Origination", "Rhythm (local time)"]
+    assert blocks["Top edges"] == 'From,To,Weight,Kind\n"a,x.co",b.co,5,Link\nb.co,"a,x.co",2,Link\nb.co,c.co,1,Link'
+    assert blocks["Rhythm (local time)"] == "Weekday,Hour,Visits\nMon,01:00,7" and blocks["Back-and-forth"].endswith('"a,x.co",b.co,5,2')
+    tables_csv.write(tables, str(tmp_path / "parts"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "parts" / "top_hubs")).count() == 3
+
+
+def test_hosts_of_a_domain(spark):
+    nodes = nodes_of(spark, [("2021-01-03", "x.a.co.uk", 4), ("2021-01-02", "a.co.uk", 6), ("2021-01-03", "b.co.uk", 1)])
+    assert [tuple(r) for r in project.hosts_of(nodes, "a.co.uk", "week").collect()] == [("a.co.uk", 6), ("x.a.co.uk", 4)]

@@ -60,7 +60,7 @@ def ego(g: Graph, focus: str) -> Graph:
 
 
 def component(g: Graph, focus: str) -> Graph:
-    """The nodes connected with the focus: a recursive query with set semantics."""
+    """The nodes connected with the focus, a step outwards at a time until none is new."""
     both = within(g).select(F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))).distinct()
     seen = g.nodes.where(F.col("key") == focus).select("key")
     fresh = seen
@@ -162,10 +162,17 @@ def communities(g: Graph) -> DataFrame:
     return rows.groupBy("one").applyInPandas(run, "key string, community string")
 
 
-def betweenness(g: Graph) -> DataFrame:
-    """key, score: shortest paths through each node, unweighted and undirected; sources are dealt over tasks."""
+def betweenness(g: Graph, most_pairs: int = 5_000_000) -> DataFrame:
+    """key, score: shortest paths through each node, unweighted and undirected; sources are dealt over tasks.
+
+    Every source needs the whole graph, of one log's hosts, which is broadcast: over ``most_pairs`` linked pairs it is
+    an error.
+    """
     pairs = within(g).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    rows = [(r.a, r.b) for r in pairs.toLocalIterator()]  # the graph of one log's hosts; every source needs all of it
+    pairs = settled(pairs)
+    if (n := pairs.count()) > most_pairs:
+        raise ValueError(f"{n} linked pairs of hosts are more than the {most_pairs} that betweenness takes")
+    rows = [(r.a, r.b) for r in pairs.toLocalIterator()]  # at most most_pairs
     keys = sorted({k for ab in rows for k in ab})
     at = {k: i for i, k in enumerate(keys)}
     adj: list[list[int]] = [[] for _ in keys]

@@ -220,6 +220,13 @@ def calendar(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
     return sessions.groupBy(day.alias("day")).agg(F.count("*").alias("sessions"), F.sum("nav_count").alias("navs"))
 
 
+def hosts_of(nodes: DataFrame, domain: str, range_: str, anchor: str | None = None) -> DataFrame:
+    """host, visits: the hosts that a registrable domain's node stands for in the window, busiest first."""
+    by = select_window(nodes, range_, anchor).groupBy("host").agg(F.sum("visits").alias("visits"))
+    told = registrable(by.select("host"))
+    return by.join(told.where(F.col("registrable") == domain), "host").select("host", "visits").orderBy(F.desc("visits"), "host")
+
+
 def calendar_grid(sessions: DataFrame, today: date, tz: str = "UTC", weeks: int = 53) -> DataFrame:
     """Every local day of the ``weeks`` weeks, from Sunday on, that end with today's: day, week, weekday, sessions, navs, level.
 

@@ -105,6 +105,11 @@ def closed(patterns: DataFrame) -> DataFrame:
     return patterns.join(prefixes, ["support", "pattern"], "left_anti").select("pattern", "support")
 
 
+def journey_scope(sessions: DataFrame, newest: int = 150) -> DataFrame:
+    """One row: total sessions, and whether journeys look at the newest of them only."""
+    return sessions.agg(F.count("*").alias("total")).withColumn("capped", F.col("total") > newest)
+
+
 def journeys(sessions: DataFrame, log: DataFrame, newest: int = 150, min_support: int = 2, max_len: int = 5, top: int = 15, by_domain: bool = False) -> DataFrame:
     recent = sessions.orderBy(F.desc("start_ts"), "id").limit(newest)
     found = closed(frequent(chains(session_events(recent, log), by_domain), min_support, max_len))

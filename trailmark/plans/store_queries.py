@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
 from ..functions import urls
-from ..operators import project, rollup, session_views
+from ..operators import project, rollup, sequences, session_views
 from ..schema import PROVENANCES
-from ..sources import capture
+from ..sources import capture, tables_csv
 from ..sources import log as source
 from ..sources.folders import shared_folder
 from ..streaming import fold
 from .oracle import HOST, PROVS, sql
-from .queries import ORACLE_SQL, SPA, _focus, _graph, _nodes, _tables, _text, query
+from .queries import LATEST, ORACLE_SQL, TWO, WEEK, _focus, _graph, _nodes, _tables, _text, query
 
 NODE_COLUMNS = ["date", "host", "visits", "dwell_ms", "fg_dwell_ms", *(f"prov_{p}" for p in PROVENANCES)]
 NODES = "SELECT CAST(date AS VARCHAR) AS date, host, visits, dwell_ms, fg_dwell_ms, " + ", ".join(NODE_COLUMNS[5:]) + " FROM rn"
@@ -228,6 +228,60 @@ def local_activity(spark, sf):
 ORACLE_SQL["local_activity"] = _zone_sql("America/Los_Angeles", ACTIVITY.replace("{first_host}", FIRST))
 
 
+# --- reports
+
+
+@query("SELECT count(*) AS total, count(*) > 150 AS capped FROM s", "s")
+def journey_scope(spark, sf):
+    return sequences.journey_scope(_tables(spark, sf, "sessions"))
+
+
+@query(f"SELECT host, CAST(sum(visits) AS BIGINT) AS visits FROM rn WHERE {WEEK} AND regexp_extract(host, '[^.]+\\.[^.]+$') = regexp_extract({BUSIEST}, '[^.]+\\.[^.]+$') GROUP BY host", "g")
+def hosts_of_domain(spark, sf):
+    key = spark.createDataFrame([(_focus(_graph(spark, sf)),)], "host string")
+    return project.hosts_of(_nodes(spark, sf), urls.registrable(key).first().registrable, "week")
+
+
+def _csv_sql() -> str:
+    """The document's sections as SQL: (section, row, line) of each, then titles and headers."""
+    kind = "CASE greatest(kind_link, kind_search_link, kind_form) WHEN kind_link THEN 'Link' WHEN kind_search_link THEN 'SearchLink' ELSE 'Form' END"
+    ends = "(SELECT src AS key, weight FROM ge UNION ALL SELECT dst, weight FROM ge)"
+    stats = f"(SELECT host, bool_or({WEEK}) AS here, sum(CASE WHEN {WEEK} THEN visits ELSE 0 END) AS w, min(date) AS first FROM rn GROUP BY host)"
+    days = " ".join(f"WHEN {k} THEN '{d}'" for k, d in enumerate(tables_csv.WEEKDAYS))
+    hops = "(SELECT src, dst, weight, weight / sum(weight) OVER (PARTITION BY src) AS share, sum(weight) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM ge)"
+    parts = [
+        ("Range summary", "Metric,Value", True, f"""SELECT unnest(['Range,This week', 'Sites,' || h, 'Visits,' || v, 'Newly discovered,' || f, 'Revisit rate,' || CAST(round(greatest(v - h, 0) * 100 / v) AS INT) || '%']) AS line, unnest(range(5)) AS o
+          FROM (SELECT count(*) FILTER (here) AS h, CAST(sum(w) AS BIGINT) AS v, count(*) FILTER (first BETWEEN {LATEST} - 6 AND {LATEST}) AS f FROM {stats})""", "o"),
+        ("Top hubs", "Host,Degree,Dwell est (ms),Foreground (ms)", True, f"SELECT concat_ws(',', gn.key, w, dwell_ms, fg_dwell_ms) AS line, w, gn.key FROM gn JOIN (SELECT n.key, CAST(coalesce(sum(e.weight), 0) AS BIGINT) AS w FROM gn n LEFT JOIN {ends} e USING (key) GROUP BY n.key) h USING (key)", "w DESC, key"),
+        ("Launch pads", "Host,Outbound", True, "SELECT src || ',' || CAST(sum(weight) AS BIGINT) AS line, sum(weight) AS w, src AS key FROM ge GROUP BY src", "w DESC, key"),
+        ("Destinations", "Host,Inbound", True, "SELECT dst || ',' || CAST(sum(weight) AS BIGINT) AS line, sum(weight) AS w, dst AS key FROM ge GROUP BY dst", "w DESC, key"),
+        ("Surging this period", "Host,Now,Before", False, f"SELECT concat_ws(',', host, CAST(now AS BIGINT), CAST(coalesce(prev, 0) AS BIGINT)) AS line, now / greatest(coalesce(prev, 0), 1) AS r, now, host FROM {TWO} WHERE now >= 3 AND now > coalesce(prev, 0)", "r DESC, now DESC, host"),
+        ("Where you usually go next", "From,To,Share %", False, f"SELECT concat_ws(',', src, dst, CAST(round(share * 100) AS BIGINT)) AS line, share, weight, src, dst FROM {hops} WHERE place = 1 AND total >= 4", "share DESC, weight DESC, src, dst"),
+        ("Back-and-forth", "A,B,A→B,B→A", False, "SELECT concat_ws(',', x.src, x.dst, x.weight, y.weight) AS line, least(x.weight, y.weight) AS m, x.src, x.dst FROM ge x JOIN ge y ON x.src = y.dst AND x.dst = y.src AND x.src < x.dst", "m DESC, src, dst"),
+        ("Where your searches went", "Destination,From searches", False, "SELECT dst || ',' || CAST(sum(kind_search_link) AS BIGINT) AS line, sum(kind_search_link) AS w, dst AS key FROM ge WHERE kind_search_link > 0 GROUP BY dst", "w DESC, key"),
+        ("Top edges", "From,To,Weight,Kind", True, f"SELECT concat_ws(',', src, dst, weight, {kind}) AS line, weight, src, dst FROM ge", "weight DESC, src, dst"),
+        ("Origination", "Provenance,Count", True, " UNION ALL ".join(f"SELECT '{label},' || CAST(coalesce(sum(prov_{p}), 0) AS BIGINT) AS line, {k} AS o FROM rn" for k, (p, label) in enumerate(tables_csv.ORIGINS.items())), "o"),
+        ("Rhythm (local time)", "Weekday,Hour,Visits", False, f"""SELECT CASE wd {days} END || ',' || lpad(CAST(hour AS VARCHAR), 2, '0') || ':00,' || count(*) AS line, wd, hour
+          FROM (SELECT (date_diff('day', DATE '1970-01-01', date) + 3 + (hour + 2) // 24) % 7 AS wd, (hour + 2) % 24 AS hour FROM v WHERE NOT provisional) GROUP BY wd, hour""", "wd, hour"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT {k} AS section, CAST(row_number() OVER (ORDER BY {o}) AS INT) AS row, line FROM ({q})" for k, (_, _, _, q, o) in enumerate(parts))
+    heads = " UNION ALL ".join(
+        f"SELECT {k}, unnest([{'' if not k else '-2, '}-1, 0]), unnest([{'' if not k else chr(39) * 2 + ', '}'{t}', '{h}'])" + ("" if always else f" WHERE EXISTS (SELECT 1 FROM docs WHERE section = {k})")
+        for k, (t, h, always, _, _) in enumerate(parts)
+    )
+    return sql("", "g").rstrip() + f",\ndocs AS MATERIALIZED ({rows})\nSELECT section, row, line FROM docs WHERE row <= 10000 UNION ALL {heads}"
+
+
+@query()
+def csv_document(spark, sf):
+    """Every section that SQL can express of the document of all tables, line by line."""
+    tables = tables_csv.sections(_nodes(spark, sf), _tables(spark, sf, "days"), _graph(spark, sf), "week", offset_hours=2, iterative=False)
+    return tables_csv.lines(tables)
+
+
+ORACLE_SQL["csv_document"] = _csv_sql()
+
+
 # --- SQL functions
 
 
