@@ -43,10 +43,13 @@ def day_rows(visits: DataFrame, fg: DataFrame, seq: DataFrame) -> DataFrame:
 
 
 def build(log: DataFrame, provisional: bool = False) -> dict[str, DataFrame]:
-    """All derived tables of a log; with ``provisional`` pages and sessions that are still open count too."""
-    seq = derive.sequenced(log)
-    v = derive.visits(seq)
-    v, fg, s = (v if provisional else v.where("not provisional")), derive.foreground(seq), derive.sessions(seq)
+    """All derived tables of a log; with ``provisional`` pages and sessions that are still open count too.
+
+    The ordered log, visits and foreground credits are written once each, as several tables are made of them.
+    """
+    seq = settled(derive.sequenced(log))
+    v, fg, s = settled(derive.visits(seq)), settled(derive.foreground(seq)), derive.sessions(seq)
+    v = v if provisional else v.where("not provisional")
     return {"nodes": node_days(v, fg), "edges": edge_days(v), "days": day_rows(v, fg, seq), "sessions": (s if provisional else s.where("not open")).drop("open")}
 
 
