@@ -34,7 +34,8 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     rf"|(?P<ip>(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    rf"|(?P<person>\b(?:{'|'.join(TITLES)})\.? (?:[^\W\d_]\S*?[^\W\d_])(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?(?![^\W\d_]))"
+    # A name is taken with what hyphens and apostrophes join to it.
+    rf"|(?P<person>\b(?:{'|'.join(TITLES)})\.? [^\W\d_]+(?:['’-][^\W\d_]+)*(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:['’-][^\W\d_]+)*)?(?![^\W\d_]))"
 )
 #: What every entity but a person has: a superset of PATTERN, so that no text with one is skipped.
 WORTH = re.compile(r"[\d@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|[a-f]{32}|[A-F]{32}")
@@ -73,6 +74,9 @@ class Draw:
         return got.upper() if c.isupper() else got
 
 
+KEY_PREFIX = re.compile(r"AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]")
+
+
 def script_of(name: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "greek" if re.search("[Ͱ-Ͽ]", name) else "latin"
 
@@ -91,7 +95,9 @@ def canonical(kind: str, found: str) -> str:
     if kind == "person":
         title, _, name = found.partition(" ")
         return f"{TITLES[title.rstrip('.')]} {name}"
-    return found.lower() if kind in ("email", "secret") else found
+    if kind == "secret":  # digits of a hash are one number in either case, keys are not
+        return found if KEY_PREFIX.match(found) else found.lower()
+    return found.lower() if kind == "email" else found
 
 
 #: Country calling codes of two digits; those of 1 and 7 have one, all others three. Fixed values of E.164.
@@ -110,7 +116,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         local, _, domain = entity.partition("@")
         head, _, tail = domain.rpartition(".example.") if ".example." in domain else domain.rpartition(".")
         tail = f".example.{tail}" if ".example." in domain else f".{tail}"
-        return "".join(map(d.like, local)) + "@" + "".join(map(d.like, head)) + tail
+        more = "".join(d.like("a") for _ in range(attempt // 8))  # where those of its length are taken, it gets longer
+        return "".join(map(d.like, local)) + more + "@" + "".join(map(d.like, head)) + tail
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "card":
@@ -121,7 +128,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         fixed = 1 + country_digits(entity) if entity.startswith("+") else 0
         return entity[:fixed] + "".join(map(d.like, entity[fixed:]))
     if kind == "secret":
-        prefix = re.match(r"akia|(?:sk|pk|ghp|gho|xox[abp])[-_]", entity)
+        prefix = KEY_PREFIX.match(entity)
         n = prefix.end() if prefix else 0
         hexa = not n
         return entity[:n] + "".join("0123456789abcdef"[d.below(16)] if hexa else d.like(c) for c in entity[n:])
@@ -142,7 +149,7 @@ def rendered(kind: str, found: str, new: str) -> str:
         return "".join(next(chars) if c.isalnum() or c == "+" else c for c in found)
     if kind == "person":
         return found.partition(" ")[0] + " " + new.partition(" ")[2]
-    return new.upper() if kind in ("email", "secret") and found.isupper() else new
+    return new.upper() if kind in ("email", "secret") and found.isupper() else new  # of keys all letters are upper then
 
 
 def find(text: str | None):
