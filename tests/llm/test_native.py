@@ -71,6 +71,22 @@ def test_decontaminate_with_empty_tables(spark, docs, none):
     assert decontaminate.decontaminate(none, spark.createDataFrame(ITEMS, "item_id string, text string")).count() == 0
 
 
+def test_decontaminate_at_piece_borders_and_with_clashing_names(spark):
+    """A window across two pieces of a text counts once; kept columns that bear a result's name keep their values."""
+    gram = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    texts = [(k, "x " * k + gram + " y" * 9, 70 + k) for k in range(30)] + [(3, "x " * 3 + gram + " y" * 9, 70), (99, None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, n_words long")
+    items = spark.createDataFrame([("a", gram), ("b", "kappa y"), ("b", "kappa y")], "item_id string, text string")
+    for limits in ({}, {"block_bytes": 1}):
+        got = decontaminate.decontaminate(docs, items, piece=8, keep=("n_words", "doc_id"), **limits)
+        rows = got.collect()
+        assert len(rows) == 32 and [r for r in rows if r.doc_id == 99][0].n_words == 0
+        for r in (r for r in rows if r.doc_id != 99):
+            assert (r.n_words, r.n_hit, r.n_items, r.kept_doc_id) == (r.doc_id + 19, 11, 2, r.doc_id)
+            assert [(s.start, s.end) for s in r.spans] == [(r.doc_id, r.doc_id + 11)]
+        assert sorted(r.kept_n_words for r in rows if r.doc_id == 3) == [70, 73]
+
+
 def test_ring(docs, rows, none):
     got = sharding.ring_shards(docs, shards=5, vnodes=8, cells=64).collect()
     sizes = Counter(g.shard for g in got)

@@ -1,23 +1,22 @@
 r"""Benchmark decontamination (DataFrame functions only).
 
-Benchmark items become windows of ``n`` normalised words (an item of fewer words is one window). The
-windows are broadcast with the tasks as two constant hash structures: a set of 64-bit window hashes, which
-every window of a document is looked up in, and a table from hash to (window, items), in which a hit is
-verified word for word. A document is scanned within its own row, so no text is shuffled. The constants
-hold at most ``block`` windows; a larger benchmark is scanned in as many blocks as it needs and the hits
-of the blocks are merged, so the size of what is broadcast never follows the benchmark's.
+Benchmark items become windows of ``n`` normalised words (an item of fewer words is one window), written
+once with their hashes. Their measured size says in how many blocks they are broadcast, as hash tables of
+bounded bytes; a benchmark that needs several is met in as many scans. Every run of words of a document
+is looked up by its hash within the scan's own tasks and a hit is verified word for word, so no text is
+shuffled: only hits are grouped by their text's key. Their list meets the documents again by a broadcast
+if its measured size allows it, else by a join.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, attach, cut, table
 
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -61,59 +60,82 @@ def windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
     return hashed.select("len", "gram", h.alias("h"), "items")
 
 
-def _block_hits(docs: DataFrame, block: list, buckets: int) -> Column:
-    """Array of (pos, len, items) of the verified hits of one block of windows."""
-    table_ = [[] for _ in range(buckets)]
-    for r in block:
-        table_[r.h % buckets].append({"gram": r.gram, "items": r["items"]})
-    constant = F.from_json(F.lit(json.dumps(table_)), "array<array<struct<gram:string,items:array<string>>>>")
+def _spots(docs: DataFrame, text: str, lengths: list[int], n: int, piece: int) -> DataFrame:
+    """(__key, __at, __w, i, len, h): each run of ``len`` words of a text by its hash; its words are __w from i on.
+
+    A text is cut into pieces of ``piece`` words and the n - 1 that follow, so no row grows with its document.
+    """
+    rows = docs.select(_text_key(text).alias("__key"), words(F.col(text)).alias("__all"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__all") - 1, F.lit(0)), F.lit(piece))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("__at"), F.slice("__all", s + 1, piece + n - 1).alias("__w")))
+    hashed = with_hashes(rows.select("__key", F.inline(pieces)), lengths)
+
+    def placed(k: int) -> Column:
+        return F.transform(F.slice(f"__h{k}", 1, piece), lambda h, i: F.struct(i.alias("i"), F.lit(k).alias("len"), h.alias("h")))
+
+    return hashed.select("__key", "__at", "__w", F.inline(F.concat(*[placed(k) for k in lengths])))
+
+
+def _text_key(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
-    def verified(n: int) -> Column:
-        """Positions whose hash is in the set, then those whose words are a window in the table."""
-        hashes = ",".join(f"cast('{r.h}' as bigint)" for r in block if r.len == n)
-        found = F.expr(f"filter(transform(__h{n}, (h, i) -> if(h in ({hashes}), named_struct('i', i, 'h', h), null)), x -> x is not null)")
 
-        def look_up(x: Column) -> Column:
-            gram, bucket = F.array_join(F.slice(F.col("__w"), x["i"] + 1, n), " "), F.element_at(constant, (F.pmod(x["h"], F.lit(buckets)) + 1).cast("int"))
-            return F.struct(x["i"].alias("pos"), F.lit(n).alias("len"), F.filter(bucket, lambda e: e["gram"] == gram)["items"].alias("items"))
+def _hits(docs: DataFrame, text: str, grams: DataFrame, n: int, piece: int, block: int, block_bytes: int) -> DataFrame:
+    """(__key, __spots, __ids): where a text has a window (pos, len), and the items that have it; only texts with one."""
+    heavy = F.octet_length("gram") + F.octet_length(F.array_join("items", ",")) + 64
+    count, size, lengths = grams.agg(F.count("*"), F.sum(heavy), F.array_sort(F.collect_set("len"))).first()
+    blocks = max(1, -(-count // block), -(-(size or 0) // block_bytes))
+    found = None
+    for k in range(blocks):
+        part = grams.where(F.pmod("h", F.lit(blocks)) == k).select(F.col("len").alias("__len"), "gram", F.col("h").alias("__h"), "items")
+        spots = _spots(docs, text, lengths or [n], n, piece)
+        same = (spots["h"] == part["__h"]) & (spots["len"] == part["__len"]) & (F.array_join(F.slice("__w", F.col("i") + 1, F.col("len")), " ") == part["gram"])
+        hit = spots.join(F.broadcast(part), same).select("__key", (F.col("__at") + F.col("i")).alias("pos"), "len", "items")
+        found = hit if found is None else found.unionByName(hit)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return found.groupBy("__key").agg(F.collect_set(F.struct("pos", "len")).alias("__spots"), ids.alias("__ids"))
 
-        return F.filter(F.transform(found, look_up), lambda x: F.size(x["items"]) > 0)
 
-    return F.concat(*[verified(n) for n in sorted({r.len for r in block})])
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name = f"kept_{name}"
+    taken.add(name)
+    return name
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block: int = 40_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10,
+    block: int = 400_000, block_bytes: int = 64 << 20, piece: int = 256, keep: tuple[str, ...] = (),
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     spans lists maximal runs (start, end) of hit words, for removal. ``keep`` names further columns of
-    ``docs`` to carry. Null or empty texts have no words and are clean; null items and items without words
-    are ignored; items with equal windows are all named; repeated rows give repeated results; very long
-    texts are scanned whole. Either table may be empty.
+    ``docs`` to carry; one with the name of a result column comes as kept_<name>. Null or empty texts have no
+    words and are clean; null items and items without words are ignored; items with equal windows are all
+    named; repeated rows give repeated results; very long texts are scanned whole, in pieces. Either table may
+    be empty. A broadcast holds ``block`` windows and ``block_bytes`` bytes at most.
     """
-    grams = windows(items, item_id, item_text, n).orderBy("len", "gram")
-    blocks: list[list] = [[]]
-    for r in grams.toLocalIterator():  # the benchmark passes through the driver block by block, and is small
-        if len(blocks[-1]) >= block:
-            blocks.append([])
-        blocks[-1].append(r)
-    base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__keep_{c}") for c in keep], words(F.col(text)).alias("__w"))
-    if not blocks[0]:
-        hit = base.withColumn("__hits", F.expr("cast(array() as array<struct<pos:int,len:int,items:array<array<string>>>>)"))
+    grams = cut(windows(items, item_id, item_text, n))
+    found = cut(_hits(docs, text, grams, n, piece, block, block_bytes))
+    taken = {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"}
+    kept = {c: _free(c, taken) for c in keep}
+    n_words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE)).cast("long")
+    base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__keep_{c}") for c in keep], n_words.alias("n_words"), _text_key(text).alias("__key"))
+    size = found.agg(F.sum(96 + 8 * F.size("__spots") + F.octet_length(F.array_join("__ids", ",")))).first()[0] or 0
+    if size <= block_bytes:
+        right = F.broadcast(found.withColumnRenamed("__key", "__hit_key"))
+        hit = base.join(right, F.col("__key") == F.col("__hit_key"), "left")
     else:
-        lengths = sorted({r.len for b in blocks for r in b})
-        hit = with_hashes(base, lengths)
-        for k, b in enumerate(blocks):
-            hit = hit.withColumn(f"__b{k}", _block_hits(docs, b, max(1024, 2 * len(b))))
-        hit = hit.withColumn("__hits", F.concat(*[f"__b{k}" for k in range(len(blocks))]))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform("__hits", lambda x: x["items"])))))
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
-    out = hit.select("*", ids.alias("__ids"), places.alias("__places"))
+        hit = attach(base, found, ["__key"])
+    none = F.expr("cast(array() as array<int>)")
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("__spots", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
+    out = hit.withColumn("__places", F.coalesce(places, none)).withColumn("__ids", F.coalesce("__ids", F.expr("cast(array() as array<string>)")))
     starts = F.filter(F.transform("__places", lambda p, i: F.when((i == 0) | (F.try_element_at("__places", i) != p - 1), p)), lambda p: p.isNotNull())
     ends = F.filter(F.transform("__places", lambda p, i: F.when((i == F.size("__places") - 1) | (F.try_element_at("__places", i + 2) != p + 1), p + 1)), lambda p: p.isNotNull())
     return out.select(
-        "doc_id", F.size("__w").cast("long").alias("n_words"), F.size("__places").cast("long").alias("n_hit"), F.size("__ids").cast("long").alias("n_items"),
+        "doc_id", "n_words", F.size("__places").cast("long").alias("n_hit"), F.size("__ids").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join("__ids", ","), "UTF-8"), 256).alias("items_sha256"), (F.size("__places") > 0).alias("contaminated"),
-        F.arrays_zip(starts.alias("start"), ends.alias("end")).alias("spans"), *[F.col(f"__keep_{c}").alias(c) for c in keep],
+        F.arrays_zip(starts.alias("start"), ends.alias("end")).alias("spans"), *[F.col(f"__keep_{c}").alias(name) for c, name in kept.items()],
     )
 
 
