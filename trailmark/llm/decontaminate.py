@@ -87,10 +87,11 @@ def _hits(docs: DataFrame, text: str, grams: DataFrame, n: int, piece: int, bloc
     blocks = max(1, -(-count // block), -(-(size or 0) // block_bytes))
     found = None
     for k in range(blocks):
-        part = grams.where(F.pmod("h", F.lit(blocks)) == k).select(F.col("len").alias("__len"), "gram", F.col("h").alias("__h"), "items")
+        part = grams.where(F.pmod("h", F.lit(blocks)) == k).select("gram", F.col("h").alias("__h"), "items")
         spots = _spots(docs, text, lengths or [n], n, piece)
-        same = (spots["h"] == part["__h"]) & (spots["len"] == part["__len"]) & (F.array_join(F.slice("__w", F.col("i") + 1, F.col("len")), " ") == part["gram"])
-        hit = spots.join(F.broadcast(part), same).select("__key", (F.col("__at") + F.col("i")).alias("pos"), "len", "items")
+        # Not an equality, which would become a join key: the words are joined only where the hash is found.
+        verified = F.array_contains(F.array(part["gram"]), F.array_join(F.slice("__w", F.col("i") + 1, F.col("len")), " "))
+        hit = spots.join(F.broadcast(part), (spots["h"] == part["__h"]) & verified).select("__key", (F.col("__at") + F.col("i")).alias("pos"), "len", "items")
         found = hit if found is None else found.unionByName(hit)
     ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
     return found.groupBy("__key").agg(F.collect_set(F.struct("pos", "len")).alias("__spots"), ids.alias("__ids"))
