@@ -281,6 +281,21 @@ def test_louvain_ties_and_modularity():
     assert all(modularity([c if j == i else x for j, x in enumerate(com)]) <= best + 1e-9 for i in range(24) for c in set(com))
 
 
+def test_communities_of_heavy_edges(spark):
+    """Weights of a large log, where a gain's last digit is above any fixed tolerance, give what small ones give."""
+    import random
+
+    r = random.Random(2)
+    edges = [(a, b, float(r.randrange(1, 5))) for a in range(24) for b in range(a + 1, 24) if r.random() < (0.6 if a // 8 == b // 8 else 0.05)]
+    assert graph.louvain_labels(24, [(a, b, 100_003 * w) for a, b, w in edges]) == graph.louvain_labels(24, edges)
+    two = [("a", "b", 10), ("b", "c", 10), ("c", "a", 10), ("x", "y", 10), ("y", "z", 10), ("z", "x", 10), ("c", "x", 1)]
+    g = graph_of(spark, [(a, b, 1_000_003 * n) for a, b, n in two])
+    assert {r.key: r.community for r in graph.communities(g).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+    assert {(r.key, r.score) for r in graph.bridges(g, 9).collect()} == {("c", 6.0), ("x", 6.0)}
+    assert {(r.community, r["size"]) for r in graph.community_table(g).collect()} == {("a", 3), ("x", 3)}
+    assert layout.layout(g, rounds=5).count() == 6
+
+
 def test_store_counts_a_batch_once(spark, tmp_path):
     store = rollup.Store(spark, str(tmp_path / "store"))
     day, other = "2024-01-01", "2024-01-02"

@@ -104,7 +104,8 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 40, every: int = 4)
 def moved_to_rest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Communities of n nodes after single moves until none gains; of equal gains the smallest community is taken.
 
-    a, b and w hold every link both ways, loops once with their weight doubled.
+    a, b and w hold every link both ways, loops once with their weight doubled. Gains are told times the total weight, so
+    those of whole weights are whole numbers, and equal ones are equal however large the weights are.
     """
     order = np.argsort(a, kind="stable")
     a, b, w = a[order], b[order], w[order]
@@ -119,8 +120,8 @@ def moved_to_rest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.nda
             others = near != i
             inside[group[i]] -= strength[i]
             choice, at = np.unique(np.append(group[near[others]], group[i]), return_inverse=True)
-            gain = np.bincount(at[:-1], links[others], len(choice)) - inside[choice] * strength[i] / total
-            group[i] = choice[np.flatnonzero(gain > gain.max() - 1e-12)[0]]
+            gain = np.bincount(at[:-1], links[others], len(choice)) * total - inside[choice] * strength[i]
+            group[i] = choice[np.flatnonzero(gain >= gain.max() - 1e-12 * total)[0]]
             inside[group[i]] += strength[i]
     return group
 
