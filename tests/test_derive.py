@@ -118,3 +118,35 @@ def test_merging_deltas_equals_a_full_build(spark):
     for name in ("nodes", "edges", "days"):
         halves = [full[name].where(F.hash("date") % 2 == k) for k in (0, 1, -1)]
         assert sorted(map(str, rollup.merge(name, *halves).collect())) == sorted(map(str, full[name].select(rollup.merge(name, *halves).columns).collect()))
+
+
+def test_only_what_a_query_asks_for_is_derived(spark):
+    """Searches need the log in order alone, pairs of hosts no sessions and no days."""
+    from trailmark import registry
+    from trailmark.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    key = (spark.sparkContext.applicationId, sf)
+    before = queries._FOLDERS.pop(key, None)
+    try:
+        assert registry.QUERIES["top_searches"](spark, sf).count() > 0
+        assert queries._KEPT[queries._FOLDERS[key]] == {"blocked", "blocks"}
+        registry.QUERIES["reciprocal_pairs"](spark, sf).collect()
+        assert queries._KEPT[queries._FOLDERS[key]] == {"blocked", "blocks", "visits", "fg", "nodes", "edges"}
+    finally:
+        if before is not None:
+            queries._FOLDERS[key] = before
+
+
+def test_the_log_is_read_once_for_its_order(spark):
+    """What crosses blocks comes from the written rows, so the log itself isn't computed again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    log = spark.createDataFrame([tuple(e[n] for n in LOG.names) for e in stream(11) or stream(12)], LOG)
+    n = log.count()
+    assert derive.sequenced(log.mapInArrow(counted, LOG)).count() and read.value == n

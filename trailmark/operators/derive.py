@@ -14,27 +14,45 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_edge, is_ignored, provenance, utc_day, utc_hour
 from ..functions.urls import host
 from ..schema import IDLE_GAP_MS, KINDS, REDIRECT_WINDOW_MS, SESSION_HOST_CAP, TOP_HOSTS
+from ..sources.folders import settled
 
 BLOCK_BITS = 17
 BEFORE = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, 0)
 
 
-def sequenced(log: DataFrame) -> DataFrame:
-    """Known kinds only, with prov, epoch (starts so far), prev_ts, prev_id, next_ts and next_id (of any known kind)."""
-    rows = log.where(F.col("kind").isin(*KINDS)).withColumn("prov", F.when(F.col("kind") == "nav", provenance(F.col("transition")))).withColumn("block", F.shiftright("id", BLOCK_BITS))
-    start = F.when(F.col("kind") == "start", 1).otherwise(0)
+def in_blocks(log: DataFrame) -> DataFrame:
+    """Known kinds only, with prov, host, block (of ids), and starts, prev_ts, prev_id, next_ts and next_id within the block."""
+    rows = log.where(F.col("kind").isin(*KINDS)).withColumn("block", F.shiftright("id", BLOCK_BITS))
+    nav, own = F.col("kind") == "nav", Window.partitionBy("block").orderBy("id")
+    near = [f(c).over(own).alias(f"{n}_{c}") for n, f in (("prev", F.lag), ("next", F.lead)) for c in ("ts", "id")]
+    starts = F.sum(F.when(F.col("kind") == "start", 1).otherwise(0)).over(own.rowsBetween(*SO_FAR))
+    rows = rows.select("*", starts.alias("starts"), *near)
+    return rows.withColumns({"prov": F.when(nav, provenance(F.col("transition"))), "host": F.when(nav, host(F.col("url")))})
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """What a block of ``in_blocks`` takes over from those before and after it: a row for each block."""
     ends = [f("ts", "id").alias(n) for f, n in ((F.max_by, "ts"), (F.min_by, "ts1"))] + [F.max("id").alias("id"), F.min("id").alias("id1")]
-    blocks = rows.groupBy("block").agg(F.sum(start).alias("starts"), *ends)
+    blocks = rows.groupBy("block").agg(F.max("starts").alias("starts"), *ends)
     w = Window.orderBy("block")  # a row for each block of ids
-    blocks = blocks.select("block", F.coalesce(F.sum("starts").over(w.rowsBetween(*BEFORE)), F.lit(0)).alias("epoch0"), F.lag("ts").over(w).alias("ts0"), F.lag("id").over(w).alias("id0"), F.lead("ts1").over(w).alias("ts1"), F.lead("id1").over(w).alias("id1"))
-    own = Window.partitionBy("block").orderBy("id")
-    out = rows.join(blocks, "block")
-    return out.select(
-        *rows.columns, (F.col("epoch0") + F.sum(start).over(own.rowsBetween(*SO_FAR))).alias("epoch"),
-        F.coalesce(F.lag("ts").over(own), "ts0").alias("prev_ts"), F.coalesce(F.lag("id").over(own), "id0").alias("prev_id"),
-        F.coalesce(F.lead("ts").over(own), "ts1").alias("next_ts"), F.coalesce(F.lead("id").over(own), "id1").alias("next_id"),
-    ).drop("block")
+    return blocks.select("block", F.coalesce(F.sum("starts").over(w.rowsBetween(*BEFORE)), F.lit(0)).alias("epoch0"), F.lag("ts").over(w).alias("ts0"), F.lag("id").over(w).alias("id0"), F.lead("ts1").over(w).alias("ts1"), F.lead("id1").over(w).alias("id1"))
+
+
+def across(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The log of ``in_blocks`` with epoch (starts so far), prev_ts, prev_id, next_ts and next_id (of any known kind)."""
+    near = {f"{n}_{c}": F.coalesce(f"{n}_{c}", f"{c}{k}") for n, k in (("prev", 0), ("next", 1)) for c in ("ts", "id")}
+    out = rows.join(F.broadcast(blocks), "block").withColumns({"epoch": F.col("epoch0") + F.col("starts"), **near})
+    return out.drop("block", "starts", *[c for c in blocks.columns if c != "block"])
+
+
+def sequenced(log: DataFrame) -> DataFrame:
+    """Known kinds only, with prov, host, epoch (starts so far), prev_ts, prev_id, next_ts and next_id (of any known kind).
+
+    The log is read once: its blocks are written, and what crosses them is added from a row for each.
+    """
+    rows = settled(in_blocks(log))
+    return across(rows, settled(blocks_of(rows)))
 
 
 def tab_rows(seq: DataFrame) -> DataFrame:
@@ -42,7 +60,7 @@ def tab_rows(seq: DataFrame) -> DataFrame:
     row = lambda tab, step, place: F.struct(F.col(tab).alias("t"), F.lit(step).alias("step"), F.lit(place).alias("place"))
     kind = F.col("kind")
     ends = F.when(kind == "link", F.array(row("src_tab", "source", 0), row("new_tab", "link", 1))).when(kind == "close", F.array(row("tab", "close", 1))).when((kind == "nav") & ~is_ignored(F.col("prov")), F.array(row("tab", "nav", 1)))
-    return seq.where(kind.isin("nav", "close", "link")).select("epoch", "id", "ts", "url", "prov", "redirect", "back", F.inline(ends)).withColumnRenamed("t", "tab")
+    return seq.where(kind.isin("nav", "close", "link")).select("epoch", "id", "ts", "host", "prov", "redirect", "back", F.inline(ends)).withColumnRenamed("t", "tab")
 
 
 def visits(seq: DataFrame) -> DataFrame:
@@ -59,12 +77,12 @@ def visits(seq: DataFrame) -> DataFrame:
         F.last(F.when(bound, F.struct("step", "id")), True).over(forward.rowsBetween(*SO_FAR)).alias("opened"),
         F.last(F.when(bound, F.struct("step", "ts", "id")), True).over(backward.rowsBetween(*BEFORE)).alias("closed"),
     )
-    page = F.last(F.when(F.col("step") == "nav", F.struct("inc", "url", "prov")), True).over(forward.rowsBetween(*BEFORE))
-    pending = rows.withColumn("page", page).where((F.col("step") == "source") & (F.col("page.inc") == F.col("inc"))).select(F.col("id").alias("link_id"), F.col("page.url").alias("pending_url"), F.col("page.prov").alias("pending_prov"))
+    page = F.last(F.when(F.col("step") == "nav", F.struct("inc", "host", "prov")), True).over(forward.rowsBetween(*BEFORE))
+    pending = rows.withColumn("page", page).where((F.col("step") == "source") & (F.col("page.inc") == F.col("inc"))).select(F.col("id").alias("link_id"), F.col("page.host").alias("pending_host"), F.col("page.prov").alias("pending_prov"))
     own = Window.partitionBy("epoch", "tab", "inc").orderBy("id")
     navs = rows.where("step = 'nav'").select(
         "*", F.coalesce(F.col("redirect") & (F.col("ts") - F.lag("ts").over(own) < REDIRECT_WINDOW_MS), F.lit(False)).alias("near"),
-        (~F.coalesce("back", F.lit(False))).alias("fresh"), F.lag("url").over(own).alias("prev_url"), F.lag("prov").over(own).alias("prev_prov"),
+        (~F.coalesce("back", F.lit(False))).alias("fresh"), F.lag("host").over(own).alias("prev_host"), F.lag("prov").over(own).alias("prev_prov"),
         F.lead("ts").over(own).alias("next_ts"), F.lead("id").over(own).alias("next_id"),
     ).withColumn("g", F.sum(F.col("fresh").cast("int")).over(own.rowsBetween(*SO_FAR)))
     unbroken = F.min(F.col("fresh") | F.col("near")).over(Window.partitionBy("epoch", "tab", "inc", "g").orderBy("id").rowsBetween(*SO_FAR))
@@ -72,12 +90,12 @@ def visits(seq: DataFrame) -> DataFrame:
     navs = navs.withColumn("collapsed", F.col("near") & F.coalesce(F.lag("buffered").over(own), F.lit(False)))
     navs = navs.withColumn("burst", F.sum((~F.col("collapsed")).cast("int")).over(own.rowsBetween(*SO_FAR)))
     bursts = navs.groupBy("epoch", "tab", "inc", "burst").agg(
-        F.min_by(F.struct("buffered", "prev_url", "prev_prov", "fresh", "g"), "id").alias("head"),
-        F.max_by(F.struct("id", "ts", "url", "prov", "next_ts", "next_id", "opened", "closed"), "id").alias("last"),
+        F.min_by(F.struct("buffered", "prev_host", "prev_prov", "fresh", "g"), "id").alias("head"),
+        F.max_by(F.struct("id", "ts", "host", "prov", "next_ts", "next_id", "opened", "closed"), "id").alias("last"),
     ).where("head.buffered")
     bursts = bursts.select(
-        "epoch", "last.id", "last.ts", "last.prov", host(F.col("last.url")).alias("host"), F.col("last.next_ts").alias("next_ts"), F.col("last.next_id").alias("next_id"), "last.closed",
-        F.col("head.prev_url").alias("prev_url"), F.col("head.prev_prov").alias("prev_prov"),
+        "epoch", "last.id", "last.ts", "last.prov", "last.host", F.col("last.next_ts").alias("next_ts"), F.col("last.next_id").alias("next_id"), "last.closed",
+        F.col("head.prev_host").alias("prev_host"), F.col("head.prev_prov").alias("prev_prov"),
         F.when((F.col("last.opened.step") == "link") & F.col("head.fresh") & (F.col("head.g") == 1), F.col("last.opened.id")).alias("link_id"),
     ).where("host is not null")
     starts = seq.where("kind = 'start'").select((F.col("epoch") - 1).alias("epoch"), F.col("ts").alias("start_ts"), F.col("id").alias("start_id"))
@@ -85,7 +103,7 @@ def visits(seq: DataFrame) -> DataFrame:
     departed = F.when(F.col("next_id").isNotNull(), F.struct(F.col("next_ts").alias("ts"), F.col("next_id").alias("id"))).when(F.col("closed").isNotNull(), F.struct(F.col("closed.ts").alias("ts"), F.col("closed.id").alias("id"))).when(F.col("start_id").isNotNull(), F.struct(F.col("start_ts").alias("ts"), F.col("start_id").alias("id")))
     dropped = F.col("next_id").isNull() & F.coalesce(F.col("closed.step") == "link", F.lit(False))
     spawned = F.col("pending_prov").isNotNull()
-    src, src_prov = host(F.when(spawned, F.col("pending_url")).otherwise(F.col("prev_url"))), F.when(spawned, F.col("pending_prov")).otherwise(F.col("prev_prov"))
+    src, src_prov = F.when(spawned, F.col("pending_host")).otherwise(F.col("prev_host")), F.when(spawned, F.col("pending_prov")).otherwise(F.col("prev_prov"))
     kind = F.when(is_edge(F.col("prov")) & src.isNotNull() & (src != F.col("host")), F.when(src_prov == "search_origin", "search_link").when(F.col("prov") == "form", "form").otherwise("link"))
     out = all_.where(~dropped).withColumn("gone", departed).select(
         utc_day(F.col("ts")).alias("date"), utc_hour(F.col("ts")).alias("hour"), "host", "prov", "ts", "id",
@@ -124,23 +142,23 @@ def foreground(seq: DataFrame) -> DataFrame:
     focus = seq.where("kind = 'focus'").select("epoch", "id", "ts", F.col("win").alias("w"), F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("long").alias("ms"), "tab", F.lit(0).alias("place"))
     both = spans.select("epoch", "id", "ts", "w", "next_id", "ms", F.lit(None).cast("long").alias("tab"), F.lit(1).alias("place")).unionByName(focus)
     active = carried(both, F.when(F.col("place") == 0, F.struct("tab", "id")), ["epoch", "w"], ["id", "place"], "f")
-    spans = active.where("place = 1 and f is not null").select("epoch", "id", "ts", "next_id", "ms", F.col("f.tab").alias("tab"), F.col("f.id").alias("focus_id"), F.lit(2).alias("place"), F.lit(None).cast("string").alias("step"), F.lit(None).cast("string").alias("url"))
+    spans = active.where("place = 1 and f is not null").select("epoch", "id", "ts", "next_id", "ms", F.col("f.tab").alias("tab"), F.col("f.id").alias("focus_id"), F.lit(2).alias("place"), F.lit(None).cast("string").alias("step"), F.lit(None).cast("string").alias("host"))
     null = lambda kind: F.lit(None).cast(kind)
-    tabs = tab_rows(seq).where("step <> 'source'").select("epoch", "id", "ts", null("long").alias("next_id"), null("long").alias("ms"), "tab", null("long").alias("focus_id"), "place", "step", "url")
+    tabs = tab_rows(seq).where("step <> 'source'").select("epoch", "id", "ts", null("long").alias("next_id"), null("long").alias("ms"), "tab", null("long").alias("focus_id"), "place", "step", "host")
     by_tab = Window.partitionBy("epoch", "tab").orderBy("id", "place").rowsBetween(*SO_FAR)
     at = spans.unionByName(tabs).select(
         "*", F.last(F.when(F.col("step") == "close", F.col("id")), True).over(by_tab).alias("closed"), F.last(F.when(F.col("step").isin("close", "link"), F.col("id")), True).over(by_tab).alias("bound"),
-        F.last(F.when(F.col("step") == "nav", F.struct("id", "url")), True).over(by_tab).alias("page"),
+        F.last(F.when(F.col("step") == "nav", F.struct("id", "host")), True).over(by_tab).alias("page"),
     )
     seen = at.where("place = 2 and page is not null and page.id > coalesce(bound, -1) and focus_id > coalesce(closed, -1)")
-    return seen.select(utc_day(F.col("ts")).alias("date"), host(F.col("page.url")).alias("host"), F.col("ms").alias("fg_ms"), F.col("next_id").alias("trigger_id")).where("host is not null")
+    return seen.select(utc_day(F.col("ts")).alias("date"), F.col("page.host").alias("host"), F.col("ms").alias("fg_ms"), F.col("next_id").alias("trigger_id")).where("host is not null")
 
 
 def sessions(seq: DataFrame) -> DataFrame:
     """Runs of navs of a window with no gap over 30 minutes: id, win, start_ts, end_ts, start_id, end_id, nav_count, top_hosts, open."""
     own = Window.partitionBy("epoch", "win").orderBy("id")
     last_epoch = seq.agg(F.max("epoch").alias("last_epoch"))
-    navs = seq.where("kind = 'nav'").select("epoch", "win", "id", "ts", host(F.col("url")).alias("host"), F.coalesce(F.greatest(F.col("ts") - F.lag("ts").over(own), F.lit(0)) > IDLE_GAP_MS, F.lit(False)).alias("gap"))
+    navs = seq.where("kind = 'nav'").select("epoch", "win", "id", "ts", "host", F.coalesce(F.greatest(F.col("ts") - F.lag("ts").over(own), F.lit(0)) > IDLE_GAP_MS, F.lit(False)).alias("gap"))
     navs = navs.withColumn("run", F.sum(F.col("gap").cast("int")).over(own.rowsBetween(*SO_FAR)))
     hosts = navs.where("host is not null").groupBy("epoch", "win", "run", "host").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     place = F.row_number().over(Window.partitionBy("epoch", "win", "run").orderBy("first"))

@@ -33,28 +33,32 @@ def query(body: str | None = None, *parts: str):
 
 
 _FOLDERS: dict[tuple[str, str], str] = {}
+_KEPT: dict[str, set[str]] = {}
 
 
 def _tables(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A derived table of the driver's log. All are derived once for each application and kept as Parquet.
+    """A derived table of the driver's log. Each is derived once for each application, when a query asks for it, and kept as Parquet.
 
     Range queries read the day rollups, never the log; the folder is on storage that executors share.
     """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FOLDERS:
-        folder = shared_folder(spark)
-        keep = lambda n, df: df.write.parquet(f"{folder}/{n}")
-        read = lambda n: spark.read.parquet(f"{folder}/{n}")
-        keep("seq", derive.sequenced(source.driver_log(spark, sf)))
-        keep("visits", derive.visits(read("seq")))
-        keep("fg", derive.foreground(read("seq")))
-        keep("sessions", derive.sessions(read("seq")))
-        stable = read("visits").where("not provisional")
-        keep("nodes", rollup.node_days(stable, read("fg")))
-        keep("edges", rollup.edge_days(stable))
-        keep("days", rollup.day_rows(stable, read("fg"), read("seq")))
-        _FOLDERS[key] = folder
-    return spark.read.parquet(f"{_FOLDERS[key]}/{name}")
+    folder = _FOLDERS.setdefault((spark.sparkContext.applicationId, sf), shared_folder(spark))
+    kept = _KEPT.setdefault(folder, set())
+
+    def table(n: str) -> DataFrame:
+        if n == "seq":
+            return derive.across(table("blocked"), table("blocks"))
+        if n not in kept:
+            made[n]().write.mode("overwrite").parquet(f"{folder}/{n}")
+            kept.add(n)
+        return spark.read.parquet(f"{folder}/{n}")
+
+    stable = lambda: table("visits").where("not provisional")
+    made = {
+        "blocked": lambda: derive.in_blocks(source.driver_log(spark, sf)), "blocks": lambda: derive.blocks_of(table("blocked")),
+        "visits": lambda: derive.visits(table("seq")), "fg": lambda: derive.foreground(table("seq")), "sessions": lambda: derive.sessions(table("seq")),
+        "nodes": lambda: rollup.node_days(stable(), table("fg")), "edges": lambda: rollup.edge_days(stable()), "days": lambda: rollup.day_rows(stable(), table("fg"), table("seq")),
+    }
+    return table(name)
 
 
 def _nodes(spark, sf) -> DataFrame:
@@ -487,7 +491,7 @@ def layout_2d(spark, sf):
 
 
 def _session_events(spark, sf) -> DataFrame:
-    return sequences.session_events(_tables(spark, sf, "sessions"), source.driver_log(spark, sf))
+    return sequences.session_events(_tables(spark, sf, "sessions"), _tables(spark, sf, "seq"))
 
 
 @query("SELECT session, chain FROM chains", "ch")
