@@ -296,6 +296,25 @@ def test_communities_of_heavy_edges(spark):
     assert layout.layout(g, rounds=5).count() == 6
 
 
+def test_searches_sort_distinct_urls_only(spark):
+    """Equal URLs are one row before their terms are told apart; terms stay those first typed."""
+    from trailmark.plans import queries
+
+    u = ["https://www.google.com/search?q=Big+cat", "https://www.google.com/search?q=big+cat", "https://a.com/"]
+    found = queries.searches(spark.createDataFrame([(k, u[0 if k == 3 else 1 + k % 2]) for k in range(3, 200)], "id long, url string"), 9)
+    assert rows(found) == [("Google", "Big cat", 99)]
+    assert "FileScan parquet" in found._jdf.queryExecution().executedPlan().toString()  # counted and written before
+
+
+def test_windows_of_a_session_have_no_end_at_its_end(spark):
+    """A frame from a row to the end is summed up anew for each row: quadratic in a session."""
+    from trailmark.schema import LOG
+
+    events = spark.createDataFrame([], LOG).selectExpr("*", "0L AS session")
+    for df in (sequences.chains(events), sequences.tab_rows(events), flow.landings(events)):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_store_counts_a_batch_once(spark, tmp_path):
     store = rollup.Store(spark, str(tmp_path / "store"))
     day, other = "2024-01-01", "2024-01-02"

@@ -6,7 +6,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ def landings(events: DataFrame, by_domain: bool = False) -> DataFrame:
     page = F.when(F.col("last").isNotNull(), F.struct(F.col("last.key").alias("key"), F.last(F.when(changes, F.col("prov")), True).over(before).alias("prov")))
     rows = with_opener(rows.withColumn("page", page), F.col("page"), "number")
     origin = F.when(is_edge(F.col("prov")), F.coalesce("opener", "page"))
-    ended = F.first(F.when((nav & ~F.col("moved")) | (F.col("step") == "close"), F.col("id")), True).over(after)
+    ended = F.last(F.when((nav & ~F.col("moved")) | (F.col("step") == "close"), F.col("id")), True).over(after)
     rows = rows.withColumn("origin", F.when(F.col("landing"), origin)).withColumn("ended", F.least(ended, "restart")).where("landing or moved")
     rest = rows.groupBy("session", "tab", "number").agg(F.min_by("origin", "id").alias("origin"), F.max_by(F.struct("key", "prov", "ended"), "id").alias("at"))
     went = is_edge(F.col("at.prov")) & F.col("origin").isNotNull() & (F.col("origin.key") != F.col("at.key"))
@@ -155,12 +155,15 @@ def focused(flow: Flow, up: int, down: int) -> Flow:
 
 
 def _by_session(events: DataFrame, by_domain: bool, rows_of, schema: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        session = int(pdf["session"].iloc[0])
-        flow = session_flow(pdf.astype(object).where(pdf.notna(), None).to_dict("records"))
-        return pd.DataFrame([(session, *r) for r in rows_of(flow)], columns=[c.split()[0] for c in schema.split(", ")])
+    columns = [c.split() for c in schema.split(", ")]
+    kinds = pa.schema([(n, pa.int64() if kind == "bigint" else pa.string()) for n, kind in columns])
 
-    return landings(events, by_domain).groupBy("session").applyInPandas(run, schema)
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        told = [(rows[0]["session"], *r) for r in rows_of(session_flow(rows))]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*told) if told else [()] * len(kinds), kinds)], schema=kinds)
+
+    return landings(events, by_domain).groupBy("session").applyInArrow(run, schema)
 
 
 def flows(events: DataFrame, by_domain: bool = False) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_edge, is_ignored, provenance
 from ..functions.urls import host, registrable
 from ..schema import REDIRECT_WINDOW_MS
+from ..sources.folders import settled
 
 BEFORE = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, 0)
-AFTER = (1, Window.unboundedFollowing)
 
 
 def session_events(sessions: DataFrame, log: DataFrame, bits: int = 10) -> DataFrame:
@@ -32,11 +32,12 @@ def tab_rows(events: DataFrame, by_domain: bool = False) -> DataFrame:
     first) and spawn (of the new tab). key is the host, or its registrable domain. cuts counts the starts
     before the row, restart is the id of the next one.
     """
-    rows = events.withColumn("key", host(F.col("url")))
+    rows = events.withColumn("key", F.col("host") if "host" in events.columns else host(F.col("url")))
     if by_domain:
         rows = registrable(rows, "key").withColumn("key", F.col("registrable")).drop("registrable")
     whole, start = Window.partitionBy("session").orderBy("id"), F.col("kind") == "start"
-    rows = rows.withColumn("prov", provenance(F.col("transition"))).withColumn("cuts", F.count(F.when(start, 1)).over(whole.rowsBetween(*SO_FAR))).withColumn("restart", F.first(F.when(start, F.col("id")), True).over(whole.rowsBetween(*AFTER)))
+    back = Window.partitionBy("session").orderBy(F.desc("id"))
+    rows = rows.withColumn("prov", provenance(F.col("transition"))).withColumn("cuts", F.count(F.when(start, 1)).over(whole.rowsBetween(*SO_FAR))).withColumn("restart", F.last(F.when(start, F.col("id")), True).over(back.rowsBetween(*BEFORE)))
     end = lambda tab, step, place: F.struct(F.col(tab).alias("tab"), F.lit(step).alias("step"), F.lit(place).alias("place"))
     kind = F.col("kind")
     told = F.when(kind == "link", F.array(end("src_tab", "source", 0), end("new_tab", "spawn", 1))).when(kind == "close", F.array(end("tab", "close", 1)))
@@ -46,14 +47,19 @@ def tab_rows(events: DataFrame, by_domain: bool = False) -> DataFrame:
 
 
 def tab_window() -> tuple:
-    """Windows over a tab's rows: those before, those so far, those after."""
-    w = Window.partitionBy("session", "tab").orderBy("id", "place")
-    return w.rowsBetween(*BEFORE), w.rowsBetween(*SO_FAR), w.rowsBetween(*AFTER)
+    """Windows over a tab's rows: those before, those so far, and those after, from the last one on.
+
+    A frame that reaches from a row to the end would be summed up anew for every row, so the time would grow with the
+    square of a session; backwards it is carried.
+    """
+    w, back = Window.partitionBy("session", "tab").orderBy("id", "place"), Window.partitionBy("session", "tab").orderBy(F.desc("id"), F.desc("place"))
+    return w.rowsBetween(*BEFORE), w.rowsBetween(*SO_FAR), back.rowsBetween(*BEFORE)
 
 
 def with_opener(rows: DataFrame, page: Column, taken: str) -> DataFrame:
     """Adds opener: the opening tab's page when this tab was opened, until a row that counts in ``taken`` has used it."""
     before, _, _ = tab_window()
+    rows = settled(rows)  # read twice: its windows aren't made anew for the few rows that open tabs
     sources = rows.where("step = 'source'").select("session", "id", page.alias("opened_by")).where("opened_by is not null")
     rows = rows.join(sources, ["session", "id"], "left").withColumn("opened_by", F.when(F.col("step") == "spawn", F.col("opened_by")))
     last = F.last(F.when(F.col("opened_by").isNotNull(), F.struct("opened_by", F.col(taken).alias("at"))), True).over(before)
