@@ -281,9 +281,14 @@ def top_pages(spark, sf):
 
 
 def searches(urls_: DataFrame, top: int) -> DataFrame:
-    """engine, terms (as first typed), n of a log's search result URLs."""
-    q = urls.with_search(urls_).where("engine is not null")
-    by = q.groupBy("engine", F.lower("terms").alias("folded")).agg(F.count("*").alias("n"), F.min_by("terms", "id").alias("terms"))
+    """engine, terms (as first typed), n of a log's search result URLs.
+
+    Equal URLs are counted first, in a hash table, and written, as the filter would else move below: each is taken apart
+    once, and only they are sorted for their terms.
+    """
+    each = settled(urls_.groupBy("url").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+    q = urls.with_search(each).where("engine is not null")
+    by = q.groupBy("engine", F.lower("terms").alias("folded")).agg(F.sum("n").alias("n"), F.min_by("terms", "id").alias("terms"))
     return by.select("engine", "terms", "n").orderBy(F.desc("n"), "terms", "engine").limit(top)
 
 
