@@ -68,6 +68,35 @@ def test_similar_groups_tell_sets_of_shingles(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 10}
 
 
+def test_unlike_sets_are_not_compared_and_large_groups_not_all_with_all(spark, monkeypatch):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, body = fresh(20), fresh(300)
+    texts = [fresh(60) + line for _ in range(300)]  # unlike, with a line that all have
+    for _ in range(200):  # near copies of one text, each with edits: some of them unlike each other
+        t = list(body)
+        for k in r.sample(range(5, 295), r.choice([1, 4, 7])):
+            t[k] = "edit"
+        texts.append(t)
+    sets = [set(simhash.shingles(" ".join(t).encode(), 5).tolist()) for t in texts]
+    near = {i: [j for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    want, compared, real = closure(range(len(sets)), near), [], simhash.cut
+
+    def counted(df):
+        out = real(df)
+        compared.extend(r.asks for r in out.select("asks").collect()) if "asks" in out.columns else None
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {g.doc_id: g.component_id for g in simhash.similar_groups(df, tile=50, heads=4).collect()}
+    assert got == want
+    assert sum(not a.own for asks in compared for a in asks) < 0.25 * 200 * 199 / 2
+    common = np.array(sorted(random.Random(1).sample(sorted(set().union(*sets)), 200)), np.uint64)
+    firsts = [set(simhash.prefix(np.array(sorted(x), np.uint64), common, np.arange(200)[::-1], 0.8).tolist()) for x in sets]
+    assert all(firsts[i] & firsts[j] for i in near for j in near[i])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     many = [(rng.normal(size=(n, 3)) * 3).astype(np.float32) for n in rng.integers(1, 7, 60)]

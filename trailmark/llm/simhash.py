@@ -15,10 +15,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, table, tidy
+from .common import attach, components, cut, release, table, tidy
+from .langid import slices
+from .substring_dedup import gram_hashes
 
 SEED = 42  # of XXH64, a fixed value of the fingerprint's definition
 
@@ -135,175 +137,220 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
-    """The distinct XXH64 of a text's word shingles."""
+    """The distinct 64-bit hashes of a text's word shingles, sorted; of fewer words the whole sequence is one."""
     from xxhash import xxh64_intdigest as h
 
     parts = (text or b"").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    n = max(1, len(parts) - words + 1)
-    joined, lengths = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(lengths)
-    last = (ends[min(words, len(parts)) - 1 :] - 1)[:n].tolist()
-    return np.unique(np.fromiter([h(joined[a:b], SEED) for a, b in zip((ends - lengths)[:n].tolist(), last)], np.uint64, n))
+    return np.unique(gram_hashes(np.fromiter(map(h, parts), np.uint64, len(parts)), min(words, len(parts))))
 
 
-def wide_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
-    """``lanes`` fingerprints of a set of shingles, each of another mixing of their XXH64; of none zeros."""
-    n = len(hashes)
-    ones = np.zeros(64 * lanes, np.int64)
-    odd = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for k in range(0, n, 1 << 13):
-        x = hashes[k : k + (1 << 13), None] * odd
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > n, bitorder="little").tobytes()
-
+def set_hash(hashes: np.ndarray) -> int:
+    """A set's own hash, as a signed bigint."""
+    from xxhash import xxh64_intdigest as h
 
-def radii(similarity: float, lanes: int) -> tuple[int, int]:
-    """Bits in which shingle sets of that Jaccard similarity differ at most: in the first lane, in all.
+    n = h(hashes.tobytes(), SEED)
+    return n - (1 << 64) if n >> 63 else n
 
-    A bit differs with the probability of the angle between the sets over a half turn; the bounds are 3.5
-    standard deviations above the mean. They only pick candidates.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * lanes
-    return tuple(math.ceil(m * p + 3.5 * math.sqrt(p * (1 - p) * m)) for m in (64, n))
 
+def prefix(hashes: np.ndarray, common: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's hashes in one order for all sets: so many that sets of that Jaccard similarity share one.
 
-def with_partner(own: np.ndarray, others: np.ndarray, first: int, radius: int) -> np.ndarray:
-    """Which rows (own, then others; several lanes each) are near another: own ones near any, others near an own one."""
-    every = np.concatenate([own, others])
-    lane0, found = np.ascontiguousarray(every[:, 0]), np.zeros(len(every), bool)
-    step = max(1, (1 << 18) // max(1, len(every)))
-    for k in range(0, len(own), step):
-        i, j = np.nonzero(np.bitwise_count(lane0[k : k + step][: len(own) - k, None] ^ lane0[None, :]) <= first)
-        i += k
-        i, j = i[i < j], j[i < j]
-        near = np.bitwise_count(every[i] ^ every[j]).sum(axis=1) <= radius
-        found[i[near]] = found[j[near]] = True
-    return found
+    Hashes that aren't in ``common`` (sorted) come first, in their own order, the others by their ``place``.
+    """
+    n = len(hashes)
+    most = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    known = common[at] == hashes if len(common) else np.zeros(n, bool)
+    rare = hashes[~known][:most]
+    if len(rare) == most:
+        return rare
+    often = hashes[known]
+    return np.concatenate([rare, often[np.argsort(place[at[known]])][: most - len(rare)]])
 
 
-def verified_forest(rows: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links: pairs within the radius whose sets have the Jaccard similarity, exactly.
+def met(batches, names: list[str]):
+    """Of rows (h, node, n, pos) in order of h and node those whose h another row has too, with the first one's node, n and pos.
 
-    A pair that the forest already joins is not looked at again, so a group of very many alike costs one look each.
+    A run may span batches: only its first row and the last row seen are held.
     """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    names, codes = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_inverse=True)
-    stops = np.cumsum(size)
-    mark, tree, out = np.zeros(len(names), bool), np.arange(len(sets)), []
-    lane0 = np.ascontiguousarray(rows[:, 0])
-    for i in range(len(sets)):
-        j = np.flatnonzero((np.bitwise_count(lane0[i + 1 :] ^ lane0[i]) <= first) & (tree[i + 1 :] != tree[i])) + i + 1
-        j = j[np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1) <= radius]
-        if not len(j):
+    held: list[np.ndarray] = []  # the last row and, beside it, its run's first
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        mark[codes[stops[i] - size[i] : stops[i]]] = True
-        for k in range(0, len(j), 1024):
-            part = j[k : k + 1024]
-            part = part[tree[part] != tree[i]]
-            both = np.fromiter((mark[codes[stops[x] - size[x] : stops[x]]].sum() for x in part.tolist()), np.int64, len(part))
-            alike = part[both + 1e-9 >= similarity * (size[i] + size[part] - both)]
-            if len(alike):
-                trees, at = np.unique(tree[alike], return_index=True)
-                out += [(i, int(x)) for x in alike[at]]
-                tree[np.isin(tree, trees)] = tree[i]
-        mark[codes[stops[i] - size[i] : stops[i]]] = False
-    return out
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, tile: int = 32_768, per_tile: int = 1 << 24, broadcast_rows: int = 100_000, row: str | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, component_id, by similarity of word shingle sets.
+        cols = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        if held:
+            cols = [np.concatenate([x, c]) for x, c in zip(held, cols)]
+        starts = np.concatenate([[True], cols[0][1:] != cols[0][:-1]])
+        run = np.cumsum(starts) - 1
+        heads = [c[starts] for c in cols[1:]]
+        if held:
+            for c, first in zip(heads, held[4:]):
+                c[0] = first[0]
+        heads = [c[run] for c in heads]
+        # All but the last row: it is told when the next is seen.
+        out = np.flatnonzero(~starts[1:] | (heads[0][:-1] != cols[1][:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (*cols, *heads)], names=names)
+        held = [c[-1:] for c in (*cols, *heads)]
+    if held and held[4][0] != held[1][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+
+def linked(batches, similarity: float):
+    """Links (u, v) of rows (u, part, own, node, set) in order, u's own set first: those of the Jaccard similarity."""
+    head, sets = None, np.empty(0, np.uint64)
+    for batch in batches:
+        u, own, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+        lists = batch.column(4)
+        stops, values, found = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64), []
+        for k in range(len(u)):
+            one = values[stops[k] : stops[k + 1]]
+            if own[k]:
+                head, sets = u[k], one
+            elif head == u[k]:
+                at = np.minimum(np.searchsorted(sets, one), len(sets) - 1)
+                both = int((sets[at] == one).sum())
+                if both + 1e-9 >= similarity * (len(sets) + len(one) - both):
+                    found.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(u[found]), pa.array(node[found])], names=["u", "v"])
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, sample: int = 20_000, most_common: int = 500_000, tile: int = 2_000, rounds: int = 2, heads: int = 8, broadcast_rows: int = 200_000, row: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, component_id, by the exact Jaccard similarity of word shingle sets.
 
     A unique column of ``docs`` named by ``row`` is carried along; kept is then true for one row of each group, of
     those with the smallest id that with the smallest ``row``.
 
-    Like ``near_groups``, with fingerprints of ``lanes`` x 64 bits of the distinct shingles. Tiles, of at most about
-    ``tile`` fingerprints and ``per_tile`` shingles, are bands of the first lane's population count; tile pairs
-    further apart than the radius are skipped, all others compared. Bits only pick candidates: the sets of
-    fingerprints with a near one meet in a second step, where a link stands if their exact Jaccard similarity is
-    ``similarity`` or more.
+    Sets of the similarity share one of their first shingles (a fifth of them at 0.8) in any order that all sets
+    have in common. So rows of first shingles meet by shingle, and no set is compared with all others. The order
+    puts those last that stand in several of a sample of about ``sample`` rows: it decides what meets, and never the result. Each set is
+    first compared with one other, the one it meets most often among the first of each shingle, and in shingles of many
+    rows with ``heads`` more in each of ``rounds``; then all pairs that share a shingle and aren't in one component yet, as lengths and places allow the similarity. A set, or a
+    shingle, of more than ``tile`` pairs or rows is several groups' work.
 
-    Texts without words have one fingerprint and are one group. Repeated rows give repeated results; rows with a
-    null id are grouped with equal fingerprints only. An empty table gives an empty result; other columns are
+    Equal sets, as of texts without words, are one group. Repeated rows give repeated results; rows with a
+    null id are grouped with equal sets only. An empty table gives an empty result; other columns are
     ignored and very long texts read whole.
     """
+    spark = docs.sparkSession
     kind, row_kind = docs.schema[id_col].dataType.simpleString(), docs.schema[row].dataType.simpleString() if row else "int"
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text"), (F.col(row) if row else F.lit(0)).alias("row"))
-    first, radius = radii(similarity, lanes)
+
+    def every_shingle(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    one_in = max(1, docs.count() // sample)
+    some = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("doc_id", "text").mapInArrow(tidy(every_shingle), "h bigint")
+    often = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most_common).toArrow()
+    common = often.column("h").to_numpy().view(np.uint64)
+    rank = np.lexsort((common, often.column("n").to_numpy()))
+    place = np.empty(len(common), np.int64)
+    place[rank] = np.arange(len(common))
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[order], place[order]))
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([wide_fingerprint(x, lanes) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "row", "fp", "n"])
-
-    rows = cut(base.mapInArrow(tidy(run), f"doc_id {kind}, row {row_kind}, fp binary, n bigint"))
-    low = F.conv(F.hex(F.reverse(F.substring("fp", 1, 8))), 16, -10).cast("long")
-    fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.max("n").alias("n"))
-    band = max(1, first // 2)
-    fps = cut(fps.withColumn("node", F.monotonically_increasing_id()).withColumn("band", F.floor(F.bit_count(low) / band)))
-    # At most 65 bands, each of as many tiles as its fingerprints and their shingles fill.
-    ided = fps.where("least.doc_id is not null")
-    sizes = ided.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / per_tile)).alias("tiles"))
-    tiled = attach(ided.select("node", "fp", "band"), sizes, ["band"], "inner").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
-    tiles = sizes.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    left, right = tiles.select(F.col("band").alias("b1"), F.col("tile").alias("t1")), tiles.select(F.col("band").alias("b2"), F.col("tile").alias("t2"))
-    pairs = left.withColumn("b2", F.explode(F.sequence(F.col("b1"), F.col("b1") + F.floor(F.lit((first + band - 1) / band))))).join(right, "b2").where("b1 < b2 or t1 <= t2")
-    packed = cut(tiled.groupBy("band", "tile").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps")))
-    one = pairs.withColumnsRenamed({"b1": "band", "t1": "tile"}).join(packed, ["band", "tile"]).select(F.struct(F.col("band").alias("b1"), F.col("tile").alias("t1"), "b2", "t2").alias("pair"), F.lit(True).alias("own"), "nodes", "fps")
-    two = pairs.where("b1 < b2 or t1 < t2").withColumnsRenamed({"b2": "band", "t2": "tile"}).join(packed, ["band", "tile"]).select(F.struct("b1", "t1", F.col("band").alias("b2"), F.col("tile").alias("t2")).alias("pair"), F.lit(False).alias("own"), "nodes", "fps")
-    pair_type = "struct<b1:bigint,t1:bigint,b2:bigint,t2:bigint>"
-
-    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        parts = {True: [np.empty((0, lanes), np.uint64)], False: [np.empty((0, lanes), np.uint64)]}
-        nodes: dict[bool, list] = {True: [], False: []}
-        for mine, node, fp in zip(group.column("own").to_pylist(), group.column("nodes"), group.column("fps")):
-            nodes[mine].append(node.values.to_numpy(zero_copy_only=False))
-            parts[mine].append(np.frombuffer(b"".join(fp.as_py()), np.uint64).reshape(-1, lanes))
-        found = np.concatenate([*nodes[True], *nodes[False]])[with_partner(np.concatenate(parts[True]), np.concatenate(parts[False]), first, radius)]
-        pair = key[0].as_py()
-        return pa.table([pa.array(np.full(len(found), pair[x], np.int64)) for x in ("b1", "t1", "b2", "t2")] + [pa.array(found)], names=["b1", "t1", "b2", "t2", "node"])
-
-    near = cut(one.unionByName(two).groupBy("pair").applyInArrow(compare, "b1 bigint, t1 bigint, b2 bigint, t2 bigint, node bigint"))
-    by_node = near.groupBy("node").agg(F.collect_list(F.struct("b1", "t1", "b2", "t2")).alias("pairs"))  # of one node as many as its tile has partners
-    wanted = cut(attach(ided.select("node", "fp", "least"), by_node, ["node"], "inner"))
-    asked = wanted.select(F.col("least.doc_id").alias("__least"), "node", "fp", "pairs")
-    if wanted.count() <= broadcast_rows:
-        asked = F.broadcast(asked)
+            for part in slices(batch, 1):
+                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                firsts = [prefix(x, *shared.value, similarity).view(np.int64) for x in sets]
+                arrays = [pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], names=["doc_id", "row", "node", "n", "firsts"])
+
+    told = cut(base.mapInArrow(tidy(run), f"doc_id {kind}, row {row_kind}, node bigint, n int, firsts array<bigint>"))
+    rows = told.select("doc_id", "row", "node")
+    sets = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
+    places = told.where("doc_id is not null").select("node", "n", F.posexplode("firsts").alias("pos", "h")).select("h", "node", "n", "pos")
+    names = ["h", "node", "n", "pos", "head", "head_n", "head_pos"]
+    meeting = cut(places.repartition("h").sortWithinPartitions("h", "node").mapInArrow(lambda b: met(b, names), ", ".join(f"{x} bigint" for x in names)))
+    release(spark)
 
     def read(batches):
         for batch in batches:
-            ids, pair_rows, fp_rows, set_rows = [], [], [], []
-            for t, node, fp, where in zip(*(c.to_pylist() for c in batch.columns)):
+            held, size = [], 0
+            for t, node, asks in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(t, words)
-                if wide_fingerprint(own, lanes) == fp:  # rows with one id can have different texts
-                    for p in where:
-                        ids.append(node)
-                        pair_rows.append(p)
-                        fp_rows.append(fp)
-                        set_rows.append(own.view(np.int64))
-                if sum(map(len, set_rows)) > 1 << 20 or len(ids) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(pair_rows, pair_arrow), pa.array(ids, pa.int64()), pa.array(fp_rows, pa.binary()), pa.array(set_rows, pa.list_(pa.int64()))], names=["pair", "node", "fp", "set"])
-                    ids, pair_rows, fp_rows, set_rows = [], [], [], []
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(pair_rows, pair_arrow), pa.array(ids, pa.int64()), pa.array(fp_rows, pa.binary()), pa.array(set_rows, pa.list_(pa.int64()))], names=["pair", "node", "fp", "set"])
-
-    pair_arrow = pa.struct([(x, pa.int64()) for x in ("b1", "t1", "b2", "t2")])
-    held = base.join(asked, F.col("doc_id") == F.col("__least")).select("text", "node", "fp", "pairs").mapInArrow(tidy(read), f"pair {pair_type}, node bigint, fp binary, set array<bigint>")
-
-    def verify(group: pa.Table) -> pa.Table:
-        nodes, at = np.unique(group.column("node").to_numpy(), return_index=True)
-        fp, sets = group.column("fp"), group.column("set")
-        lanes_of = np.frombuffer(b"".join(fp[k].as_py() for k in at.tolist()), np.uint64).reshape(-1, lanes)
-        found = np.array(verified_forest(lanes_of, [sets[k].values.to_numpy(zero_copy_only=False) for k in at.tolist()], first, radius, similarity), np.int64).reshape(-1, 2)
-        return pa.table({"u": nodes[found[:, 0]], "v": nodes[found[:, 1]]})
-
-    groups = components(held.groupBy("pair").applyInArrow(verify, "u bigint, v bigint")).withColumnsRenamed({"component": "group"})
-    member = attach(fps.select("node", "fp", "least"), groups, ["node"]).withColumn("group", F.coalesce("group", "node"))
-    least = member.groupBy("group").agg(F.min("least").alias("first"))
-    named = attach(member.select("fp", "group"), least, ["group"], "inner").select("fp", "first")
-    told = attach(rows.select("doc_id", "row", "fp"), named, ["fp"], "inner")
-    return told.select("doc_id", F.col("first.doc_id").alias("component_id"), *["row", (F.col("row") == F.col("first.row")).alias("kept")] * bool(row))
+                if set_hash(own) == node:  # rows with one id can have different texts
+                    for x in asks:
+                        held.append((x["u"], x["part"], x["own"], node, own.view(np.int64)))
+                        size += len(own)
+                        if size > 1 << 20:
+                            yield packed_sets(held)
+                            held, size = [], 0
+            if held:
+                yield packed_sets(held)
+
+    def packed_sets(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held), kinds)], names=["u", "part", "own", "node", "set"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (u, v) of nodes: v's set is sent to u's, which is sent to every ``tile`` of its pairs."""
+        sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts"))
+        theirs = attach(pairs, sizes, ["u"], "inner").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), "parts").alias("part"), F.lit(False).alias("own"))
+        own = sizes.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
+        asks = theirs.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("u", "part", "own")).alias("asks"))  # of one set's pairs
+        asks = cut(attach(sets, asks, ["node"], "inner").select(F.col("least.doc_id").alias("__least"), "node", "asks"))
+        if asks.count() <= broadcast_rows:
+            asks = F.broadcast(asks)
+        sent = base.join(asks, F.col("doc_id") == F.col("__least")).select("text", "node", "asks").mapInArrow(tidy(read), "u bigint, part bigint, own boolean, node bigint, set array<bigint>")
+        sent = sent.repartition("u", "part").sortWithinPartitions("u", "part", F.desc("own"))
+        return cut(sent.mapInArrow(lambda b: linked(b, similarity), "u bigint, v bigint"))
+
+    def fits(n: str, pos: str, n2: str, pos2: str) -> Column:
+        """Whether the sizes allow the similarity, and the places of the first shingle that two sets share: no more than it and those after it are in both."""
+        n, pos, n2, pos2 = map(F.col, (n, pos, n2, pos2))
+        sizes = F.least(n, n2) + 1e-9 >= similarity * F.greatest(n, n2)
+        return sizes & (F.least(n - pos, n2 - pos2) + 1e-9 >= similarity / (1 + similarity) * (n + n2))
+
+    # Of the sets that are the first of one of its shingles, each set's own is the one that it meets most often.
+    best = meeting.where(F.col("node") != F.col("head")).where(fits("n", "pos", "head_n", "head_pos")).groupBy("node", "head").agg(F.count("*").alias("c"))
+    tried = cut(best.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("u")).select("u", F.col("node").alias("v")))
+    links = verified(tried)
+    groups = components(links)
+
+    def still_open() -> DataFrame:
+        """The rows of shingles that stand in several components, with the number of their rows."""
+        told = attach(meeting.select("h", "node", "n", "pos"), groups, ["node"]).withColumn("group", F.coalesce("component", "node")).drop("component")
+        several = told.groupBy("h").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("rows")).where("g1 < g2").select("h", "rows")
+        return cut(attach(told, several, ["h"], "inner"))
+
+    def crossing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        right = right.select(*on, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("group").alias("group2"))
+        both = left.join(right, on).where((F.col("group") != F.col("group2")) & fits("n", "pos", "n2", "pos2"))
+        return both.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
+
+    # A large group of near copies is joined through a few heads of each shingle, others in each round, before all its pairs are.
+    open_ = still_open()
+    for k in range(rounds):
+        if (open_.agg(F.max("rows")).first()[0] or 0) <= heads**2:
+            break
+        top = open_.withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(k)), "node"))).where(F.col("at") <= heads)
+        met_often = crossing(open_.where(F.col("rows") > heads**2), top, ["h"]).groupBy("u", "v").agg(F.count("*").alias("c")).join(tried, ["u", "v"], "left_anti")
+        both = met_often.select("u", "v", "c", F.explode(F.array("u", "v")).alias("of"))
+        few = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("c"), F.xxhash64("u", "v", F.lit(k)))) <= heads
+        asked = cut(both.withColumn("few", few).where("few").select("u", "v").distinct())
+        found = verified(asked)
+        tried, links = tried.unionByName(asked), links.unionByName(found)
+        if found.isEmpty():
+            break
+        groups = components(links)
+        open_ = still_open()
+    release(spark)
+    shares = F.ceil(F.col("rows") / tile).cast("long")
+    left = open_.withColumn("part", F.pmod(F.xxhash64("node"), shares))
+    right = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    pairs = cut(crossing(left, right, ["h", "part"]).distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    if not pairs.isEmpty():
+        more = verified(pairs)
+        if not more.isEmpty():
+            groups = components(links.unionByName(more))
+    member = attach(sets, groups, ["node"]).withColumn("group", F.coalesce("component", "node"))
+    first = member.groupBy("group").agg(F.min("least").alias("first"))
+    named = attach(member.select("node", "group"), first, ["group"], "inner").select("node", "first")
+    out = attach(rows, named, ["node"], "inner")
+    return out.select("doc_id", F.col("first.doc_id").alias("component_id"), *["row", (F.col("row") == F.col("first.row")).alias("kept")] * bool(row))
