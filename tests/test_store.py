@@ -73,6 +73,16 @@ def streamed(spark, store, folder, parts):
         assert query.exception() is None
 
 
+def test_a_log_is_folded_block_by_block(spark, tmp_path, monkeypatch):
+    events, sizes, real = long_log(700, 6), [], rollup.Store.upsert
+    monkeypatch.setattr(rollup.Store, "upsert", lambda self, deltas, batch=None: (sizes.append(batch), real(self, deltas, batch))[1])
+    monkeypatch.setattr(fold, "STEP", 7)
+    store, log = rollup.Store(spark, str(tmp_path / "store")), log_of(spark, events)
+    fold.into_by_blocks(store, log.repartition(3), str(tmp_path / "in"), rows=-(-(len(events) + 1) // 3))
+    assert sizes == [0, 1, 2]
+    same({n: df.drop("open") for n, df in fold.live(store).items()}, rollup.build(log, provisional=True))
+
+
 def test_a_stream_killed_between_tables_counts_once(spark, tmp_path, monkeypatch):
     events = long_log(500, 6)
     cuts = [0, len(events) // 3, 2 * len(events) // 3, len(events)]

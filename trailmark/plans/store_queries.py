@@ -127,10 +127,7 @@ ORACLE_SQL["sessions_after_range_deletion"] = over(IN_RANGE, "SELECT id, win, st
 def live_nodes(spark, sf):
     """Day rollups as a stream has left them in the store, with the pages that its state holds open."""
     store = rollup.Store(spark, shared_folder(spark))
-    static = source.table(spark, sf, "events")
-    stream = spark.readStream.schema(static.schema).parquet(f"{sf}/event[s].parquet")  # a pattern, as it is one file or a folder
-    running = fold.into(store, source.driver_log(spark, sf, stream))
-    running.awaitTermination()
+    fold.into_by_blocks(store, source.driver_log(spark, sf), f"{shared_folder(spark)}/stream")
     return _dated(fold.live(store)["nodes"])
 
 
