@@ -97,6 +97,43 @@ def test_unlike_sets_are_not_compared_and_large_groups_not_all_with_all(spark, m
     assert all(firsts[i] & firsts[j] for i in near for j in near[i])
 
 
+def test_unlike_variants_of_one_text_are_told_without_their_texts(spark, monkeypatch):
+    """Edits of a text that isn't there: all have its shingles among their first, hardly two are alike."""
+    r = random.Random(13)
+    body, texts = [f"w{r.randrange(10**9)}" for _ in range(300)], []
+    for i in range(120):
+        t = list(body)
+        for k in r.sample(range(5, 295, 6), 6):
+            t[k] = f"e{i}_{k}"
+        texts.append(t)
+    texts += [[*t[:290], *texts[0][290:], "end"] for t in texts[:3]]
+    sets = [set(simhash.shingles(" ".join(t).encode(), 5).tolist()) for t in texts]
+    near = {i: [j for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    asked, real = [], simhash.cut
+
+    def counted(df):
+        out = real(df)
+        asked.extend(a for r in out.select("asks").collect() for a in r.asks) if "asks" in out.columns else None
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    for heads in (2, 20):  # as shingles of many rows and of few
+        asked.clear()
+        assert {g.doc_id: g.component_id for g in simhash.similar_groups(df, tile=30, heads=heads).collect()} == closure(range(len(sets)), near)
+        assert sum(not a.own for a in asked) < 300
+
+
+def test_odd_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 5000):
+        both = rng.integers(0, 2**63, n).astype(np.uint64)
+        a, b = (np.union1d(both, rng.integers(0, 2**63, int(n * x)).astype(np.uint64)) for x in (0.1, 0.4))
+        differ = simhash.odd_bits(a) ^ simhash.odd_bits(b)
+        half = differ[:16] ^ differ[16:]
+        assert len(differ) == 32 and int(np.bitwise_count(half.view(np.uint64)).sum()) <= int(np.bitwise_count(differ.view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     many = [(rng.normal(size=(n, 3)) * 3).astype(np.float32) for n in rng.integers(1, 7, 60)]

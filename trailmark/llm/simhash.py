@@ -197,6 +197,26 @@ def met(batches, names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
 
 
+def odd_bits(hashes: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """A set's hashes by their last bits: of each value whether an odd number of hashes has it, 64 values in a bigint.
+
+    Two sets' results differ in no more places than there are hashes in one of the sets only. The exclusive-or of
+    the two halves is the result for half as many bits.
+    """
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
+
+
+def maybe_alike(batches, similarity: float):
+    """Of rows (u, v, n, n2, odd, odd2) those pairs whose sizes and odd bits allow the similarity: what only one of them has is bounded."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, n2 = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
+        odd, odd2 = (batch.column(k).flatten().to_numpy().view(np.uint64).reshape(len(n), -1) for k in (4, 5))
+        keep = np.flatnonzero(np.bitwise_count(odd ^ odd2).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n + n2) + 1e-6)
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["u", "v"])
+
+
 def linked(batches, similarity: float):
     """Links (u, v) of rows (u, part, own, node, set) in order, u's own set first: those of the Jaccard similarity."""
     head, sets = None, np.empty(0, np.uint64)
@@ -226,7 +246,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     have in common. So rows of first shingles meet by shingle, and no set is compared with all others. The order
     puts those last that stand in several of a sample of about ``sample`` rows: it decides what meets, and never the result. Each set is
     first compared with one other, the one it meets most often among the first of each shingle, and in shingles of many
-    rows with ``heads`` more in each of ``rounds``; then all pairs that share a shingle and aren't in one component yet, as lengths and places allow the similarity. A set, or a
+    rows with ``heads`` more in each of ``rounds``; then all pairs that share a shingle and aren't in one component yet, as lengths and places allow the similarity. Such
+    a pair is made once for shingles that both sets have in a row, and its texts are read only if the sets' odd bits allow the similarity. A set, or a
     shingle, of more than ``tile`` pairs or rows is several groups' work.
 
     Equal sets, as of texts without words, are one group. Repeated rows give repeated results; rows with a
@@ -258,10 +279,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for part in slices(batch, 1):
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 firsts = [prefix(x, *shared.value, similarity).view(np.int64) for x in sets]
-                arrays = [pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], names=["doc_id", "row", "node", "n", "firsts"])
+                arrays = [pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array([odd_bits(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], names=["doc_id", "row", "node", "n", "firsts", "odd"])
 
-    told = cut(base.mapInArrow(tidy(run), f"doc_id {kind}, row {row_kind}, node bigint, n int, firsts array<bigint>"))
+    told = cut(base.mapInArrow(tidy(run), f"doc_id {kind}, row {row_kind}, node bigint, n int, firsts array<bigint>, odd array<bigint>"))
     rows = told.select("doc_id", "row", "node")
     sets = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
     places = told.where("doc_id is not null").select("node", "n", F.posexplode("firsts").alias("pos", "h")).select("h", "node", "n", "pos")
@@ -288,8 +309,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held), kinds)], names=["u", "part", "own", "node", "set"])
 
+    def bits_of(nodes: DataFrame) -> DataFrame:
+        """(node, n, odd) of the nodes, repeats included."""
+        return attach(told.select("node", "n", "odd"), cut(nodes.distinct()), ["node"], "inner").groupBy("node").agg(F.max("n").alias("n"), F.max("odd").alias("odd"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (u, v) of nodes: v's set is sent to u's, which is sent to every ``tile`` of its pairs."""
+        """The links among pairs (u, v) of nodes: v's set is sent to u's, which is sent to every ``tile`` of its pairs.
+
+        Only pairs whose odd bits allow the similarity have their texts read.
+        """
+        bits = bits_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
+        both = attach(attach(pairs, bits.withColumnRenamed("node", "u"), ["u"], "inner"), bits.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("odd").alias("odd2")), ["v"], "inner")
+        pairs = cut(both.select("u", "v", "n", "n2", "odd", "odd2").mapInArrow(lambda b: maybe_alike(b, similarity), "u bigint, v bigint"))
         sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts"))
         theirs = attach(pairs, sizes, ["u"], "inner").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), "parts").alias("part"), F.lit(False).alias("own"))
         own = sizes.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
@@ -313,42 +344,72 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = verified(tried)
     groups = components(links)
 
+    def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+        """``groups`` (node, component) with the components joined that ``links`` (u, v) link: each pair of them is one edge."""
+        both = links
+        for end in ("u", "v"):
+            of = groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            both = attach(both, of, [end]).withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+        roots = components(both).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        old = attach(groups, roots, ["component"]).select("node", F.coalesce("root", "component").alias("component"))
+        alone = roots.join(groups.select(F.col("component")).distinct(), "component", "left_anti")
+        return cut(old.unionByName(alone.select(F.col("component").alias("node"), F.col("root").alias("component"))))
+
     def still_open() -> DataFrame:
-        """The rows of shingles that stand in several components, with the number of their rows."""
+        """The rows of shingles that stand in several components, with the number of their rows; of two rows, where the sizes allow the similarity."""
         told = attach(meeting.select("h", "node", "n", "pos"), groups, ["node"]).withColumn("group", F.coalesce("component", "node")).drop("component")
-        several = told.groupBy("h").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("rows")).where("g1 < g2").select("h", "rows")
+        several = told.groupBy("h").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("rows"), F.min("n").alias("n1"), F.max("n").alias("n2"))
+        several = several.where((F.col("g1") < F.col("g2")) & ((F.col("rows") > 2) | (F.col("n1") + 1e-9 >= similarity * F.col("n2")))).select("h", "rows")
         return cut(attach(told, several, ["h"], "inner"))
 
-    def crossing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        right = right.select(*on, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("group").alias("group2"))
-        both = left.join(right, on).where((F.col("group") != F.col("group2")) & fits("n", "pos", "n2", "pos2"))
+    def crossing(left: DataFrame, right: DataFrame, on: list[str], more: Column = F.lit(True)) -> DataFrame:
+        right = right.select(*on, *[F.col(c).alias(f"{c}2") for c in right.columns if c not in on])
+        both = left.join(right, on).where((F.col("group") != F.col("group2")) & fits("n", "pos", "n2", "pos2") & more)
         return both.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
 
+    halves = [f"odd{i}_" for i in range(16)]
+    differ = " + ".join(f"bit_count({x} ^ {x}2)" for x in halves)
+    like_bits = F.expr(differ) <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-6
+
+    def large(open_: DataFrame) -> DataFrame:
+        """The rows of shingles of many rows, with half their sets' odd bits: most of the pairs of these are told there."""
+        many = open_.where(F.col("rows") > heads**2)
+        bits = bits_of(many.select("node")).select("node", *[F.expr(f"odd[{i}] ^ odd[{i + 16}]").alias(x) for i, x in enumerate(halves)])
+        return attach(many, bits, ["node"], "inner")
+
     # A large group of near copies is joined through a few heads of each shingle, others in each round, before all its pairs are.
     open_ = still_open()
     for k in range(rounds):
         if (open_.agg(F.max("rows")).first()[0] or 0) <= heads**2:
             break
-        top = open_.withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(k)), "node"))).where(F.col("at") <= heads)
-        met_often = crossing(open_.where(F.col("rows") > heads**2), top, ["h"]).groupBy("u", "v").agg(F.count("*").alias("c")).join(tried, ["u", "v"], "left_anti")
+        many = large(open_)
+        top = many.withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(k)), "node"))).where(F.col("at") <= heads)
+        met_often = crossing(many, top, ["h"], like_bits).groupBy("u", "v").agg(F.count("*").alias("c")).join(tried, ["u", "v"], "left_anti")
         both = met_often.select("u", "v", "c", F.explode(F.array("u", "v")).alias("of"))
         few = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("c"), F.xxhash64("u", "v", F.lit(k)))) <= heads
         asked = cut(both.withColumn("few", few).where("few").select("u", "v").distinct())
         found = verified(asked)
-        tried, links = tried.unionByName(asked), links.unionByName(found)
+        tried = tried.unionByName(asked)
         if found.isEmpty():
             break
-        groups = components(links)
+        groups = merged(groups, found)
         open_ = still_open()
     release(spark)
     shares = F.ceil(F.col("rows") / tile).cast("long")
-    left = open_.withColumn("part", F.pmod(F.xxhash64("node"), shares))
-    right = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
-    pairs = cut(crossing(left, right, ["h", "part"]).distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    # Sets that have one of each other's shingles before this one too meet there: places before are smaller, so they fit if these do.
+    before = [F.lag("h", k).over(Window.partitionBy("node").orderBy("pos")).alias(f"b{k}") for k in (1, 2, 3)]
+    open_ = open_.select("*", *before)
+    first = F.expr("node < node2 AND NOT (" + " OR ".join(f"coalesce({b} IN (b12, b22, b32), false)" for b in ("b1", "b2", "b3")) + ")")
+    many = large(open_)
+    left = many.withColumn("part", F.pmod(F.xxhash64("node"), shares))
+    right = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    few = open_.where(F.col("rows") <= heads**2)
+    made = crossing(few, few, ["h"], first).unionByName(crossing(left, right, ["h", "part"], first & like_bits))
+    pairs = cut(made.distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
     if not pairs.isEmpty():
         more = verified(pairs)
         if not more.isEmpty():
-            groups = components(links.unionByName(more))
+            groups = merged(groups, more)
     member = attach(sets, groups, ["node"]).withColumn("group", F.coalesce("component", "node"))
     first = member.groupBy("group").agg(F.min("least").alias("first"))
     named = attach(member.select("node", "group"), first, ["group"], "inner").select("node", "first")
