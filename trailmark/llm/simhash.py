@@ -367,14 +367,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         both = left.join(right, on).where((F.col("group") != F.col("group2")) & fits("n", "pos", "n2", "pos2") & more)
         return both.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
 
-    halves = [f"odd{i}_" for i in range(16)]
-    differ = " + ".join(f"bit_count({x} ^ {x}2)" for x in halves)
-    like_bits = F.expr(differ) <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-6
+    # As arrays: a column for each bigint makes the join's code too long to be compiled.
+    differ = F.aggregate(F.zip_with("odd", "odd2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    like_bits = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n2")) + 1e-6
 
     def large(open_: DataFrame) -> DataFrame:
         """The rows of shingles of many rows, with half their sets' odd bits: most of the pairs of these are told there."""
         many = open_.where(F.col("rows") > heads**2)
-        bits = bits_of(many.select("node")).select("node", *[F.expr(f"odd[{i}] ^ odd[{i + 16}]").alias(x) for i, x in enumerate(halves)])
+        bits = bits_of(many.select("node")).select("node", F.zip_with(F.slice("odd", 1, 16), F.slice("odd", 17, 16), lambda x, y: x.bitwiseXOR(y)).alias("odd"))
         return attach(many, bits, ["node"], "inner")
 
     # A large group of near copies is joined through a few heads of each shingle, others in each round, before all its pairs are.
@@ -397,9 +397,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     release(spark)
     shares = F.ceil(F.col("rows") / tile).cast("long")
     # Sets that have one of each other's shingles before this one too meet there: places before are smaller, so they fit if these do.
-    before = [F.lag("h", k).over(Window.partitionBy("node").orderBy("pos")).alias(f"b{k}") for k in (1, 2, 3)]
-    open_ = open_.select("*", *before)
-    first = F.expr("node < node2 AND NOT (" + " OR ".join(f"coalesce({b} IN (b12, b22, b32), false)" for b in ("b1", "b2", "b3")) + ")")
+    before = F.collect_list("h").over(Window.partitionBy("node").orderBy("pos").rowsBetween(-3, -1))
+    open_ = open_.withColumn("before", before)
+    first = (F.col("node") < F.col("node2")) & ~F.arrays_overlap("before", "before2")
     many = large(open_)
     left = many.withColumn("part", F.pmod(F.xxhash64("node"), shares))
     right = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
