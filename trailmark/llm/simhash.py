@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, release, table, tidy
+from .common import attach, components, cut, gathered, release, table, tidy
 from .langid import slices
 from .substring_dedup import gram_hashes
 
@@ -264,7 +264,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["h"])
 
-    one_in = max(1, docs.count() // sample)
+    n_rows = docs.count()
+    one_in = max(1, n_rows // sample)
+    base = gathered(base, n_rows, 5_000)
     some = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("doc_id", "text").mapInArrow(tidy(every_shingle), "h bigint")
     often = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most_common).toArrow()
     common = often.column("h").to_numpy().view(np.uint64)
@@ -283,11 +285,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], names=["doc_id", "row", "node", "n", "firsts", "odd"])
 
     told = cut(base.mapInArrow(tidy(run), f"doc_id {kind}, row {row_kind}, node bigint, n int, firsts array<bigint>, odd array<bigint>"))
+    told = gathered(told, n_rows)
     rows = told.select("doc_id", "row", "node")
-    sets = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
+    sets = cut(gathered(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), n_rows))
     places = told.where("doc_id is not null").select("node", "n", F.posexplode("firsts").alias("pos", "h")).select("h", "node", "n", "pos")
     names = ["h", "node", "n", "pos", "head", "head_n", "head_pos"]
     meeting = cut(places.repartition("h").sortWithinPartitions("h", "node").mapInArrow(lambda b: met(b, names), ", ".join(f"{x} bigint" for x in names)))
+    n_meeting = meeting.count()
+    meeting = gathered(meeting, n_meeting, 200_000)
     release(spark)
 
     def read(batches):
@@ -309,28 +314,33 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held), kinds)], names=["u", "part", "own", "node", "set"])
 
+    def listed(rows: DataFrame, groups: DataFrame, on: str, how: str = "left") -> DataFrame:
+        """Like ``attach``, where ``groups`` has a few numbers for each of no more rows than ``docs`` has."""
+        return rows.join(F.broadcast(groups), on, how) if n_rows <= broadcast_rows else attach(rows, groups, [on], how)
+
     def bits_of(nodes: DataFrame) -> DataFrame:
         """(node, n, odd) of the nodes, repeats included."""
-        return attach(told.select("node", "n", "odd"), cut(nodes.distinct()), ["node"], "inner").groupBy("node").agg(F.max("n").alias("n"), F.max("odd").alias("odd"))
+        return listed(told.select("node", "n", "odd"), cut(gathered(nodes.distinct(), n_rows)), "node", "inner").groupBy("node").agg(F.max("n").alias("n"), F.max("odd").alias("odd"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (u, v) of nodes: v's set is sent to u's, which is sent to every ``tile`` of its pairs.
 
         Only pairs whose odd bits allow the similarity have their texts read.
         """
-        bits = bits_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
+        asked = pairs.count()
+        bits = cut(gathered(bits_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))), n_rows))
         both = attach(attach(pairs, bits.withColumnRenamed("node", "u"), ["u"], "inner"), bits.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("odd").alias("odd2")), ["v"], "inner")
-        pairs = cut(both.select("u", "v", "n", "n2", "odd", "odd2").mapInArrow(lambda b: maybe_alike(b, similarity), "u bigint, v bigint"))
+        pairs = cut(gathered(both.select("u", "v", "n", "n2", "odd", "odd2").mapInArrow(lambda b: maybe_alike(b, similarity), "u bigint, v bigint"), asked))
         sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts"))
-        theirs = attach(pairs, sizes, ["u"], "inner").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), "parts").alias("part"), F.lit(False).alias("own"))
+        theirs = listed(pairs, sizes, "u", "inner").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), "parts").alias("part"), F.lit(False).alias("own"))
         own = sizes.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
         asks = theirs.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("u", "part", "own")).alias("asks"))  # of one set's pairs
-        asks = cut(attach(sets, asks, ["node"], "inner").select(F.col("least.doc_id").alias("__least"), "node", "asks"))
+        asks = cut(gathered(attach(sets, asks, ["node"], "inner"), n_rows).select(F.col("least.doc_id").alias("__least"), "node", "asks"))
         if asks.count() <= broadcast_rows:
             asks = F.broadcast(asks)
         sent = base.join(asks, F.col("doc_id") == F.col("__least")).select("text", "node", "asks").mapInArrow(tidy(read), "u bigint, part bigint, own boolean, node bigint, set array<bigint>")
         sent = sent.repartition("u", "part").sortWithinPartitions("u", "part", F.desc("own"))
-        return cut(sent.mapInArrow(lambda b: linked(b, similarity), "u bigint, v bigint"))
+        return cut(gathered(sent.mapInArrow(lambda b: linked(b, similarity), "u bigint, v bigint"), asked))
 
     def fits(n: str, pos: str, n2: str, pos2: str) -> Column:
         """Whether the sizes allow the similarity, and the places of the first shingle that two sets share: no more than it and those after it are in both."""
@@ -340,7 +350,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # Of the sets that are the first of one of its shingles, each set's own is the one that it meets most often.
     best = meeting.where(F.col("node") != F.col("head")).where(fits("n", "pos", "head_n", "head_pos")).groupBy("node", "head").agg(F.count("*").alias("c"))
-    tried = cut(best.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("u")).select("u", F.col("node").alias("v")))
+    tried = cut(gathered(best.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("u")).select("u", F.col("node").alias("v")), n_rows))
     links = verified(tried)
     groups = components(links)
 
@@ -349,18 +359,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         both = links
         for end in ("u", "v"):
             of = groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-            both = attach(both, of, [end]).withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+            both = listed(both, of, end).withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
         roots = components(both).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        old = attach(groups, roots, ["component"]).select("node", F.coalesce("root", "component").alias("component"))
+        old = listed(groups, roots, "component").select("node", F.coalesce("root", "component").alias("component"))
         alone = roots.join(groups.select(F.col("component")).distinct(), "component", "left_anti")
-        return cut(old.unionByName(alone.select(F.col("component").alias("node"), F.col("root").alias("component"))))
+        return cut(gathered(old.unionByName(alone.select(F.col("component").alias("node"), F.col("root").alias("component"))), n_rows))
 
     def still_open() -> DataFrame:
         """The rows of shingles that stand in several components, with the number of their rows; of two rows, where the sizes allow the similarity."""
-        told = attach(meeting.select("h", "node", "n", "pos"), groups, ["node"]).withColumn("group", F.coalesce("component", "node")).drop("component")
+        told = listed(meeting.select("h", "node", "n", "pos"), groups, "node").withColumn("group", F.coalesce("component", "node")).drop("component")
         several = told.groupBy("h").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("rows"), F.min("n").alias("n1"), F.max("n").alias("n2"))
         several = several.where((F.col("g1") < F.col("g2")) & ((F.col("rows") > 2) | (F.col("n1") + 1e-9 >= similarity * F.col("n2")))).select("h", "rows")
-        return cut(attach(told, several, ["h"], "inner"))
+        return cut(gathered(attach(told, several, ["h"], "inner"), n_meeting, 200_000))
 
     def crossing(left: DataFrame, right: DataFrame, on: list[str], more: Column = F.lit(True)) -> DataFrame:
         right = right.select(*on, *[F.col(c).alias(f"{c}2") for c in right.columns if c not in on])
@@ -375,9 +385,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         """The rows of shingles of many rows, with half their sets' odd bits: most of the pairs of these are told there."""
         many = open_.where(F.col("rows") > heads**2)
         bits = bits_of(many.select("node")).select("node", F.zip_with(F.slice("odd", 1, 16), F.slice("odd", 17, 16), lambda x, y: x.bitwiseXOR(y)).alias("odd"))
-        return attach(many, bits, ["node"], "inner")
+        return cut(gathered(attach(many, bits, ["node"], "inner"), n_meeting, 50_000))
 
     # A large group of near copies is joined through a few heads of each shingle, others in each round, before all its pairs are.
+    release(spark)
     open_ = still_open()
     for k in range(rounds):
         if (open_.agg(F.max("rows")).first()[0] or 0) <= heads**2:
@@ -387,12 +398,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         met_often = crossing(many, top, ["h"], like_bits).groupBy("u", "v").agg(F.count("*").alias("c")).join(tried, ["u", "v"], "left_anti")
         both = met_often.select("u", "v", "c", F.explode(F.array("u", "v")).alias("of"))
         few = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("c"), F.xxhash64("u", "v", F.lit(k)))) <= heads
-        asked = cut(both.withColumn("few", few).where("few").select("u", "v").distinct())
+        asked = cut(gathered(both.withColumn("few", few).where("few").select("u", "v").distinct(), n_meeting, 200_000))
         found = verified(asked)
         tried = tried.unionByName(asked)
         if found.isEmpty():
             break
         groups = merged(groups, found)
+        release(spark)
         open_ = still_open()
     release(spark)
     shares = F.ceil(F.col("rows") / tile).cast("long")
@@ -405,7 +417,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     right = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
     few = open_.where(F.col("rows") <= heads**2)
     made = crossing(few, few, ["h"], first).unionByName(crossing(left, right, ["h", "part"], first & like_bits))
-    pairs = cut(made.distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    pairs = cut(gathered(made.distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), n_meeting, 200_000))
+    release(spark)
     if not pairs.isEmpty():
         more = verified(pairs)
         if not more.isEmpty():
